@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it in ``body``.
+
+    Catalyst inlines a column into every use, and a lambda re-evaluates whatever it
+    captures for each element; a bound lambda variable is computed once per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(x: Column) -> Column:
     return x.cast("array<double>")
 
