@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rir", "geometry"]
+MODULES = ["rir", "geometry", "catalog", "sampling"]
 
 
 def _collect(attr: str) -> dict:
