@@ -8,6 +8,7 @@ function of the data, so a lost executor recomputes the same split.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W
@@ -25,6 +26,13 @@ class Agg:
     exclusive: bool = False
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition to the session's shuffle width. A stated width keeps AQE from merging
+    partitions by their compact size ahead of heavy per-row work."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *keys)
+
+
 def time_block(col: str, width: int = BLOCK_US) -> Column:
     return F.floor(F.col(col) / F.lit(width)).cast("long")
 
@@ -108,3 +116,30 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, values:
     found = scan(both, keys, [time, "_k", "_tie"], time_block(time, block_width),
                  {out: Agg("last", F.col("_r"))}, reverse=forward)
     return found.filter(F.col("_l").isNotNull()).select("_l.*", out)
+
+
+def ewma(df: DataFrame, keys: list[str], n: str, x: str, alpha: float, out: str,
+         first_counts_full: bool = True) -> DataFrame:
+    """s_n = alpha*s_{n-1} + (1-alpha)*x_n over dense n = 0, 1, ...
+
+    With ``first_counts_full`` s_0 = x_0, otherwise the recursion starts from zero.
+    Inside a block of L rows the recursion is a running sum of x*alpha^-i times alpha^i.
+    L is chosen so that alpha^L is about 1e-30: three earlier blocks then carry every
+    digit a double can hold.
+    """
+    length = max(1, min(1 << 20, int(69.0 / -math.log(alpha)))) if 0.0 < alpha < 1.0 else 1
+    i = F.col(n) % length
+    gain = F.lit(1.0 - alpha)
+    if first_counts_full:
+        gain = F.when(F.col(n) == 0, 1.0).otherwise(gain)
+    rows = df.withColumns({"_blk": F.floor(F.col(n) / length).cast("long"), "_i": i,
+                           "_q": F.col(x) * gain * F.pow(F.lit(alpha), -i.cast("double"))})
+    part = [*keys, "_blk"]
+    local = F.sum("_q").over(W.partitionBy(*part).orderBy(n))
+    ends = rows.groupBy(*part).agg((F.sum("_q") * F.pow(F.lit(alpha), F.lit(length - 1.0))).alias("_end"))
+    over = W.partitionBy(*keys).orderBy("_blk")
+    carry = sum((F.coalesce(F.lag("_end", k).over(over), F.lit(0.0)) * (alpha ** length) ** (k - 1)
+                 for k in (1, 2, 3)), F.lit(0.0))
+    decayed = F.pow(F.lit(alpha), F.col("_i").cast("double"))
+    return (rows.withColumn("_local", local).join(ends.select(*part, carry.alias("_carry")), part)
+            .select(*df.columns, (decayed * (F.col("_local") + F.lit(alpha) * F.col("_carry"))).alias(out)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reverbtable.functions import arrays as A
 from reverbtable.functions.acoustics import DP_HALF_MS
-from reverbtable.functions.scan import Agg, scan
+from reverbtable.functions.scan import Agg, scan, spread
 
 # fixed values: regression levels in dB, start-major
 T60_GRID = [(start, start + span) for start in range(-5, -20, -2) for span in range(-10, -29, -2)]
@@ -103,9 +103,7 @@ def energy_labels(df: DataFrame, fs: int, h_dp: str = "h_dp") -> DataFrame:
 def _samples(df: DataFrame, keys: list[str]) -> DataFrame:
     """Explode after partitioning by key: Generate keeps the hash partitioning."""
     compact = df.select(*keys, "h", A.energy(A.cut(F.col("h"), A.argmax(F.col("h")), F.size("h"))).alias("tail"))
-    # a stated width keeps AQE from merging partitions by their size before the explode
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (compact.repartition(width, *keys)
+    return (spread(compact, *keys)
             .select(*keys, "tail", F.posexplode("h").alias("n", "v")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reverbtable.functions import acoustics as ac
 from reverbtable.functions.arrays import let
 from reverbtable.functions.draws import digest, pick_index, uniform, uniform_range
-from reverbtable.functions.scan import Agg, asof, row_index, scan
+from reverbtable.functions.scan import Agg, asof, row_index, scan, spread
 
 U_BLOCK = 1.0 / 4096  # draws are matched inside slices of the unit interval
 
@@ -198,7 +198,8 @@ def scenarios(ids: DataFrame, key: str, seed: str, room_range: dict, t60_range:
     row depends on the number of attempts; a room without such an interval gives null.
     """
     dims = {k: uniform_range(*room_range[k], f"{seed}:{k}", key) for k in ("lx", "ly", "lz")}
-    rooms = ids.select(key, *[v.alias(k) for k, v in dims.items()])
+    # ids are narrow and the draws heavy: spread them whatever the input file layout
+    rooms = spread(ids.select(key)).select(key, *[v.alias(k) for k, v in dims.items()])
     size = {k: F.col(k) for k in dims}
 
     def candidate(i):
@@ -209,24 +210,29 @@ def scenarios(ids: DataFrame, key: str, seed: str, room_range: dict, t60_range:
     def judged(cand):
         ws = [F.get(cand["w"], F.lit(k)) for k in range(6)]
         top = F.greatest(*ws)
-        unit = F.transform(cand["w"], lambda v: v / top)
+        unit = let(top, lambda m: F.transform(cand["w"], lambda v: v / m))
 
         def solve(un):
-            area = ac.wall_absorption(**size, walls=[F.get(un, F.lit(k)) for k in range(6)])
+            alpha = [F.get(un, F.lit(k)) for k in range(6)]
+            return let(ac.wall_absorption(**size, walls=alpha), lambda area: let(
+                F.least(F.lit(1.0), ac.SABINE * ac.volume(**size) / (cand["t60"] * area)),
+                lambda x: verdict(un, area, x)))
+
+        def verdict(un, area, x):
             shortest = F.greatest(ac.SABINE * ac.volume(**size) / area,
                                   3.0 * ac.norm(*size.values()) / F.lit(c * ism_db / 60.0),
                                   F.lit(float(t60_range[0])))
-            x = F.least(F.lit(1.0), ac.SABINE * ac.volume(**size) / (cand["t60"] * area))
             walls = [x * F.get(un, F.lit(k)) for k in range(6)]
             return F.struct(cand["attempt"].alias("attempt"), cand["t60"].alias("t60"), x.alias("x"),
                             shortest.alias("shortest"), area.alias("area"),
                             ac.t60_feasible(**size, t60=cand["t60"], walls=walls, c=c, ism_db=ism_db).alias("ok"))
+
         return let(unit, solve)
 
     tries = F.transform(F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), candidate), judged)
-    picked = rooms.withColumn("tries", tries).withColumn(
-        "first", F.get(F.filter("tries", lambda t: t["ok"]), F.lit(0))).withColumn(
-        "last", F.element_at("tries", -1))
+    choice = let(tries, lambda t: F.struct(F.get(F.filter(t, lambda v: v["ok"]), F.lit(0)).alias("first"),
+                                           F.element_at(t, -1).alias("last")))
+    picked = rooms.withColumn("choice", choice).select(key, *size, "choice.first", "choice.last")
     spare = F.when(F.col("last.shortest") < t60_range[1],
                    uniform_range(F.col("last.shortest"), float(t60_range[1]), f"{seed}:spare", key))
     out = picked.select(key, *size, F.col("first.attempt").alias("attempt"),

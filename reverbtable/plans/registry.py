@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rir", "geometry", "catalog", "sampling"]
+MODULES = ["rir", "geometry", "catalog", "sampling", "timeline", "evaluate"]
 
 
 def _collect(attr: str) -> dict:

@@ -10,6 +10,7 @@ from reverbtable.functions.draws import pick_index, uniform
 from reverbtable.operators import sampling as S
 from reverbtable.plans.book import Book
 from reverbtable.plans.catalog import ITEMS, item_rows
+from reverbtable.session import durable
 from reverbtable.sources import tables as T
 from reverbtable.sources.tables import load, r, u, with_views
 
@@ -54,7 +55,8 @@ CORPUS_CDF = """cw AS (SELECT corpus, sum(weight) AS w FROM it GROUP BY 1),
     JOIN c2 ON c2.corpus = c1.corpus AND u2 > c2.prev AND u2 <= cdf"""))
 def weighted_draw(spark, sf):
     """Two-level draw with replacement, one per order: corpus by weight, then item by weight."""
-    it = named_items(spark, sf).select("corpus", "item", "weight")
+    # the expanded catalogue feeds four branches below: build it once, keep it in reliable storage
+    it = durable(named_items(spark, sf).select("corpus", "item", "weight"))
     corpora = S.cdf(it.groupBy("corpus").agg(F.sum("weight").alias("w")), [], "w", "corpus")
     draws = load(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"),
                                              uniform("9:corpus", "o_orderkey").alias("u1"),
@@ -292,8 +294,8 @@ def ur(lo, hi, seed, *ids):
 
 
 SC_AREA = "((w[1]+w[2])/top*ly*lz + (w[3]+w[4])/top*lx*lz + (w[5]+w[6])/top*lx*ly)"
-SCENARIO_SQL = f"""WITH rm AS (SELECT o_orderkey AS id, {ur(3, 10, '2:lx', 'o_orderkey')} AS lx, {ur(3, 8, '2:ly', 'o_orderkey')} AS ly,
-      {ur(2.5, 6, '2:lz', 'o_orderkey')} AS lz FROM orders),
+SCENARIO_SQL = f"""WITH rm AS (SELECT c_custkey AS id, {ur(3, 10, '2:lx', 'c_custkey')} AS lx, {ur(3, 8, '2:ly', 'c_custkey')} AS ly,
+      {ur(2.5, 6, '2:lz', 'c_custkey')} AS lz FROM customer),
     tr AS (SELECT *, {ur(0.2, 1.3, '2:t60', 'id', 'a')} AS t60,
       [{', '.join(ur(0.5, 1.0, f'2:w:{n}', 'id', 'a') for n in S.WEIGHT_NAMES)}] AS w FROM (SELECT *, unnest(range(0,16)) AS a FROM rm)),
     ar AS (SELECT *, {SC_AREA} AS area, sqrt(lx*lx+ly*ly+lz*lz) AS diag, lx*ly*lz AS v FROM (SELECT *, list_max(w) AS top FROM tr)),
@@ -310,7 +312,7 @@ SCENARIO_SQL = f"""WITH rm AS (SELECT o_orderkey AS id, {ur(3, 10, '2:lx', 'o_or
 
 
 def scenario_rows(spark, sf):
-    ids = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    ids = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
     return S.scenarios(ids, "id", "2", ROOM_RANGE, T60_RANGE, W_RANGE)
 
 

@@ -54,13 +54,16 @@ def rooms_of(col: str = "room") -> dict:
     return {"lx": 3.0 + r, "ly": 3.0 + r * 0.5, "lz": F.lit(2.5)}
 
 
+def channel(c: int):
+    """Samples of channel ``c`` of the interleaved two-channel array."""
+    v = F.col("embedding").cast("array<double>")
+    return F.transform(F.sequence(F.lit(0), (F.size(v) / 2).cast("int") - 1), lambda i: F.get(v, i * 2 + c))
+
+
 def signals(spark, sf_dir) -> DataFrame:
     """Two-channel clips, de-interleaved: sig_id, ch, x."""
     e = load(spark, sf_dir, "embeddings")
-    v = F.col("embedding").cast("array<double>")
-    half = F.sequence(F.lit(0), (F.size(v) / 2).cast("int") - 1)
-    clip = [F.struct(F.lit(c).alias("ch"),
-                     F.transform(half, lambda i, c=c: F.get(v, i * 2 + c)).alias("x")) for c in (0, 1)]
+    clip = [F.struct(F.lit(c).alias("ch"), channel(c).alias("x")) for c in (0, 1)]
     return (e.select(F.col("vec_id").alias("sig_id"), F.explode(F.array(*clip)).alias("c"))
             .select("sig_id", "c.ch", "c.x"))
 
