@@ -15,6 +15,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def let_all(values: list[Column], body) -> Column:
+    """``let`` for several values."""
+    named = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return let(named, lambda s: body(*[s[f"v{i}"] for i in range(len(values))]))
+
+
 def doubles(x: Column) -> Column:
     return x.cast("array<double>")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rir", "geometry", "catalog", "sampling", "timeline", "evaluate"]
+MODULES = ["rir", "geometry", "catalog", "sampling", "timeline", "evaluate", "signals"]
 
 
 def _collect(attr: str) -> dict:
