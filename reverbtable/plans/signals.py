@@ -220,7 +220,10 @@ def training_signals(spark, sf):
     Only keys meet in the draw joins; arrays join last and every signal step stays in the row.
     """
     m, c = T.mono(spark, sf), clips(spark, sf)
-    hs = S.to_records(T.rirs(spark, sf).select("pair_id", "ch", F.col("h").alias("x")), "pair_id").withColumnRenamed("xs", "hs")
+    hs = S.to_records(T.rirs(spark, sf).select("pair_id", "ch", F.col("h").alias("x")), "pair_id")
+    # responses and their direct-path parts share one pass over the source; masked once per response
+    hs = hs.select("pair_id", F.size("xs").alias("nch"),
+                   F.concat("xs", F.transform("xs", lambda h: R.dp_mask(h, FS_RIR))).alias("hs"))
     ids, pairs = m.select("sig_id"), T.rirs(spark, sf).select("pair_id").distinct()
     draws = load(spark, sf, "customer").select(F.col("c_custkey").alias("idx"))
     for name, table, key in (("src", ids, "sig_id"), ("noise", ids, "sig_id"), ("rir", pairs, "pair_id")):
@@ -230,10 +233,8 @@ def training_signals(spark, sf):
     full = (draws.join(m.select(F.col("sig_id").alias("src_id"), "x"), "src_id")
             .join(hs.withColumnRenamed("pair_id", "rir_id"), "rir_id")
             .join(c.select(F.col("sig_id").alias("noise_id"), F.col("xs").alias("noise")), "noise_id"))
-    dp_taps = F.transform("hs", lambda h: R.dp_mask(h, FS_RIR))
     noise = F.transform("noise", lambda v: S.pad_crop(v, 64, F.lit(0.0)))
-    wet = full.select("idx", F.size("hs").alias("nch"), noise.alias("noise"),
-                      S.convolve(F.col("x"), F.concat("hs", dp_taps)).alias("both"))
+    wet = full.select("idx", "nch", noise.alias("noise"), S.convolve(F.col("x"), F.col("hs")).alias("both"))
     wet = wet.select("idx", "noise", F.slice("both", F.lit(1), F.col("nch")).alias("wet"),
                      F.slice("both", F.col("nch") + 1, F.col("nch")).alias("dp"))
     snr = 15 + 15 * uniform("t:snr", "idx")
