@@ -116,34 +116,41 @@ def convolve_table(src: DataFrame, taps: DataFrame, key: str) -> DataFrame:
 # ---- chunked long sessions --------------------------------------------------------------
 
 def chunked_text_pcm(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Whole text as a chunked sample table: key, chunk_no, t0, samples (code points)."""
-    n = F.length(text)
-    chunks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")))
-    part = F.col(text).substr(F.col("chunk_no") * size + 1, F.lit(size))
+    """Whole text as a chunked sample table, still encoded: key, chunk_no, t0, n, raw.
+
+    One code point is one sample; one regular-expression pass cuts the text, and only the
+    pieces leave the row.
+    """
+    pieces = F.regexp_extract_all(F.col(text), F.lit("(?s).{1,%d}" % size), F.lit(0))
+    return (df.select(key, F.posexplode_outer(pieces).alias("chunk_no", "raw"))
+            .filter(F.col("raw").isNotNull())
+            .select(key, "chunk_no", (F.col("chunk_no") * size).alias("t0"), F.length("raw").alias("n"), "raw"))
+
+
+def decode_pcm(raw: Column) -> Column:
+    """Samples of an encoded piece."""
     # the empty string that split leaves at the end is not a sample
-    chars = F.filter(F.split(part, ""), lambda c: c != "")
-    return (df.select(key, text, F.explode(chunks).alias("chunk_no"))
-            .select(key, "chunk_no", (F.col("chunk_no") * size).alias("t0"),
-                    F.transform(chars, lambda c: F.ascii(c).cast("double")).alias("samples")))
+    return F.transform(F.filter(F.split(raw, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("double"))
 
 
 def ranged_read(chunks: DataFrame, ranges: DataFrame, key: str, size: int) -> DataFrame:
-    """Samples of [st, ed) per record, still as chunk pieces with absolute ``t0``.
+    """Samples of [st, ed) per record, as pieces with absolute ``t0``.
 
-    The chunk numbers of a range are part of the join key, so untouched chunks never match.
+    The chunk numbers of a range are part of the join key, so untouched chunks never match,
+    and pieces are decoded only after they are cut.
     """
     wanted = ranges.select(key, "st", "ed", F.explode(F.sequence(
         F.floor(F.col("st") / size).cast("int"), F.floor((F.col("ed") - 1) / size).cast("int"))).alias("chunk_no"))
     lo = F.greatest(F.col("st") - F.col("t0"), F.lit(0))
-    hi = F.least(F.col("ed") - F.col("t0"), F.size("samples"))
+    hi = F.least(F.col("ed") - F.col("t0"), F.col("n"))
     return (chunks.join(wanted, [key, "chunk_no"])
-            .select(key, "chunk_no", (F.col("t0") + lo).alias("t0"), A.cut(F.col("samples"), lo.cast("int"), (hi - lo).cast("int")).alias("samples")))
+            .select(key, "chunk_no", (F.col("t0") + lo).alias("t0"),
+                    decode_pcm(F.col("raw").substr((lo + 1).cast("int"), (hi - lo).cast("int"))).alias("samples")))
 
 
 def concat_in_time(chunks: DataFrame, key: str, order: list[str], block: Column) -> DataFrame:
     """Clips of one device joined along time: every clip keeps its row and gets its offset."""
-    sized = chunks.withColumn("_n", F.size("samples").cast("long"))
-    return scan(sized, [key], order, block, {"t0": Agg("sum", F.col("_n"), exclusive=True)}).drop("_n")
+    return scan(chunks.drop("t0"), [key], order, block, {"t0": Agg("sum", F.col("n").cast("long"), exclusive=True)})
 
 
 # ---- noise -------------------------------------------------------------------------------

@@ -117,8 +117,11 @@ def moving_energy(clips: DataFrame, key: str, xs: str, length: int) -> DataFrame
     A difference of two running sums: a sliding frame would re-add ``length`` values per row.
     Clips are hash-partitioned as arrays before they are exploded.
     """
-    mean_sq = F.transform(F.sequence(F.lit(0), F.size(F.get(xs, F.lit(0))) - 1), lambda i: F.aggregate(
-        F.col(xs), F.lit(0.0), lambda acc, c: acc + F.get(c, i) * F.get(c, i)) / F.size(xs))
+    def mean_square(v):
+        return F.transform(F.sequence(F.lit(0), F.size(F.get(v, F.lit(0))) - 1), lambda i: F.aggregate(
+            v, F.lit(0.0), lambda acc, c: acc + F.get(c, i) * F.get(c, i)) / F.size(v))
+
+    mean_sq = A.let(F.col(xs), mean_square)
     padded = F.concat(mean_sq, F.array_repeat(F.lit(0.0), length - 1))
     long = (spread(clips.select(key, padded.alias("_e")), key)
             .select(key, F.size("_e").alias("len"), F.posexplode("_e").alias("n", "v")))

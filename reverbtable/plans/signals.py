@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reverbtable.functions import arrays as A, kernels as K
 from reverbtable.functions.arrays import rnd
 from reverbtable.functions.draws import pick_index, uniform
+from reverbtable.functions.scan import spread
 from reverbtable.operators import dsp as S, rir as R
 from reverbtable.operators.sampling import shuffled_index
 from reverbtable.plans.book import Book
@@ -149,8 +150,8 @@ def ranged_read(spark, sf):
 def concat_in_time(spark, sf):
     """Clips of a device laid end to end: chunks keep their rows and get an offset."""
     d = load(spark, sf, "documents").select("doc_id", "source", "text")
-    ch = S.chunked_text_pcm(d, "doc_id", "text", 1024).join(d.select("doc_id", F.col("source").alias("device")), "doc_id")
-    out = S.concat_in_time(ch.drop("t0"), "device", ["doc_id", "chunk_no"], F.floor(F.col("doc_id") / 256).cast("long"))
+    ch = S.chunked_text_pcm(d, "doc_id", "text", 1024).drop("raw").join(d.select("doc_id", F.col("source").alias("device")), "doc_id")
+    out = S.concat_in_time(ch, "device", ["doc_id", "chunk_no"], F.floor(F.col("doc_id") / 256).cast("long"))
     return out.select("device", F.col("doc_id").alias("clip"), "chunk_no", "t0")
 
 
@@ -159,7 +160,7 @@ def concat_in_time(spark, sf):
     SELECT vec_id, 1, n::INTEGER, (round(sqrt(-2*ln(greatest({u('w:1:a', 'vec_id', 'n')}, pow(2.0, -33))))*cos(2*pi()*{u('w:1:b', 'vec_id', 'n')}), 6) + 0.0::DOUBLE)
     FROM embeddings, range(0,64) b(n)""")
 def white_noise(spark, sf):
-    df = load(spark, sf, "embeddings").select(F.col("vec_id").alias("sig_id"))
+    df = spread(load(spark, sf, "embeddings").select(F.col("vec_id").alias("sig_id")))
     return long_rows(df.withColumn("xs", S.white_noise(F.lit(64), 2, "w", "sig_id")), "sig_id")
 
 
@@ -194,7 +195,7 @@ def babble(spark, sf):
 @query("diffuse_noise")
 def diffuse_noise(spark, sf):
     """White noise mixed to the coherence of a diffuse field for a 10 cm pair."""
-    df = load(spark, sf, "embeddings").select(F.col("vec_id").alias("sig_id"))
+    df = spread(load(spark, sf, "embeddings").select(F.col("vec_id").alias("sig_id")))
     noise = df.withColumn("xs", S.white_noise(F.lit(256), 2, "w", "sig_id"))
     return long_rows(S.diffuse_noise(noise, "xs", F.lit(0.1), 16000, 64), "sig_id")
 
