@@ -15,6 +15,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pinned(value: Column) -> Column:
+    """Evaluate in its own projection: the optimiser neither copies nor merges an expression
+    it cannot call deterministic. Use before a kernel, whose arguments should be plain columns, and
+    before an explode of something costly. The value itself is unchanged."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def let_all(values: list[Column], body) -> Column:
     """``let`` for several values."""
     named = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])

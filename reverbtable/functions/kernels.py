@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import functools
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# workers get this module inside the task, so they need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DOUBLES = T.ArrayType(T.DoubleType())
 CHANNELS = T.ArrayType(DOUBLES)
 FRAMES = T.ArrayType(CHANNELS)  # [channel][frame][bin]

@@ -174,15 +174,11 @@ def split_parts(x: Column, parts: int, length: int) -> Column:
     return F.array(*[A.cut(x, m * length, length) for m in range(parts)])
 
 
-def diffuse(xs: Column, d: Column, fs: int, nfft: int = 256) -> Column:
-    """Two independent noises mixed per bin so that their coherence is that of a diffuse field.
+def mix_to_coherence(re: Column, im: Column, gamma: Column) -> Column:
+    """Two independent spectra [channel][frame][bin] mixed so that they have coherence gamma.
 
-    The Cholesky factor of [[1, g], [g, 1]] is [[1, g], [0, sqrt(1 - g^2)]].
+    The Cholesky factor of [[1, g], [g, 1]] is [[1, g], [0, sqrt(1 - g^2)]]; the DC bin is zeroed.
     """
-    hop = nfft // 4
-    gamma = F.transform(F.sequence(F.lit(0), F.lit(nfft // 2)),
-                        lambda k: F.struct(diffuse_coherence(k * (fs / nfft), d).alias("g"), (k > 0).alias("on")))
-
     def mixed(part, gm):
         keep = F.transform(F.get(part, F.lit(0)), lambda fr: F.zip_with(fr, gm, lambda v, g: F.when(g["on"], v).otherwise(0.0)))
         other = F.zip_with(F.get(part, F.lit(0)), F.get(part, F.lit(1)), lambda p, q: F.zip_with(
@@ -190,19 +186,26 @@ def diffuse(xs: Column, d: Column, fs: int, nfft: int = 256) -> Column:
                 g["on"], g["g"] * v["p"] + F.sqrt(1.0 - g["g"] * g["g"]) * v["q"]).otherwise(0.0)))
         return F.array(keep, other)
 
-    return A.let_all([K.stft(nfft, hop)(xs), gamma], lambda spec, gm: F.struct(
-        mixed(spec["re"], gm).alias("re"), mixed(spec["im"], gm).alias("im")))
+    return A.let(gamma, lambda gm: F.struct(mixed(re, gm).alias("re"), mixed(im, gm).alias("im")))
 
 
 def diffuse_noise(df: DataFrame, xs: str, d: Column, fs: int, nfft: int = 256, eps: float = 1e-10) -> DataFrame:
-    """Replace ``xs`` by diffuse noise scaled by its maximum."""
-    mix = df.withColumn("_mix", diffuse(F.col(xs), d, fs, nfft))
-    back = mix.withColumn("_y", K.istft(nfft, nfft // 4)(F.col("_mix.re"), F.col("_mix.im")))
+    """Two independent noise channels to diffuse noise at distance ``d``, scaled by its maximum."""
+    hop = nfft // 4
+    rest = [c for c in df.columns if c != xs]
+    gamma = F.transform(F.sequence(F.lit(0), F.lit(nfft // 2)),
+                        lambda k: F.struct(diffuse_coherence(k * (fs / nfft), F.col("_d")).alias("g"), (k > 0).alias("on")))
+
     def scaled(y):
         top = F.array_max(F.transform(y, lambda x: F.array_max(x)))
         return A.let(F.lit(1.0) / (top + eps), lambda g: F.transform(y, lambda x: A.scaled(x, g)))
 
-    return back.withColumn(xs, A.let(F.col("_y"), scaled)).drop("_mix", "_y")
+    spec = df.select(*rest, d.alias("_d"), A.pinned(F.col(xs)).alias("_x")).select(
+        *rest, "_d", K.stft(nfft, hop)(F.col("_x")).alias("_s"))
+    mix = spec.select(*rest, A.pinned(mix_to_coherence(F.col("_s.re"), F.col("_s.im"), gamma)).alias("_m"))
+    flat = mix.select(*rest, F.col("_m.re").alias("_re"), F.col("_m.im").alias("_im"))
+    back = flat.select(*rest, K.istft(nfft, hop)(F.col("_re"), F.col("_im")).alias("_y"))
+    return back.select(*rest, A.let(F.col("_y"), scaled).alias(xs))
 
 
 def babble(records: DataFrame, key: str, utts: DataFrame, utt: str, want: int, mics: int = 2,

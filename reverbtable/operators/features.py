@@ -17,7 +17,8 @@ from reverbtable.functions.draws import digest, pick_index
 def with_spectrum(df: DataFrame, xs: str = "xs", win: int = 512, hop: int = 256) -> DataFrame:
     """Replace the samples by ``re``/``im`` [channel][frame][bin] and the normalising level."""
     rest = [c for c in df.columns if c != xs]
-    return df.select(*rest, K.stft(win, hop)(F.col(xs)).alias("_s")).select(*rest, "_s.re", "_s.im", "_s.level")
+    fixed = df.select(*rest, A.pinned(F.col(xs)).alias("_x"))
+    return fixed.select(*rest, K.stft(win, hop)(F.col("_x")).alias("_s")).select(*rest, "_s.re", "_s.im", "_s.level")
 
 
 def spectra(df: DataFrame, keys: list[str], normalise: bool = False, eps: float = 1e-6,

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import struct
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# workers get this module inside the task, so they need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HEAD = 65536  # bytes searched for the format and data chunks
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def block_energy(df: DataFrame, key: str, ts: str, value: str, block: str = "10 minutes",
                  late: str = "1 hour") -> DataFrame:
     """Energy and size per tumbling block; rows later than the watermark may be dropped."""
@@ -50,7 +55,8 @@ def running_smoother(df: DataFrame, key: str, ts: str, value: str, alpha: float
 
 def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, ext: str = "wav"):
     """Add newly arrived files to the catalogue table and stop when all are taken."""
-    files = (spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (spark.readStream.format("binaryFile")
+             .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", f"*.{ext}").load(root)
              .select("path", "length", F.col("modificationTime").alias("mtime")))
     return (files.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
