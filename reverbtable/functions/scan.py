@@ -24,6 +24,7 @@ class Agg:
     kind: str
     expr: Column | None = None
     exclusive: bool = False
+    reverse: bool = False  # along descending order
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -33,7 +34,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(width, *keys)
 
 
-def time_block(col: str, width: int = BLOCK_US) -> Column:
+def time_block(col: str, width: float = BLOCK_US) -> Column:
     return F.floor(F.col(col) / F.lit(width)).cast("long")
 
 
@@ -43,28 +44,33 @@ def hash_block(*cols: str, digits: int = 3) -> Column:
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], block: Column,
-         aggs: dict[str, Agg], reverse: bool = False) -> DataFrame:
-    """Add running columns along ``order`` (ascending, or descending if reverse).
+         aggs: dict[str, Agg], fan: int | None = None) -> DataFrame:
+    """Add running columns along ``order``, each ascending or (``reverse``) descending.
 
-    ``block`` must be monotone in ``order`` and ``order`` total within a key.
+    ``block`` must be monotone in ``order`` and ``order`` total within a key. With ``fan``
+    (numeric blocks only) the block summaries are themselves scanned in runs of ``fan``
+    blocks, for keys with so many blocks that their summaries are too many for one task.
+    Both directions share one exchange and one summary: ask for them in one call.
     """
     rows = df.withColumn("_blk", block)
     part = [*keys, "_blk"]
-    direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    inner = W.partitionBy(*part).orderBy(*[direction(c) for c in order])
-    outer = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(direction("_blk"))
-    before = outer.rowsBetween(W.unboundedPreceding, -1)
-    newest = F.min if reverse else F.max
+    by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+
+    def ordered(window, cols, a):
+        return window.orderBy(*[F.col(c).desc() if a.reverse else F.col(c).asc() for c in cols])
 
     summary, carry, local = [], [], {}
     for name, a in aggs.items():
+        inner, outer = ordered(W.partitionBy(*part), order, a), ordered(by_key, ["_blk"], a)
         frame = inner.rowsBetween(W.unboundedPreceding, -1 if a.exclusive else 0)
+        before = outer.rowsBetween(W.unboundedPreceding, -1)
         s, c = f"_s_{name}", f"_c_{name}"
         if a.kind == "count":
             summary.append(F.count(F.lit(1)).alias(s))
             carry.append(F.sum(s).over(before).alias(c))
             local[name] = F.count(F.lit(1)).over(frame)
         elif a.kind == "last":
+            newest = F.min if a.reverse else F.max
             summary.append(newest(F.when(a.expr.isNotNull(), F.struct(*order, a.expr.alias("_v"))))
                            .getField("_v").alias(s))
             carry.append(F.last(s, ignorenulls=True).over(before).alias(c))
@@ -75,7 +81,14 @@ def scan(df: DataFrame, keys: list[str], order: list[str], block: Column,
             carry.append(fn(s).over(before).alias(c))
             local[name] = fn(a.expr).over(frame)
 
-    carried = rows.groupBy(*part).agg(*summary).select(*part, *carry)
+    blocks = rows.groupBy(*part).agg(*summary)
+    if fan is None:
+        carried = blocks.select(*part, *carry)
+    else:
+        upper = {f"_c_{name}": Agg("sum" if a.kind == "count" else a.kind, F.col(f"_s_{name}"), True, a.reverse)
+                 for name, a in aggs.items()}
+        carried = (scan(blocks.withColumnRenamed("_blk", "_b"), keys, ["_b"], F.floor(F.col("_b") / fan).cast("long"), upper)
+                   .select(*keys, F.col("_b").alias("_blk"), *upper))
     out = rows.withColumns(local).join(carried, part, "left")
     merged = []
     for name, a in aggs.items():
@@ -97,27 +110,38 @@ def row_index(df: DataFrame, keys: list[str], order: list[str], block: Column,
     return out.withColumn(name, F.col(name) + F.lit(base).cast("long"))
 
 
+def _timeline(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str],
+              left_rank: int) -> DataFrame:
+    """Both tables on one ordered line; ``left_rank`` 0 puts left rows before right ones at equal times."""
+    payload = F.struct(F.col(time).alias(time), *values)
+    lrows = left.select(*keys, F.col(time), F.struct(*left.columns).alias("_l"), F.lit(None).alias("_r"))
+    rrows = right.select(*keys, F.col(time), F.lit(None).alias("_l"), payload.alias("_r"))
+    return (lrows.withColumn("_k", F.lit(left_rank)).unionByName(rrows.withColumn("_k", F.lit(1 - left_rank)))
+            .withColumn("_tie", F.xxhash64("_l", "_r")))
+
+
 def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str],
-         block_width: int = BLOCK_US, strict: bool = True, forward: bool = False,
+         block_width: float = BLOCK_US, strict: bool = True, forward: bool = False,
          out: str = "hit") -> DataFrame:
     """Attach the nearest earlier (or later) right row to every left row, as struct ``out``.
 
     Union plus a blocked last-non-null scan: linear in rows, no pair is ever formed.
     """
-    payload = F.struct(F.col(time).alias(time), *values)
-    lrows = left.select(*keys, F.col(time), F.struct(*left.columns).alias("_l"),
-                        F.lit(None).alias("_r"))
-    rrows = right.select(*keys, F.col(time), F.lit(None).alias("_l"), payload.alias("_r"))
-    # at equal times a strict search must meet the left row first, a closed one the right row
-    left_rank = 0 if strict != forward else 1
-    both = (lrows.withColumn("_k", F.lit(left_rank))
-            .unionByName(rrows.withColumn("_k", F.lit(1 - left_rank)))
-            .withColumn("_tie", F.xxhash64("_l", "_r")))
+    both = _timeline(left, right, keys, time, values, 0 if strict != forward else 1)
     found = scan(both, keys, [time, "_k", "_tie"], time_block(time, block_width),
-                 {out: Agg("last", F.col("_r"))}, reverse=forward)
+                 {out: Agg("last", F.col("_r"), reverse=forward)})
     return found.filter(F.col("_l").isNotNull()).select("_l.*", out)
 
 
+def asof_both(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str],
+              block_width: float = BLOCK_US, before: str = "before", after: str = "after") -> DataFrame:
+    """The last right row at or before every left row and the first one strictly after it."""
+    both = _timeline(left, right, keys, time, values, 1)
+    found = scan(both, keys, [time, "_k", "_tie"], time_block(time, block_width),
+                 {before: Agg("last", F.col("_r")), after: Agg("last", F.col("_r"), reverse=True)})
+    return found.filter(F.col("_l").isNotNull()).select("_l.*", before, after)
+
+
 def ewma(df: DataFrame, keys: list[str], n: str, x: str, alpha: float, out: str,
          first_counts_full: bool = True) -> DataFrame:
     """s_n = alpha*s_{n-1} + (1-alpha)*x_n over dense n = 0, 1, ...
@@ -137,9 +161,11 @@ def ewma(df: DataFrame, keys: list[str], n: str, x: str, alpha: float, out: str,
     part = [*keys, "_blk"]
     local = F.sum("_q").over(W.partitionBy(*part).orderBy(n))
     ends = rows.groupBy(*part).agg((F.sum("_q") * F.pow(F.lit(alpha), F.lit(length - 1.0))).alias("_end"))
-    over = W.partitionBy(*keys).orderBy("_blk")
-    carry = sum((F.coalesce(F.lag("_end", k).over(over), F.lit(0.0)) * (alpha ** length) ** (k - 1)
-                 for k in (1, 2, 3)), F.lit(0.0))
+    # a block hands its end to the next three: an equi-join and a sum, no ordering of blocks
+    step = F.explode(F.sequence(F.lit(1), F.lit(3)))
+    carry = (ends.select(*keys, "_blk", "_end", step.alias("_k"))
+             .groupBy(*keys, (F.col("_blk") + F.col("_k")).alias("_blk"))
+             .agg(F.sum(F.col("_end") * F.pow(F.lit(alpha ** length), (F.col("_k") - 1).cast("double"))).alias("_carry")))
     decayed = F.pow(F.lit(alpha), F.col("_i").cast("double"))
-    return (rows.withColumn("_local", local).join(ends.select(*part, carry.alias("_carry")), part)
-            .select(*df.columns, (decayed * (F.col("_local") + F.lit(alpha) * F.col("_carry"))).alias(out)))
+    return (rows.withColumn("_local", local).join(carry, part, "left")
+            .select(*df.columns, (decayed * (F.col("_local") + F.lit(alpha) * F.coalesce("_carry", F.lit(0.0)))).alias(out)))

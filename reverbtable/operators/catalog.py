@@ -70,8 +70,10 @@ def items(recordings: DataFrame, pairs: DataFrame, mode: set[str] = frozenset(),
     weight = F.col("duration_s") if "duration" in mode else F.lit(1.0)
     if "micpair" not in mode:
         weight = weight / F.col("_np")
-    out = (recordings.join(counts, array).withColumn("weight", weight)
-           .join(pairs.select(array, "m1", "m2"), array).drop("_np"))
+    # the count travels with the pairs, so recordings are joined once; both inputs of that
+    # join are plain exchanges, which lets adaptive execution split a hot array
+    listed = pairs.select(array, "m1", "m2").join(counts, array).repartition(F.col(array))
+    out = recordings.join(listed, array).withColumn("weight", weight).drop("_np")
     if "room" in mode:
         per_room = out.groupBy("corpus", "room").agg(F.sum("weight").alias("_rw"))
         out = (out.join(per_room, ["corpus", "room"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reverbtable.functions.scan import Agg, ewma, scan
+from reverbtable.session import durable
 
 BLOCK = 4096  # rows of one series per block
 
@@ -100,15 +101,15 @@ def forgetting_mean(df: DataFrame, keys: list[str], n: str, x: str, horizon: int
 def early_stop(df: DataFrame, run: str, epoch: str, loss: str, patience: int = 10) -> DataFrame:
     """Epochs where training would slow down (stop1) and end (stop2), and the best epoch.
 
-    An epoch is best when its loss is not above any earlier one. The counter of epochs since
-    the best one is n - last best, restarted once at stop1; so both stops are minima over
-    running values and no sequential fold is needed.
+    An epoch is best when its loss is not above any earlier one, so the last best epoch is the
+    running minimum of (loss, -epoch). The counter is n - last best, restarted once at stop1;
+    both stops are minima over running values and no sequential fold is needed.
     """
-    order, block = [epoch], _block(epoch)
-    low = scan(df.select(run, epoch, loss), [run], order, block, {"_low": Agg("min", F.col(loss), exclusive=True)})
-    flagged = low.withColumn("_is_best", F.col("_low").isNull() | (F.col(loss) <= F.col("_low")))
-    last = scan(flagged, [run], order, block,
-                {"_last": Agg("max", F.when(F.col("_is_best"), F.col(epoch)))})
+    best_so_far = F.struct(F.col(loss).alias("l"), (-F.col(epoch)).alias("e"))
+    run_min = scan(df.select(run, epoch, loss), [run], [epoch], _block(epoch), {"_b": Agg("min", best_so_far)})
+    # three aggregations read this: keep it instead of scanning three times
+    last = durable(run_min.select(run, epoch, (-F.col("_b.e")).alias("_last"))
+                   .withColumn("_is_best", F.col("_last") == F.col(epoch)))
     n = F.col(epoch)
     stop1 = last.groupBy(run).agg(F.min(F.when(n - F.col("_last") >= patience, n)).alias("stop1"))
     second = last.join(stop1, run)

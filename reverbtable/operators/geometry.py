@@ -84,7 +84,9 @@ def tdoa(mics: DataFrame, sources: DataFrame, array: str = "array_id", c: float
     src = sources.select(array, "src_id", *[F.col(a).alias(f"s{a}") for a in "xyz"])
     p = lambda k: tuple(F.col(f"{k}{a}") for a in "xyz")
     diff = (ac.dist(p("s"), ac.xyz()) - ac.dist(p("s"), p("r"))) / F.lit(c)
-    return mics.join(ref, array).join(src, array).select(array, "src_id", "mic", diff.alias("tdoa"))
+    # microphones are few: re-exchange them so that a hot array can be split on the source side
+    pairs = mics.join(ref, array).repartition(F.col(array))
+    return src.join(pairs, array).select(array, "src_id", "mic", diff.alias("tdoa"))
 
 
 def doa(array_centres: DataFrame, sources: DataFrame, array: str = "array_id") -> DataFrame:

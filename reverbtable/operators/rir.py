@@ -163,11 +163,16 @@ def decay_matches(fits: DataFrame, keys: list[str], spec: Column) -> DataFrame:
                         & (F.abs("corr") > 0.5)))
 
 
-def exact_median(df: DataFrame, key: str, value: str, step: float, tie: str) -> DataFrame:
-    """Median per key by rank, blocked on the quantised value: no key is gathered whole."""
-    ranked = scan(df.filter(F.col(value).isNotNull()), [key], [value, tie],
-                  F.floor(F.col(value) / step).cast("long"), {"_n": Agg("count")})
-    size = df.filter(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    mid = ranked.join(size, key).filter(
-        (F.col("_n") == F.floor((F.col("_size") + 1) / 2)) | (F.col("_n") == F.floor(F.col("_size") / 2) + 1))
-    return mid.groupBy(key).agg(F.avg(value).alias("median"))
+def exact_median(df: DataFrame, key: str, value: str, step: float) -> DataFrame:
+    """Median per key by rank over (value, count) rows, blocked on the quantised value.
+
+    Equal values fold before they are ordered, so neither a hot key nor a third of all rows
+    sharing one value meets in one task.
+    """
+    folded = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = scan(folded, [key], [value], F.floor(F.col(value) / step).cast("long"), {"_n": Agg("sum", F.col("_c"))})
+    size = folded.groupBy(key).agg(F.sum("_c").alias("_size"))
+    covers = lambda rank: (F.col("_n") >= rank) & (F.col("_n") - F.col("_c") < rank)
+    lower, upper = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
+    mid = ranked.join(size, key)
+    return mid.groupBy(key).agg(((F.max(F.when(covers(lower), F.col(value))) + F.max(F.when(covers(upper), F.col(value)))) / 2).alias("median"))

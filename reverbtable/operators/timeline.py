@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from reverbtable.functions import arrays as A
-from reverbtable.functions.scan import BLOCK_US, Agg, asof, scan, spread, time_block
+from reverbtable.functions.scan import BLOCK_US, Agg, asof, asof_both, scan, spread, time_block
 
 
 def speech_gaps(utts: DataFrame, min_us: int, audio_us: Column, closed_end: bool = False,
@@ -22,10 +22,10 @@ def speech_gaps(utts: DataFrame, min_us: int, audio_us: Column, closed_end: bool
     Kept when at least ``min_us`` long and the next start lies inside the audio; the last
     sentence of a session gives none.
     """
-    order, block = ["st", tie], time_block("st")
-    e0 = scan(utts, [key], order, block, {"e0": Agg("max", F.col("en"), exclusive=True)})
-    nxt = scan(e0, [key], order, block, {"s1": Agg("last", F.col("st"), exclusive=True)}, reverse=True)
-    gap = nxt.withColumn("e0", F.greatest(F.coalesce("e0", F.lit(0)), F.lit(0)))
+    run = scan(utts, [key], ["st", tie], time_block("st"), {
+        "e0": Agg("max", F.col("en"), exclusive=True),
+        "s1": Agg("last", F.col("st"), exclusive=True, reverse=True)})
+    gap = run.withColumn("e0", F.greatest(F.coalesce("e0", F.lit(0)), F.lit(0)))
     inside = (F.col("s1") <= audio_us) if closed_end else (F.col("s1") < audio_us)
     return (gap.filter(F.col("s1").isNotNull() & (F.col("s1") - F.col("e0") >= min_us) & inside)
             .select(key, tie, F.col("e0").alias("st"), F.col("s1").alias("en"), (F.col("s1") - F.col("e0")).alias("len")))
@@ -34,8 +34,7 @@ def speech_gaps(utts: DataFrame, min_us: int, audio_us: Column, closed_end: bool
 def interpolate(probes: DataFrame, knots: DataFrame, keys: list[str], time: str = "t", value: str = "v",
                 block_us: int = BLOCK_US) -> DataFrame:
     """Linear interpolation of ``value`` at probe times, clamped to the first and last knot."""
-    back = asof(probes, knots, keys, time, [value], block_us, strict=False, out="_p")
-    both = asof(back, knots, keys, time, [value], block_us, strict=True, forward=True, out="_q")
+    both = asof_both(probes, knots, keys, time, [value], block_us, "_p", "_q")
     p, q, t = F.col("_p"), F.col("_q"), F.col(time)
     inner = p[value] + (q[value] - p[value]) * (t - p[time]) / (q[time] - p[time])
     out = F.when(p.isNull(), q[value]).when(q.isNull(), p[value]).otherwise(inner)

@@ -8,6 +8,7 @@ from reverbtable.functions.arrays import rnd
 from reverbtable.functions.scan import ewma
 from reverbtable.operators import evaluate as E
 from reverbtable.plans.book import Book
+from reverbtable.session import durable
 from reverbtable.sources import tables as T
 from reverbtable.sources.tables import load, r, with_views
 
@@ -139,6 +140,6 @@ def early_stop(spark, sf):
 @query("ensemble_epochs", with_views("series", STOP + f""" SELECT run, count(*) AS n_epochs, {r('avg(loss)')} AS mean_loss
     FROM ep JOIN fin USING (run) WHERE epoch BETWEEN greatest(1, best_epoch - 4) AND best_epoch GROUP BY run"""))
 def ensemble_epochs(spark, sf):
-    ep = epochs(spark, sf)
+    ep = durable(epochs(spark, sf))
     kept = E.ensemble_epochs(ep, E.early_stop(ep, "run", "epoch", "loss", 10), "run", "epoch")
     return kept.groupBy("run").agg(F.count(F.lit(1)).alias("n_epochs"), rnd(F.avg("loss")).alias("mean_loss"))
