@@ -34,6 +34,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(width, *keys)
 
 
+def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join one lookup row per key to many rows of that key.
+
+    The lookup gets an exchange of its own: with both inputs plain exchanges, adaptive
+    execution can split a hot key of ``rows`` (or turn to a broadcast if the lookup is small).
+    """
+    return rows.join(lookup.repartition(*[F.col(k) for k in keys]), keys, how)
+
+
 def time_block(col: str, width: float = BLOCK_US) -> Column:
     return F.floor(F.col(col) / F.lit(width)).cast("long")
 
@@ -159,7 +168,7 @@ def ewma(df: DataFrame, keys: list[str], n: str, x: str, alpha: float, out: str,
     rows = df.withColumns({"_blk": F.floor(F.col(n) / length).cast("long"), "_i": i,
                            "_q": F.col(x) * gain * F.pow(F.lit(alpha), -i.cast("double"))})
     part = [*keys, "_blk"]
-    local = F.sum("_q").over(W.partitionBy(*part).orderBy(n))
+    local = F.sum("_q").over(W.partitionBy(*part).orderBy(n).rowsBetween(W.unboundedPreceding, 0))
     ends = rows.groupBy(*part).agg((F.sum("_q") * F.pow(F.lit(alpha), F.lit(length - 1.0))).alias("_end"))
     # a block hands its end to the next three: an equi-join and a sum, no ordering of blocks
     step = F.explode(F.sequence(F.lit(1), F.lit(3)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reverbtable.functions.scan import attach
+
 
 def path_attributes(df: DataFrame, names: list[str], path: str = "path") -> DataFrame:
     """Last path components as columns, outermost first."""
@@ -70,13 +72,12 @@ def items(recordings: DataFrame, pairs: DataFrame, mode: set[str] = frozenset(),
     weight = F.col("duration_s") if "duration" in mode else F.lit(1.0)
     if "micpair" not in mode:
         weight = weight / F.col("_np")
-    # the count travels with the pairs, so recordings are joined once; both inputs of that
-    # join are plain exchanges, which lets adaptive execution split a hot array
-    listed = pairs.select(array, "m1", "m2").join(counts, array).repartition(F.col(array))
-    out = recordings.join(listed, array).withColumn("weight", weight).drop("_np")
+    # the count travels with the pairs, so recordings are joined once
+    listed = pairs.select(array, "m1", "m2").join(counts, array)
+    out = attach(recordings, listed, [array]).withColumn("weight", weight).drop("_np")
     if "room" in mode:
         per_room = out.groupBy("corpus", "room").agg(F.sum("weight").alias("_rw"))
-        out = (out.join(per_room, ["corpus", "room"])
+        out = (attach(out, per_room, ["corpus", "room"])
                .withColumn("weight", F.col("weight") / F.col("_rw")).drop("_rw"))
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reverbtable.functions.scan import Agg, ewma, scan
+from reverbtable.functions.scan import Agg, attach, ewma, scan
 from reverbtable.session import durable
 
 BLOCK = 4096  # rows of one series per block
@@ -38,7 +38,7 @@ def mean_baseline(df: DataFrame, task: str = "task", split: str = "split", gt: s
     folded = df.groupBy(task, split, gt).agg(F.count(F.lit(1)).alias("_c"))
     err = F.abs(F.col(gt) - F.col("train_mean")) * F.col("_c")
     mae = lambda cond: F.sum(F.when(cond, err)) / F.sum(F.when(cond, F.col("_c")))
-    return (folded.join(stats, task).groupBy(task)
+    return (attach(folded, stats, [task]).groupBy(task)
             .agg(F.first("train_mean").alias("train_mean"), F.first("train_min").alias("train_min"),
                  F.first("train_max").alias("train_max"), mae(train).alias("train_mae"),
                  mae(~train).alias("test_mae"),
@@ -112,19 +112,19 @@ def early_stop(df: DataFrame, run: str, epoch: str, loss: str, patience: int = 1
                    .withColumn("_is_best", F.col("_last") == F.col(epoch)))
     n = F.col(epoch)
     stop1 = last.groupBy(run).agg(F.min(F.when(n - F.col("_last") >= patience, n)).alias("stop1"))
-    second = last.join(stop1, run)
+    second = attach(last, stop1, [run])
     since = n - F.greatest("_last", "stop1")
     stop2 = second.groupBy(run).agg(
         F.first("stop1").alias("stop1"),
         F.min(F.when((n > F.col("stop1")) & ~F.col("_is_best") & (since >= patience), n)).alias("stop2"))
-    best = last.join(stop2, run).filter(F.col("_is_best") & (F.col("stop2").isNull() | (n <= F.col("stop2"))))
+    best = attach(last, stop2, [run]).filter(F.col("_is_best") & (F.col("stop2").isNull() | (n <= F.col("stop2"))))
     return best.groupBy(run).agg(F.first("stop1").alias("stop1"), F.first("stop2").alias("stop2"),
                                  F.max(n).alias("best_epoch"))
 
 
 def ensemble_epochs(metrics: DataFrame, best: DataFrame, run: str, epoch: str, width: int = 5) -> DataFrame:
     """The best epoch and the ones just before it."""
-    return metrics.join(best.select(run, "best_epoch"), run).filter(
+    return attach(metrics, best.select(run, "best_epoch"), [run]).filter(
         F.col(epoch).between(F.greatest(F.lit(1), F.col("best_epoch") - (width - 1)), F.col("best_epoch")))
 
 

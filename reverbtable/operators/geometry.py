@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from reverbtable.functions import acoustics as ac
+from reverbtable.functions.scan import attach
 
 
 def mic_pairs(mics: DataFrame, lo: float, hi: float, ordered: bool = False,
@@ -84,16 +85,14 @@ def tdoa(mics: DataFrame, sources: DataFrame, array: str = "array_id", c: float
     src = sources.select(array, "src_id", *[F.col(a).alias(f"s{a}") for a in "xyz"])
     p = lambda k: tuple(F.col(f"{k}{a}") for a in "xyz")
     diff = (ac.dist(p("s"), ac.xyz()) - ac.dist(p("s"), p("r"))) / F.lit(c)
-    # microphones are few: re-exchange them so that a hot array can be split on the source side
-    pairs = mics.join(ref, array).repartition(F.col(array))
-    return src.join(pairs, array).select(array, "src_id", "mic", diff.alias("tdoa"))
+    return attach(src, mics.join(ref, array), [array]).select(array, "src_id", "mic", diff.alias("tdoa"))
 
 
 def doa(array_centres: DataFrame, sources: DataFrame, array: str = "array_id") -> DataFrame:
     """[elevation, azimuth] and distance of a source seen from the array centre."""
     src = sources.select(array, "src_id", *[F.col(a).alias(f"s{a}") for a in "xyz"])
     sph = ac.cart2sph(*[F.col(f"s{a}") - F.col(a) for a in "xyz"])
-    return src.join(array_centres, array).select(array, "src_id", *[v.alias(k) for k, v in sph.items()])
+    return attach(src, array_centres, [array]).select(array, "src_id", *[v.alias(k) for k, v in sph.items()])
 
 
 def circular_array(df: DataFrame, nmic: Column, radius: Column, centre: bool = False) -> DataFrame:
@@ -119,7 +118,7 @@ def posed_mics(mics: DataFrame, pose: DataFrame, static: Column, key: str = "rec
     """Absolute microphone positions per pose frame; static records keep frame 0 only."""
     frames = pose.filter(~static | (F.col("frame") == 0))
     turned = ac.rotate(F.col("rot"), *ac.xyz())
-    return mics.join(frames, key).select(
+    return attach(frames, mics, [key]).select(
         key, "frame", "mic", *[(turned[a] + F.col(f"p{a}")).alias(a) for a in "xyz"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reverbtable.functions import arrays as A
 from reverbtable.functions.acoustics import DP_HALF_MS
-from reverbtable.functions.scan import Agg, scan, spread
+from reverbtable.functions.scan import Agg, attach, scan, spread
 
 # fixed values: regression levels in dB, start-major
 T60_GRID = [(start, start + span) for start in range(-5, -20, -2) for span in range(-10, -29, -2)]
@@ -113,7 +113,7 @@ def edc(df: DataFrame, keys: list[str]) -> DataFrame:
     The suffix sum is a running sum over descending n: a frame that starts at the current
     row would be re-summed for every row.
     """
-    w = W.partitionBy(*keys).orderBy(F.col("n").desc())
+    w = W.partitionBy(*keys).orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, 0)
     suffix = F.sum(F.col("v") * F.col("v")).over(w)
     return _samples(df, keys).select(
         *keys, "n", A.db(suffix / (F.col("tail") + 1e-10) + 1e-10).alias("edc"))
@@ -125,7 +125,7 @@ def t60(df: DataFrame, keys: list[str], fs: int) -> DataFrame:
     Suffix sums of y, n*y and y*y give any regression window as a difference of two rows,
     so the grid costs one aggregate per distinct level instead of 80 passes.
     """
-    w = W.partitionBy(*keys).orderBy(F.col("n").desc())
+    w = W.partitionBy(*keys).orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, 0)
     y, n = F.col("edc"), F.col("n").cast("double")
     sums = edc(df, keys).select(
         *keys, "n", "edc", F.sum(y).over(w).alias("sy"), F.sum(n * y).over(w).alias("sny"),
@@ -174,5 +174,5 @@ def exact_median(df: DataFrame, key: str, value: str, step: float) -> DataFrame:
     size = folded.groupBy(key).agg(F.sum("_c").alias("_size"))
     covers = lambda rank: (F.col("_n") >= rank) & (F.col("_n") - F.col("_c") < rank)
     lower, upper = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
-    mid = ranked.join(size, key)
+    mid = attach(ranked, size, [key])
     return mid.groupBy(key).agg(((F.max(F.when(covers(lower), F.col(value))) + F.max(F.when(covers(upper), F.col(value)))) / 2).alias("median"))

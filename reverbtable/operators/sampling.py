@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reverbtable.functions import acoustics as ac
 from reverbtable.functions.arrays import let
 from reverbtable.functions.draws import digest, pick_index, uniform, uniform_range
-from reverbtable.functions.scan import Agg, asof, row_index, scan, spread
+from reverbtable.functions.scan import Agg, asof, attach, row_index, scan, spread
 
 U_BLOCK = 1.0 / 4096  # draws are matched inside slices of the unit interval
 
@@ -31,7 +31,7 @@ def cdf(df: DataFrame, keys: list[str], weight: str, item: str, seed: str = "cdf
                {"_cum": Agg("sum", F.col(weight)), "_pos": Agg("count")})
     aggs = [F.sum(weight).alias("_tot"), F.count(F.lit(1)).alias("_cnt")]
     if keys:
-        run = run.join(df.groupBy(*keys).agg(*aggs), keys)
+        run = attach(run, df.groupBy(*keys).agg(*aggs), keys)
         tot, cnt = F.col("_tot"), F.col("_cnt")
     else:
         whole = df.agg(*aggs)
@@ -54,7 +54,7 @@ def draw(draws: DataFrame, item_cdf: DataFrame, keys: list[str], u: str, values:
 def prefix_split(df: DataFrame, keys: list[str], seed: str, item: str, lo: float, hi: float) -> DataFrame:
     """Rows int(n*lo) .. int(n*hi)-1 of the seeded order of each key."""
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    pos = shuffled_index(df, keys, seed, item, "pos").join(size, keys)
+    pos = attach(shuffled_index(df, keys, seed, item, "pos"), size, keys)
     return pos.filter((F.col("pos") >= F.floor(F.col("_size") * lo))
                       & (F.col("pos") < F.floor(F.col("_size") * hi))).drop("_size")
 
@@ -129,7 +129,7 @@ def other_speaker(utts: DataFrame, seed: str, speaker: str = "speaker", utt: str
     catalogue = ranks.join(size, speaker).select(F.col(speaker).alias("speaker_b"), F.col("rank").alias("rank_b"),
                                                  F.col("size").alias("size_b"))
     j = pick_index(n - 1, seed + ":spk", utt)
-    want = (rows.join(ranks, speaker)
+    want = (attach(rows, ranks, [speaker])
             .withColumn("rank_b", j + F.when(j >= F.col("rank"), 1).otherwise(0))
             .join(catalogue, "rank_b")
             .withColumn("pos_b", pick_index(F.col("size_b"), seed + ":utt", utt)))
@@ -145,7 +145,7 @@ def match_one(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
     The drawn position is part of the join key, so a key with m x n rows yields m, not m*n.
     """
     size = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    want = left.join(size, keys, "left").withColumn("_pos", pick_index(F.col("_size"), seed, left_id))
+    want = attach(left, size, keys, "left").withColumn("_pos", pick_index(F.col("_size"), seed, left_id))
     listed = shuffled_index(right.select(*keys, right_id), keys, seed + ":list", right_id, "_pos")
     return want.join(listed, [*keys, "_pos"], "left").select(*left.columns, right_id)
 
@@ -161,7 +161,7 @@ def concat_plan(utts: DataFrame, want: int, speaker: str = "speaker", utt: str =
     run = scan(utts.select(speaker, utt, length), [speaker], [utt], F.floor(F.col(utt) / 4096).cast("long"),
                {"at": Agg("sum", F.col(length), exclusive=True)})
     total = utts.groupBy(speaker).agg(F.sum(length).alias("total"))
-    run = run.join(total, speaker)
+    run = attach(run, total, [speaker])
     binned = run.select(speaker, F.col(utt).alias("used"), F.col("at").alias("used_at"),
                         F.floor(F.col("at") / want).cast("long").alias("bin"))
     lap = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("at") + want - 1) / F.col("total")).cast("long")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from reverbtable.functions import arrays as A
-from reverbtable.functions.scan import BLOCK_US, Agg, asof, asof_both, scan, spread, time_block
+from reverbtable.functions.scan import BLOCK_US, Agg, asof, asof_both, attach, scan, spread, time_block
 
 
 def speech_gaps(utts: DataFrame, min_us: int, audio_us: Column, closed_end: bool = False,
@@ -50,7 +50,7 @@ def last_before(probes: DataFrame, states: DataFrame, keys: list[str], value: st
 def relative_time(df: DataFrame, key: str, time: str = "t") -> DataFrame:
     """Time since the first row of a record, in seconds."""
     start = df.groupBy(key).agg(F.min(time).alias("_t0"))
-    return df.join(start, key).withColumn("t_rel", (F.col(time) - F.col("_t0")) / 1e6).drop("_t0")
+    return attach(df, start, [key]).withColumn("t_rel", (F.col(time) - F.col("_t0")) / 1e6).drop("_t0")
 
 
 def windows_of(n: Column, size: int, step: int) -> Column:
@@ -125,7 +125,7 @@ def moving_energy(clips: DataFrame, key: str, xs: str, length: int) -> DataFrame
     long = (spread(clips.select(key, padded.alias("_e")), key)
             .select(key, F.size("_e").alias("len"), F.posexplode("_e").alias("n", "v")))
     w = W.partitionBy(key).orderBy("n")
-    run = long.withColumn("_s", F.sum("v").over(w))
+    run = long.withColumn("_s", F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return run.select(key, "n", "len", ((F.col("_s") - F.coalesce(F.lag("_s", length).over(w), F.lit(0.0))) / length).alias("e"))
 
 

@@ -77,3 +77,18 @@ def test_ewma_over_many_blocks(spark, alpha):
     for i, x in enumerate(xs):
         s = x if i == 0 else alpha * s + (1 - alpha) * x
         assert got[i] == pytest.approx(s, abs=1e-9)
+
+
+def test_hot_key_join_is_splittable(spark):
+    """Both inputs of a lookup join are plain exchanges, which skew handling needs."""
+    from reverbtable.functions.scan import attach
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+        plan = attach(df, df.groupBy("k").agg(F.count("*").alias("c")), ["k"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = [x.strip(" :+-") for x in plan.splitlines()]
+    sorts = [i for i, x in enumerate(lines) if x.startswith("Sort ")]
+    assert len(sorts) == 2 and all(lines[i + 1].startswith("Exchange hashpartitioning(k") for i in sorts)
