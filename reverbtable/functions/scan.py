@@ -37,10 +37,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join one lookup row per key to many rows of that key.
 
-    The lookup gets an exchange of its own: with both inputs plain exchanges, adaptive
-    execution can split a hot key of ``rows`` (or turn to a broadcast if the lookup is small).
+    Adaptive execution splits a hot key only where both join inputs are plain exchanges. An
+    aggregated lookup is already partitioned by its keys and would be joined in place, so it is
+    moved once more first: it is narrow, and the rows of a hot key then spread over tasks (or
+    the join turns to a broadcast if the lookup proves small).
     """
-    return rows.join(lookup.repartition(*[F.col(k) for k in keys]), keys, how)
+    return rows.join(lookup.repartition(F.xxhash64(*keys)), keys, how)
 
 
 def time_block(col: str, width: float = BLOCK_US) -> Column:
