@@ -56,7 +56,7 @@ def min_duration(spark, sf):
 
 @query("stage_rooms", """SELECT doc_id AS rec_id, source AS corpus, lang AS room FROM documents WHERE lang IN ('en', 'de')""")
 def stage_rooms(spark, sf):
-    split = spark.createDataFrame(SPLIT_ROWS, "room string, stage string")
+    split = T.literal_table(spark, ["room", "stage"], SPLIT_ROWS)
     return C.in_stage(T.recordings(spark, sf), split, "train", ["room"]).select("rec_id", "corpus", "room")
 
 

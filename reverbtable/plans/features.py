@@ -192,9 +192,12 @@ VIEWS = f"""rk AS (SELECT vec_id AS sig_id, p, row_number() OVER (PARTITION BY v
 
 def view_rows(spark, sf):
     """Four patches of eight samples per channel, two of them masked on one channel."""
-    rows = T.signals(spark, sf).select("sig_id", "ch", F.posexplode("x").alias("n", "v"))
-    rows = rows.select("sig_id", "ch", F.floor(F.col("n") / 8).cast("int").alias("patch"), (F.col("n") % 8).alias("pos"), "v")
-    return X.masked_views(rows, "v", X.masked_patches("sig_id", "T", 2, (4, 1)), X.masked_channel("sig_id", 2))
+    # the mask is drawn once per channel row, before samples become rows
+    drawn = T.signals(spark, sf).select("sig_id", "ch", "x", X.masked_patches("sig_id", "T", 2, (4, 1)).alias("mask"),
+                                        X.masked_channel("sig_id", 2).alias("mask_ch"))
+    rows = drawn.select("sig_id", "ch", "mask", "mask_ch", F.posexplode("x").alias("n", "v"))
+    rows = rows.withColumns({"patch": F.floor(F.col("n") / 8).cast("int"), "pos": F.col("n") % 8})
+    return X.masked_views(rows, "v", F.col("mask"), F.col("mask_ch")).drop("mask", "mask_ch", "n")
 
 
 @query("masked_views", with_views("signal", VIEWS + f""" SELECT sig_id, ch, patch::INTEGER AS patch, pos::INTEGER AS pos, hid AND own AS hidden,

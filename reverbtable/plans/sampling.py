@@ -121,7 +121,7 @@ def crop_range(spark, sf):
     FROM documents JOIN {STAGE_SQL} ON s.stage = CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'preval' ELSE 'pretrain' END""")
 def record_seeds(spark, sf):
     """Stage gives folder and base seed; a record draws from base seed plus its index."""
-    stages = spark.createDataFrame(STAGES, "stage string, seed long, folder string")
+    stages = T.literal_table(spark, ["stage", "seed", "folder"], STAGES)
     k = F.col("rec_id") % 10
     rec = T.recordings(spark, sf).select("rec_id", F.when(k == 0, "test").when(k == 1, "preval").otherwise("pretrain").alias("stage"))
     out = rec.join(stages, "stage").withColumn("record_seed", F.col("seed") + F.col("rec_id"))

@@ -98,9 +98,9 @@ def transform_chain(spark, sf):
       CASE WHEN lang IN ('en', 'fr') THEN n_chars/100.0 ELSE 1.0 END::DOUBLE AS weight FROM documents""")
 def corpus_rules(spark, sf):
     """Corpora described by rows (layout pattern, weight mode) instead of classes."""
-    rules = spark.createDataFrame([(lang, pat, mode) for lang, pat, mode in [
+    rules = T.literal_table(spark, ["room", "layout", "mode"], [
         ("en", "^([^/]+)/", "duration"), ("fr", "^([^/]+)/", "duration"),
-        ("de", "^[^/]+/([^/]+)/", "item"), ("es", "^[^/]+/([^/]+)/", "item")]], "room string, layout string, mode string")
+        ("de", "^[^/]+/([^/]+)/", "item"), ("es", "^[^/]+/([^/]+)/", "item")])
     out = T.recordings(spark, sf).join(rules, "room")
     return out.select("rec_id", F.expr("regexp_extract(path, layout, 1)").alias("layout_room"),
                       F.when(F.col("mode") == "duration", F.col("duration_s")).otherwise(1.0).alias("weight"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reverbtable.functions.arrays import let
+
 # workers get this module inside the task, so they need not have the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -119,7 +121,8 @@ def key_value_map(text: Column) -> Column:
     pairs = F.filter(words, lambda w: F.size(w) == 2)
     # a repeated key keeps its last value
     entries = F.transform(pairs, lambda w: F.struct(F.substring(F.get(w, F.lit(0)), 2, 1 << 20).alias("k"), F.get(w, F.lit(1)).alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
+    last = let(entries, lambda es: F.filter(es, lambda e, i: ~F.exists(
+        F.slice(es, i + 2, F.size(es)), lambda o: o["k"] == e["k"])))
     return F.map_from_entries(last)
 
 

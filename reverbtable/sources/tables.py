@@ -18,6 +18,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A fixed definition table inside the plan: no Python rows are shipped to tasks."""
+    values = ", ".join("(" + ", ".join(f"CAST({v} AS BIGINT)" if isinstance(v, int) else f"'{v}'" for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def mics(spark, sf_dir) -> DataFrame:
     e = load(spark, sf_dir, "embeddings")
     xyz = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")]
