@@ -68,7 +68,7 @@ def stage_rooms(spark, sf):
       count(*) FILTER (doc_id % 10 = n_chars % 10) AS n_right_array
     FROM documents GROUP BY 1""")
 def selection_rules(spark, sf):
-    """The small row filters of the catalogue in one pass over the table."""
+    """The small row filters of the catalogue, each as its operator; survivors counted per corpus."""
     d = load(spark, sf, "documents").select(
         "doc_id", "lang", F.col("source").alias("corpus"),
         F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 1, "_dp.wav").otherwise(".wav")).alias("path"),

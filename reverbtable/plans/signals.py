@@ -63,11 +63,11 @@ def convolve(spark, sf):
 
 @query("convolve_table", with_views("rir mono", f"""
     SELECT m.sig_id, rir.ch, (m.n + rir.n)::INTEGER AS n, {r('sum(x*h)')} AS x FROM mono m JOIN rir ON rir.rir_id = m.sig_id
-    WHERE m.n + rir.n < 64 AND rir.n < 8 GROUP BY ALL"""))
+    WHERE m.n + rir.n < 64 GROUP BY ALL"""))
 def convolve_table(spark, sf):
-    """The same by join and sum, with the first eight taps as the short response."""
+    """Convolution by join and sum: every clip with the response of the same number."""
     src = T.mono(spark, sf).select("sig_id", F.posexplode("x").alias("n", "x"))
-    taps = T.rirs(spark, sf).select(F.col("rir_id").alias("sig_id"), "ch", F.posexplode(F.slice("h", 1, 8)).alias("k", "h"))
+    taps = T.rirs(spark, sf).select(F.col("rir_id").alias("sig_id"), "ch", F.posexplode("h").alias("k", "h"))
     return S.convolve_table(src, taps, "sig_id").select("sig_id", "ch", "n", rnd(F.col("y")).alias("x"))
 
 

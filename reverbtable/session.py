@@ -30,11 +30,15 @@ def build_session(app: str = "reverbtable", master: str | None = None, **conf: s
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder the cluster names in spark.checkpoint.dir.
 
-    A private folder is made only where the setting is absent (tests, notebooks).
+    Where the setting is absent a private folder serves local runs; a cluster must name one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
-                            or tempfile.mkdtemp(prefix="reverbtable-ck-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="reverbtable-ck-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
