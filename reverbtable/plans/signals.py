@@ -192,7 +192,29 @@ def babble(spark, sf):
     return out.select("sig_id", "ch", F.posexplode("x").alias("n", "v")).select("sig_id", "ch", "n", rnd(F.col("v")).alias("x"))
 
 
-@query("diffuse_noise")
+def gauss_sql(ch):
+    return (f"sqrt(-2*ln(greatest({u(f'w:{ch}:a', 'vec_id', 'n')}, pow(2.0, -33))))"
+            f"*cos(2*pi()*{u(f'w:{ch}:b', 'vec_id', 'n')})")
+
+
+DIFFUSE = f"""WITH nz AS (SELECT vec_id AS sig_id, n, {gauss_sql(0)} AS a, {gauss_sql(1)} AS b FROM embeddings, range(0,256) t(n)),
+  hw AS (SELECT i, 0.5 - 0.5*cos(2*pi()*i/64) AS w FROM range(0,64) t(i)),
+  fr AS (SELECT sig_id, t, i, a*w AS a, b*w AS b FROM nz, range(0,13) q(t), hw WHERE n = t*16 + i),
+  st AS (SELECT sig_id, t, k, sum(a*cos(2*pi()*k*i/64)) AS ar, -sum(a*sin(2*pi()*k*i/64)) AS ai,
+      sum(b*cos(2*pi()*k*i/64)) AS br, -sum(b*sin(2*pi()*k*i/64)) AS bi FROM fr, range(1,33) q(k) GROUP BY ALL),
+  gm AS (SELECT k, sin(x)/x AS g FROM (SELECT k, 2*pi()*(k*250.0::DOUBLE)*0.1::DOUBLE/343.0::DOUBLE AS x FROM range(1,33) q(k))),
+  mx AS (SELECT sig_id, t, k, ar, ai, g*ar + sqrt(1-g*g)*br AS br, g*ai + sqrt(1-g*g)*bi AS bi FROM st JOIN gm USING (k)),
+  iv AS (SELECT sig_id, t, i, sum(CASE WHEN k = 32 THEN ar*cos(pi()*i) ELSE 2*(ar*cos(2*pi()*k*i/64) - ai*sin(2*pi()*k*i/64)) END)/64 AS a,
+      sum(CASE WHEN k = 32 THEN br*cos(pi()*i) ELSE 2*(br*cos(2*pi()*k*i/64) - bi*sin(2*pi()*k*i/64)) END)/64 AS b
+      FROM mx, range(0,64) q(i) GROUP BY ALL),
+  oa AS (SELECT sig_id, t*16 + i AS n, sum(a*w) AS a, sum(b*w) AS b, sum(w*w) AS p FROM iv JOIN hw USING (i) GROUP BY ALL),
+  ds AS (SELECT sig_id, n, a/CASE WHEN p > 1e-10 THEN p ELSE 1 END AS a, b/CASE WHEN p > 1e-10 THEN p ELSE 1 END AS b FROM oa),
+  tp AS (SELECT sig_id, greatest(max(a), max(b)) + 1e-10 AS m FROM ds GROUP BY 1)
+  SELECT sig_id, 0::INTEGER AS ch, n::INTEGER AS n, (round(a/m, 6) + 0.0::DOUBLE) AS x FROM ds JOIN tp USING (sig_id)
+  UNION ALL SELECT sig_id, 1::INTEGER, n::INTEGER, (round(b/m, 6) + 0.0::DOUBLE) FROM ds JOIN tp USING (sig_id)"""
+
+
+@query("diffuse_noise", DIFFUSE)
 def diffuse_noise(spark, sf):
     """White noise mixed to the coherence of a diffuse field for a 10 cm pair."""
     df = spread(load(spark, sf, "embeddings").select(F.col("vec_id").alias("sig_id")))

@@ -21,6 +21,8 @@ def test_every_twin_has_a_query():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "BatchEvalPython" not in plan
     if name in ORACLE:
         assert compare(df, con, ORACLE[name]) == ""
     else:
