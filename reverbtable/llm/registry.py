@@ -6,7 +6,7 @@ import importlib
 
 from reverbtable.llm import book
 
-MODULES = ["ngram_join"]
+MODULES = ["ngram_join", "quality_rules", "sharding", "url_filter"]
 
 
 def queries() -> dict:
