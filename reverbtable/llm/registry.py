@@ -6,7 +6,8 @@ import importlib
 
 from reverbtable.llm import book
 
-MODULES = ["ngram_join", "quality_rules", "sharding", "url_filter"]
+MODULES = ["ngram_join", "quality_rules", "sharding", "url_filter", "packing",
+           "token_blocks"]
 
 
 def queries() -> dict:
