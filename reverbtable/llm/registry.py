@@ -7,7 +7,7 @@ import importlib
 from reverbtable.llm import book
 
 MODULES = ["ngram_join", "quality_rules", "sharding", "url_filter", "packing",
-           "token_blocks"]
+           "token_blocks", "license_scan", "html_text"]
 
 
 def queries() -> dict:
