@@ -4,7 +4,7 @@ Every text is the set of its five-word shingles. Texts with equal sets form one
 sample of its shingles. A run starts with all classes in one bucket; each bucket splits on a few sampled shingles
 (sample places drawn by the bucket's own path), so two classes stay together where they share the sampled shingle.
 Buckets of at most `leaf` classes, and buckets that a split no longer shrinks because their members are alike, are
-compared by brute force; the others split again. A pair with similarity s survives a split into m branches with
+compared by brute force (every two blocks of WIDTH classes meet in one task); the others split again. A pair with similarity s survives a split into m branches with
 q = 1 - (1 - s q)^m at any depth, so `runs` is the least number with 1 - (1 - q)^runs >= recall.
 
 Comparisons on samples only choose candidates. A class with a candidate partner is checked exactly: candidates form
@@ -32,7 +32,8 @@ SHINGLE = 5
 RECALL = 0.9999
 BRANCHES = 2      # sampled shingles per split
 SAMPLE = 64       # minwise values kept per class
-LEAF = 256        # classes compared by brute force
+LEAF = 256        # a bucket of more classes splits again
+WIDTH = 2048      # samples per side when a bucket that no longer shrinks is compared in blocks
 BLOCK = 512       # classes per side of an exact check
 SLACK = 5.0       # standard deviations of the sample estimate below the threshold that still count as candidates
 
@@ -143,7 +144,7 @@ def _candidates(classes: DataFrame, threshold: float, recall: float, leaf: int)
         done = (F.col("new") <= leaf) | (F.col("size").isNotNull() & (F.col("new") * 2 > F.col("size")))
         split = written(drawn.join(sizes, "path").select(
             "node", "path", F.col("new").alias("size"), done.alias("done")), "paths")
-        edges = _compared(split.where("done").join(classes.select("node", "n", "brief"), "node"), low, threshold, leaf)
+        edges = _compared(split.where("done").join(classes.select("node", "n", "brief"), "node"), low, threshold)
         found = edges if found is None else found.unionByName(edges)
         level = split.where("not done").drop("done").join(classes.select("node", "sample"), "node")
         if split.where("not done").isEmpty():
@@ -172,7 +173,7 @@ def _matrix(column: pa.ChunkedArray, width: int, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _compared(rows: DataFrame, low: float, threshold: float, leaf: int) -> DataFrame:
+def _compared(rows: DataFrame, low: float, threshold: float) -> DataFrame:
     """Forest edges of each bucket's look-alikes; a large bucket is cut in blocks, every two of which meet in one unit."""
     def forest(table: pa.Table) -> Iterator[pa.RecordBatch]:
         node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
@@ -191,7 +192,7 @@ def _compared(rows: DataFrame, low: float, threshold: float, leaf: int) -> DataF
             a, b = np.array(out, np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / leaf).cast("int"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / WIDTH).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node", "path"), "blocks").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64(
         "path", F.least(k, "mine"), F.greatest(k, "mine")))
