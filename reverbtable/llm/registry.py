@@ -7,7 +7,7 @@ import importlib
 from reverbtable.llm import book
 
 MODULES = ["ngram_join", "quality_rules", "sharding", "url_filter", "packing",
-           "token_blocks", "license_scan", "html_text", "line_dedup"]
+           "token_blocks", "license_scan", "html_text", "line_dedup", "decontaminate"]
 
 
 def queries() -> dict:
