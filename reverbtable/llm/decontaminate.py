@@ -70,8 +70,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that leak a benchmark item; all columns stay."""
     gone = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_gone")).distinct()
-    key = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
-    return docs.join(gone, key == F.col("_gone"), "left_anti")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(
+        F.col(doc_id).cast("long"), F.xxhash64(text)).alias("_gone"))
+    return keyed.join(gone, "_gone", "left_anti").select("_row.*")
 
 
 def _pass(docs: DataFrame, bench: DataFrame, similar: float) -> DataFrame:

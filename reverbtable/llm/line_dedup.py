@@ -70,7 +70,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """docs with text cut by its recurring lines, plus n_lines and n_dropped; other columns and the row count stay.
 
     A line's words are runs of non-blank characters. Null and empty texts stay as they are (0 lines dropped; null has
-    0 lines). A line repeated inside one document counts once for it and is not dropped for that alone. Rows that
+    0 lines). Columns named n_lines or n_dropped are replaced. A line repeated inside one document counts once for it and is not dropped for that alone. Rows that
     repeat an id are one document; a null id stands for the hash of its text. A document may be left with empty text.
     """
     key = F.xxhash64(doc_id, text)
@@ -85,13 +85,15 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     recurring = docs_of.where(F.col("docs") >= least).select("template", "first")
     gone = held.join(recurring, "template").where(F.col("doc_id") != F.col("first"))
     gone = gone.groupBy("rid").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("rid", "_rid")
-    out = docs.withColumn("_rid", key).join(gone, "_rid", "left")
-    split = F.split(text, "\n")
+    out = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_rid")).join(gone, "_rid", "left")
+    whole = F.col("_row").getField(text)
+    split = F.split(whole, "\n")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    plain = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    return out.select(*plain, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept).alias(text),
-                      F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-                      F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    made = {text: F.when(F.col("_gone").isNull(), whole).otherwise(kept),
+            "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"),
+            "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in made],
+                      *[v.alias(c) for c, v in made.items()])
 
 
 _NUMBER = "cast('0x' || substr(md5({}), 1, 15) as bigint)"

@@ -86,11 +86,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     """
     classes = near_duplicates(docs, doc_id, text, **how)
     gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text)))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(
+        F.col(doc_id).cast("long"), F.xxhash64(text)).alias("_key"), F.xxhash64(text).alias("_text"))
     # the window asks for the partitioning that the join has made
-    again = F.row_number().over(Window.partitionBy("_key", F.xxhash64(text)).orderBy("_key"))
-    return (keyed.join(gone, "_key", "left_anti").withColumn("_again", again).where("_again = 1")
-            .select(*docs.columns))
+    again = F.row_number().over(Window.partitionBy("_key", "_text").orderBy("_key"))
+    return keyed.join(gone, "_key", "left_anti").withColumn("_again", again).where("_again = 1").select("_row.*")
 
 
 def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -29,6 +29,9 @@ DIGITS = "0123456789"
 MARKS = "!?.,;:"
 WINDOW = 8
 
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept", "_w", "_l",
+        "_upper", "_digits", "_marks", "_n_lines", "_n_distinct", "words", "mean_word", "symbols", "upper", "digits",
+        "marks", "repeats", "dup_lines", "distinct", "line_words"]
 FEATURES = ["words", "mean_word", "symbols", "upper", "digits", "marks", "repeats", "dup_lines", "distinct", "line_words"]
 
 
@@ -68,7 +71,9 @@ def _repeat_words(words: Column) -> Column:
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the
     features of the learner (integers, shares in thousandths). Words are runs of [^\\x20\\x09-\\x0D]; null is no text.
+    Columns of docs with these names are replaced, others stay; repeated rows each give a row.
     """
+    docs = docs.drop(*[c for c in MADE if c in docs.columns])
     t = F.coalesce(F.col(text), F.lit(""))
     blank = F.length(_without(t, WHITE))
     flat = F.translate(t, WHITE, " " * len(WHITE))
