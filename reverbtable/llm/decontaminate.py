@@ -125,9 +125,9 @@ def build(docs: DataFrame, bench: DataFrame) -> Index:
 
 def randomised_svd(passages: DataFrame, width: int, rank: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """Leading right singular vectors (width x rank) of a distributed sparse matrix of rows (words, weights)."""
-    q = np.random.default_rng(seed).standard_normal((width, rank))
+    z = np.random.default_rng(seed).standard_normal((width, rank))
     for _ in range(rounds + 1):
-        q, _ = np.linalg.qr(q)
+        q, _ = np.linalg.qr(z)
         z = _gram(passages, q)
     # the small matrix q' A'A q turns q into singular directions
     value, turn = np.linalg.eigh(q.T @ z)
