@@ -37,8 +37,9 @@ def sph2cart(azi: Column, ele: Column, r: Column | None = None) -> dict[str, Col
 
 
 def unit(x: Column, y: Column, z: Column) -> dict[str, Column]:
+    """Direction of a vector; null for the zero vector."""
     n = norm(x, y, z)
-    return {"x": x / n, "y": y / n, "z": z / n}
+    return {"x": F.try_divide(x, n), "y": F.try_divide(y, n), "z": F.try_divide(z, n)}
 
 
 def rotate_z(x: Column, y: Column, z: Column, deg: Column, scale: Column, shift: tuple) -> dict[str, Column]:
@@ -74,7 +75,7 @@ def sabine_t60(lx: Column, ly: Column, lz: Column, walls: list[Column], eps: flo
 
 def absorption_from_t60(lx: Column, ly: Column, lz: Column, t60: Column, half_surface: bool = False) -> Column:
     s = surface(lx, ly, lz)
-    return SABINE * volume(lx, ly, lz) / ((s / 2.0 if half_surface else s) * t60)
+    return F.try_divide(SABINE * volume(lx, ly, lz), (s / 2.0 if half_surface else s) * t60)
 
 
 def wall_weight_for_t60(lx: Column, ly: Column, lz: Column, t60: Column, weights: list[Column]) -> tuple:

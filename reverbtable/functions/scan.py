@@ -154,29 +154,50 @@ def asof_both(left: DataFrame, right: DataFrame, keys: list[str], time: str, val
 
 
 def ewma(df: DataFrame, keys: list[str], n: str, x: str, alpha: float, out: str,
-         first_counts_full: bool = True) -> DataFrame:
-    """s_n = alpha*s_{n-1} + (1-alpha)*x_n over dense n = 0, 1, ...
+         first_counts_full: bool = True, cap: int = 1 << 20) -> DataFrame:
+    """s_n = alpha*s_{n-1} + (1-alpha)*x_n over dense n = 0, 1, ... for alpha in [0, 1].
 
     With ``first_counts_full`` s_0 = x_0, otherwise the recursion starts from zero.
-    Inside a block of L rows the recursion is a running sum of x*alpha^-i times alpha^i.
-    L is chosen so that alpha^L is about 1e-30: three earlier blocks then carry every
-    digit a double can hold.
     """
-    length = max(1, min(1 << 20, int(69.0 / -math.log(alpha)))) if 0.0 < alpha < 1.0 else 1
-    i = F.col(n) % length
+    if not 0.0 <= alpha <= 1.0:
+        raise ValueError(f"alpha must lie in [0, 1], not {alpha}")
+    if alpha == 0.0:
+        return df.select(*df.columns, F.col(x).cast("double").alias(out))
+    if alpha == 1.0:  # the first value for ever, or zero
+        if not first_counts_full:
+            return df.select(*df.columns, F.lit(0.0).alias(out))
+        first = df.filter(F.col(n) == 0).select(*keys, F.col(x).cast("double").alias("_x0"))
+        whole = attach(df, first, keys, "left") if keys else df.withColumn("_x0", first.select("_x0").scalar())
+        return whole.select(*df.columns, F.coalesce("_x0", F.lit(0.0)).alias(out))
     gain = F.lit(1.0 - alpha)
     if first_counts_full:
         gain = F.when(F.col(n) == 0, 1.0).otherwise(gain)
+    return decayed_sum(df.withColumn("_g", F.col(x) * gain), keys, n, "_g", alpha, out, cap).drop("_g")
+
+
+def decayed_sum(df: DataFrame, keys: list[str], n: str, x: str, alpha: float, out: str, cap: int = 1 << 20) -> DataFrame:
+    """s_n = alpha*s_{n-1} + x_n over dense n = 0, 1, ..., for alpha in (0, 1).
+
+    Inside a block of L rows the recursion is a running sum of x*alpha^-i times alpha^i. L is chosen so that
+    alpha^L is about 1e-30, or is ``cap``. Up to 1e-10 three earlier blocks carry every digit a double can hold;
+    above it the block ends follow the same recursion with alpha^L, on a table ``cap`` times smaller.
+    """
+    length = max(1, min(cap, int(69.0 / -math.log(alpha))))
+    i = F.col(n) % length
     rows = df.withColumns({"_blk": F.floor(F.col(n) / length).cast("long"), "_i": i,
-                           "_q": F.col(x) * gain * F.pow(F.lit(alpha), -i.cast("double"))})
+                           "_q": F.col(x) * F.pow(F.lit(alpha), -i.cast("double"))})
     part = [*keys, "_blk"]
     local = F.sum("_q").over(W.partitionBy(*part).orderBy(n).rowsBetween(W.unboundedPreceding, 0))
     ends = rows.groupBy(*part).agg((F.sum("_q") * F.pow(F.lit(alpha), F.lit(length - 1.0))).alias("_end"))
-    # a block hands its end to the next three: an equi-join and a sum, no ordering of blocks
-    step = F.explode(F.sequence(F.lit(1), F.lit(3)))
-    carry = (ends.select(*keys, "_blk", "_end", step.alias("_k"))
-             .groupBy(*keys, (F.col("_blk") + F.col("_k")).alias("_blk"))
-             .agg(F.sum(F.col("_end") * F.pow(F.lit(alpha ** length), (F.col("_k") - 1).cast("double"))).alias("_carry")))
+    step = alpha ** length
+    if step > 1e-10:
+        carry = decayed_sum(ends.withColumnRenamed("_blk", "_b"), keys, "_b", "_end", step, "_carry", cap).select(
+            *keys, (F.col("_b") + 1).alias("_blk"), "_carry")
+    else:
+        # a block hands its end to the next three: an equi-join and a sum, no ordering of blocks
+        carry = (ends.select(*keys, "_blk", "_end", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("_k"))
+                 .groupBy(*keys, (F.col("_blk") + F.col("_k")).alias("_blk"))
+                 .agg(F.sum(F.col("_end") * F.pow(F.lit(step), (F.col("_k") - 1).cast("double"))).alias("_carry")))
     decayed = F.pow(F.lit(alpha), F.col("_i").cast("double"))
     return (rows.withColumn("_local", local).join(carry, part, "left")
             .select(*df.columns, (decayed * (F.col("_local") + F.lit(alpha) * F.coalesce("_carry", F.lit(0.0)))).alias(out)))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reverbtable.functions.scan import attach
-
 
 def path_attributes(df: DataFrame, names: list[str], path: str = "path") -> DataFrame:
     """Last path components as columns, outermost first."""
@@ -31,8 +29,8 @@ def in_stage(df: DataFrame, split_def: DataFrame, stage: str, on: list[str]) ->
     return df.join(split_def.filter(F.col("stage") == stage).select(*on).distinct(), on, "left_semi")
 
 
-def without_names(df: DataFrame, names: list[str], col: str) -> DataFrame:
-    return df.filter(~F.col(col).isin(names))
+def not_named(names: list[str], col: str) -> Column:
+    return ~F.col(col).isin(names)
 
 
 def spoken(df: DataFrame, keep_empty: Column | bool = False, text: str = "text") -> DataFrame:
@@ -40,25 +38,25 @@ def spoken(df: DataFrame, keep_empty: Column | bool = False, text: str = "text")
     return df.filter(keep | (F.col(text) != ""))
 
 
-def without_direct_path(df: DataFrame, path: str = "path") -> DataFrame:
-    return df.filter(~F.col(path).endswith("_dp.wav"))
+def not_direct_path(path: str = "path") -> Column:
+    return ~F.col(path).endswith("_dp.wav")
 
 
-def of_types(df: DataFrame, col: str, wanted: list[str] | None) -> DataFrame:
+def of_types(col: str, wanted: list[str] | None) -> Column:
     """Type filter; None keeps everything."""
-    return df if wanted is None else df.filter(F.col(col).isin(wanted))
+    return F.lit(True) if wanted is None else F.col(col).isin(wanted)
 
 
-def id_range(df: DataFrame, col: str, lo: int, hi: int) -> DataFrame:
-    return df.filter(F.col(col).between(lo, hi))
+def in_id_range(col: str, lo: int, hi: int) -> Column:
+    return F.col(col).between(lo, hi)
 
 
 def drop_channels_from(df: DataFrame, first_dropped: int, ch: str = "ch") -> DataFrame:
     return df.filter(F.col(ch) < first_dropped)
 
 
-def right_array_type(df: DataFrame, mic_id: str, type_id: str) -> DataFrame:
-    return df.filter(F.concat(F.lit("01-"), F.col(mic_id).cast("string")) == F.col(type_id))
+def right_array_type(mic_id: str, type_id: str) -> Column:
+    return F.concat(F.lit("01-"), F.col(mic_id).cast("string")) == F.col(type_id)
 
 
 def items(recordings: DataFrame, pairs: DataFrame, mode: set[str] = frozenset(),
@@ -68,24 +66,22 @@ def items(recordings: DataFrame, pairs: DataFrame, mode: set[str] = frozenset(),
     Only keys are expanded; samples join later. ``mode`` may hold 'duration' (weight by
     length), 'micpair' (every pair counts in full) and 'room' (rooms of a corpus count equally).
     """
-    counts = pairs.groupBy(array).agg(F.count(F.lit(1)).alias("_np"))
+    # an array's pairs are one row with as many entries as its microphones allow; they unfold after the join
+    listed = pairs.groupBy(array).agg(F.array_sort(F.collect_list(F.struct("m1", "m2"))).alias("_pairs"))
     weight = F.col("duration_s") if "duration" in mode else F.lit(1.0)
     if "micpair" not in mode:
-        weight = weight / F.col("_np")
-    # the count travels with the pairs, so recordings are joined once
-    listed = pairs.select(array, "m1", "m2").join(counts, array)
-    out = attach(recordings, listed, [array]).withColumn("weight", weight).drop("_np")
+        weight = weight / F.size("_pairs")
+    out = recordings.join(listed, array).withColumn("weight", weight)
     if "room" in mode:
-        per_room = out.groupBy("corpus", "room").agg(F.sum("weight").alias("_rw"))
-        out = (attach(out, per_room, ["corpus", "room"])
-               .withColumn("weight", F.col("weight") / F.col("_rw")).drop("_rw"))
-    return out
+        # a room's total comes from its recordings, before they unfold
+        per_room = out.groupBy("corpus", "room").agg(F.sum(F.col("weight") * F.size("_pairs")).alias("_rw"))
+        out = out.join(per_room, ["corpus", "room"]).withColumn("weight", F.col("weight") / F.col("_rw")).drop("_rw")
+    return out.withColumn("_p", F.explode("_pairs")).select(*recordings.columns, "_p.m1", "_p.m2", "weight")
 
 
-def corpus_hours(item_rows: DataFrame, by: list[str]) -> DataFrame:
-    """Hours over distinct files, with subtotals."""
-    files = item_rows.groupBy("path").agg(*[F.first(c).alias(c) for c in by],
-                                          F.first("duration_s").alias("duration_s"))
+def corpus_hours(recordings: DataFrame, pairs: DataFrame, by: list[str], array: str = "array_id") -> DataFrame:
+    """Hours of the files whose array has a pair, with subtotals; files are counted, not their pairs."""
+    files = recordings.join(pairs.select(array).distinct(), array, "left_semi")
     return files.rollup(*by).agg(F.count(F.lit(1)).alias("n_files"),
                                  (F.sum("duration_s") / 3600.0).alias("hours"))
 

@@ -35,13 +35,21 @@ def peak(xs: Column) -> Column:
 
 
 def peak_normalise(xs: Column, dp: Column | None = None, gain: float = 0.9, eps: float = 0.0) -> Column:
-    """Scale by the common peak of the signal and (if given) its direct-path version."""
-    def scaled(xs, top):
-        return A.let(F.lit(gain) / (top + eps), lambda g: F.transform(xs, lambda x: A.scaled(x, g)))
+    """Scale by the common peak of the signal and (if given) its direct-path version; a silent clip stays as it is."""
+    return peak_scaled([xs] if dp is None else [xs, dp], gain, eps)[0]
 
-    if dp is None:
-        return A.let(xs, lambda x: scaled(x, peak(x)))
-    return A.let_all([xs, dp], lambda x, d: scaled(x, F.greatest(peak(x), peak(d))))
+
+def peak_scaled(signals: list[Column], gain: float = 0.9, eps: float = 0.0) -> list[Column]:
+    """A signal, its direct path and its sources by one common factor: gain over the largest of the peaks of the first
+    two. All silent: unchanged."""
+    def scaled(*xs):
+        top = F.greatest(*[peak(x) for x in xs[:2]]) if len(xs) > 1 else peak(xs[0])
+        factor = F.coalesce(F.try_divide(F.lit(gain), top + eps), F.lit(1.0))
+        return A.let(factor, lambda g: F.struct(*[
+            F.transform(x, lambda c: A.scaled(c, g)).alias(f"s{k}") for k, x in enumerate(xs)]))
+
+    both = A.let_all(signals, scaled)
+    return [both.getField(f"s{k}") for k in range(len(signals))]
 
 
 def snr_gain(xs: Column, noise: Column, snr: Column, dp: Column | None = None, eps: float = 1e-10) -> Column:
@@ -51,10 +59,10 @@ def snr_gain(xs: Column, noise: Column, snr: Column, dp: Column | None = None, e
 
 
 def snr_mix(xs: Column, noise: Column, snr: Column, dp: Column | None = None) -> Column:
-    """Signal plus noise at the wanted SNR; one gain for all channels."""
+    """Signal plus noise at the wanted SNR; one gain for all channels. Shorter noise ends in zeros, longer is cut."""
     def mix(xs, noise, dp=None):
         return A.let(snr_gain(xs, noise, snr, dp), lambda g: F.zip_with(
-            xs, noise, lambda x, v: F.zip_with(x, v, lambda a, b: a + g * b)))
+            xs, noise, lambda x, v: F.zip_with(x, F.slice(v, F.lit(1), F.size(x)), lambda a, b: a + g * F.coalesce(b, F.lit(0.0)))))
 
     return A.let_all([xs, noise] if dp is None else [xs, noise, dp], mix)
 
@@ -177,8 +185,10 @@ def split_parts(x: Column, parts: int, length: int) -> Column:
 def mix_to_coherence(re: Column, im: Column, gamma: Column) -> Column:
     """Two independent spectra [channel][frame][bin] mixed so that they have coherence gamma.
 
-    The Cholesky factor of [[1, g], [g, 1]] is [[1, g], [0, sqrt(1 - g^2)]]; the DC bin is zeroed.
+    The Cholesky factor of [[1, g], [g, 1]] is [[1, g], [0, sqrt(1 - g^2)]]; the DC bin is zeroed. Another number
+    of channels is an error, as one coherence says nothing about a third.
     """
+    re = F.when(F.size(re) == 2, re).otherwise(F.raise_error(F.lit("coherence is given for two channels")))
     def mixed(part, gm):
         keep = F.transform(F.get(part, F.lit(0)), lambda fr: F.zip_with(fr, gm, lambda v, g: F.when(g["on"], v).otherwise(0.0)))
         other = F.zip_with(F.get(part, F.lit(0)), F.get(part, F.lit(1)), lambda p, q: F.zip_with(

@@ -132,8 +132,8 @@ def cross_spectrum(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def coherence(cross: DataFrame) -> DataFrame:
-    """Real part of the normalised cross spectrum."""
-    return cross.withColumn("coherence", F.col("re") / F.sqrt(F.col("p0") * F.col("p1")))
+    """Real part of the normalised cross spectrum; null in a silent bin."""
+    return cross.withColumn("coherence", F.try_divide(F.col("re"), F.sqrt(F.col("p0") * F.col("p1"))))
 
 
 # ---- patches ------------------------------------------------------------------------------
@@ -225,11 +225,11 @@ def masked_views(rows: DataFrame, value: str, masked: Column, ch_masked: Column)
 
 def masked_mse(rows: DataFrame, by: list[str], channels: int, pred: str = "pred", gt: str = "gt",
                hidden: str = "hidden") -> DataFrame:
-    """Error on hidden cells, the same per channel-summed cell, and over everything."""
+    """Error on hidden cells (null where none is hidden), the same per channel-summed cell, and over everything."""
     d = (F.col(pred) - F.col(gt)) * (F.col(pred) - F.col(gt))
     hit = F.sum(F.when(F.col(hidden), d).otherwise(0.0))
     return rows.groupBy(*by).agg(
-        (hit / F.sum(F.col(hidden).cast("int"))).alias("mse_masked"),
+        F.try_divide(hit, F.sum(F.col(hidden).cast("int"))).alias("mse_masked"),
         (hit * channels / F.count(F.lit(1))).alias("mse_masked_channel"), F.avg(d).alias("mse"))
 
 

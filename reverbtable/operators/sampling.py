@@ -164,7 +164,8 @@ def concat_plan(utts: DataFrame, want: int, speaker: str = "speaker", utt: str =
     run = attach(run, total, [speaker])
     binned = run.select(speaker, F.col(utt).alias("used"), F.col("at").alias("used_at"),
                         F.floor(F.col("at") / want).cast("long").alias("bin"))
-    lap = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("at") + want - 1) / F.col("total")).cast("long")))
+    # a speaker without a sample has nothing to ask for
+    lap = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.try_divide(F.col("at") + want - 1, F.col("total"))).cast("long")))
     asks = run.withColumn("lap", lap).select(
         speaker, F.col(utt).alias("start"), "at", "total", "lap",
         F.greatest(F.col("at") - F.col("lap") * F.col("total"), F.lit(0)).alias("lo"),
@@ -177,11 +178,27 @@ def concat_plan(utts: DataFrame, want: int, speaker: str = "speaker", utt: str =
                       (F.col("used_at") + F.col("lap") * F.col("total") - F.col("at")).alias("offset"))
 
 
-def concat_signals(plan: DataFrame, signals: DataFrame, want: int) -> DataFrame:
-    """Build the signals of a plan: at most want + one utterance samples per start."""
+def concat_signals(plan: DataFrame, signals: DataFrame, want: int, seed: str | None = None) -> DataFrame:
+    """Build the signals of a plan: up to want + one utterance samples per start, or with a seed a random crop of
+    want samples of that (ends included)."""
     parts = plan.join(signals.select(F.col("sig_id").alias("used"), "x"), "used")
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "x"))), lambda p: p["x"]))
-    return parts.groupBy("start").agg(whole.alias("x"))
+    out = parts.groupBy("start").agg(whole.alias("x"))
+    if seed is None:
+        return out
+    at = crop_start(F.size("x"), F.lit(want), uniform(seed, "start"))
+    return out.select("start", F.slice("x", (at + 1).cast("int"), F.lit(want)).alias("x"))
+
+
+def mixed_origins(real: DataFrame, simulated: DataFrame, use: tuple[bool, bool], weight: str = "weight") -> DataFrame:
+    """Real records, simulated ones, or both in one list with a column origin; each origin in use carries an equal
+    part of the total weight. Using neither is an error."""
+    sides = [(df, name) for df, name, on in ((real, "real", use[0]), (simulated, "simulated", use[1])) if on]
+    if not sides:
+        raise ValueError("use real records, simulated ones or both")
+    parts = [df.withColumn("origin", F.lit(name)).withColumn(
+        weight, F.lit(1.0 / len(sides)) / df.select(F.count(F.lit(1))).scalar()) for df, name in sides]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 # ---- scenarios ------------------------------------------------------------------------

@@ -33,12 +33,13 @@ def speech_gaps(utts: DataFrame, min_us: int, audio_us: Column, closed_end: bool
 
 def interpolate(probes: DataFrame, knots: DataFrame, keys: list[str], time: str = "t", value: str = "v",
                 block_us: int = BLOCK_US) -> DataFrame:
-    """Linear interpolation of ``value`` at probe times, clamped to the first and last knot."""
+    """Linear interpolation of ``value`` at probe times, clamped to the first and last knot; a probe whose key has no
+    knot, or knots without a value, keeps its row with null."""
     both = asof_both(probes, knots, keys, time, [value], block_us, "_p", "_q")
     p, q, t = F.col("_p"), F.col("_q"), F.col(time)
     inner = p[value] + (q[value] - p[value]) * (t - p[time]) / (q[time] - p[time])
     out = F.when(p.isNull(), q[value]).when(q.isNull(), p[value]).otherwise(inner)
-    return both.select(*probes.columns, out.alias(value)).filter(F.col(value).isNotNull())
+    return both.select(*probes.columns, out.alias(value))
 
 
 def last_before(probes: DataFrame, states: DataFrame, keys: list[str], value: str, time: str = "t") -> DataFrame:

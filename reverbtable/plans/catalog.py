@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reverbtable.functions.arrays import rnd
+from reverbtable.functions.scan import row_index
 from reverbtable.operators import catalog as C, geometry as G
 from reverbtable.plans.book import Book
 from reverbtable.plans.geometry import D, HI, LO
@@ -68,28 +69,23 @@ def stage_rooms(spark, sf):
       count(*) FILTER (doc_id % 10 = n_chars % 10) AS n_right_array
     FROM documents GROUP BY 1""")
 def selection_rules(spark, sf):
-    """The small row filters of the catalogue, each as its operator; survivors counted per corpus."""
+    """The small row filters of the catalogue, each as its predicate; survivors counted per corpus in one scan."""
     d = load(spark, sf, "documents").select(
         "doc_id", "lang", F.col("source").alias("corpus"),
         F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 1, "_dp.wav").otherwise(".wav")).alias("path"),
         (F.col("doc_id") % 10).alias("mic_id"), F.concat(F.lit("01-"), (F.col("n_chars") % 10).cast("string")).alias("type_id"))
-    # filters as operators, their survivors counted per corpus
-    def kept(df, name):
-        return df.groupBy("corpus").agg(F.count(F.lit(1)).alias(name))
-    out = kept(d, "n")
-    for name, part in {"n_not_blacklisted": C.without_names(d, ["src3", "src7"], "corpus"),
-                       "n_reader_range": C.id_range(d, "doc_id", 100, 700),
-                       "n_typed": C.of_types(d, "lang", ["en", "fr"]),
-                       "n_not_dp": C.without_direct_path(d),
-                       "n_right_array": C.right_array_type(d, "mic_id", "type_id")}.items():
-        out = out.join(kept(part, name), "corpus", "left").fillna(0, [name])
-    return out
-
-
-@query("spoken_turns", """SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'user' OR text <> ''""")
+    rules = {"n_not_blacklisted": C.not_named(["src3", "src7"], "corpus"), "n_reader_range": C.in_id_range("doc_id", 100, 700),
+             "n_typed": C.of_types("lang", ["en", "fr"]), "n_not_dp": C.not_direct_path(),
+             "n_right_array": C.right_array_type("mic_id", "type_id")}
+    return d.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(rule).alias(name) for name, rule in rules.items()])
+
+
+@query("spoken_turns", """SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 0 ELSE length(text) END AS n
+    FROM conversations WHERE role = 'user' OR (turn % 3 <> 2 AND text <> '')""")
 def spoken_turns(spark, sf):
     """Empty transcripts are dropped except for corpora that keep them."""
-    turns = load(spark, sf, "conversations")
+    text = F.when(F.col("turn") % 3 == 2, "").otherwise(F.col("text"))  # every third turn is silent
+    turns = load(spark, sf, "conversations").withColumn("text", text)
     return C.spoken(turns, F.col("role") == "user").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
 
 
@@ -111,23 +107,31 @@ def items_room_weight(spark, sf):
     FROM (SELECT path, any_value(corpus) AS corpus, any_value(room) AS room, any_value(duration_s) AS duration_s FROM it GROUP BY path)
     GROUP BY ROLLUP (corpus, room)"""))
 def corpus_hours(spark, sf):
-    return C.corpus_hours(item_rows(spark, sf), ["corpus", "room"]).withColumn("hours", rnd(F.col("hours")))
+    return C.corpus_hours(T.recordings(spark, sf), small_pairs(spark, sf), ["corpus", "room"]).withColumn(
+        "hours", rnd(F.col("hours")))
+
+
+SHEET_ROWS = 1048575  # rows of one sheet of the spreadsheet format
 
 
-@query("duration_sheet", f"""SELECT doc_id AS rec_id, {r('n_chars/100.0')} AS duration_s FROM documents
-    ORDER BY n_chars DESC, doc_id LIMIT 1048575""")
+@query("duration_sheet", f"""SELECT doc_id AS rec_id, {r('n_chars/100.0')} AS duration_s,
+    (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) // {SHEET_ROWS} AS sheet_no FROM documents""")
 def duration_sheet(spark, sf):
-    """The spreadsheet report; its row limit is the limit of the sheet format."""
-    rec = T.recordings(spark, sf)
-    return (rec.orderBy(F.desc("duration_s"), "rec_id").limit(1048575)
-            .select("rec_id", rnd(F.col("duration_s")).alias("duration_s")))
+    """The whole report, longest first; rows beyond one sheet go to the next."""
+    rec = T.recordings(spark, sf).select("rec_id", "duration_s", (-F.col("duration_s")).alias("_down"))
+    ranked = row_index(rec, [], ["_down", "rec_id"], F.floor("_down").cast("long"), "_n")
+    return ranked.select("rec_id", rnd(F.col("duration_s")).alias("duration_s"),
+                         F.floor(F.col("_n") / SHEET_ROWS).cast("long").alias("sheet_no"))
+
+
+FIRST_N = 400  # size of the drawn data set, the feature of the operator
 
 
-@query("first_n", """SELECT doc_id AS rec_id FROM documents ORDER BY md5('5:' || doc_id), doc_id LIMIT 400""")
+@query("first_n", f"""SELECT doc_id AS rec_id FROM documents ORDER BY md5('5:' || doc_id), doc_id LIMIT {FIRST_N}""")
 def first_n(spark, sf):
     """Dataset size capped at the files available: the first n of the seeded order."""
     from reverbtable.functions.draws import digest
-    return T.recordings(spark, sf).orderBy(digest("5", "rec_id"), "rec_id").limit(400).select("rec_id")
+    return T.recordings(spark, sf).orderBy(digest("5", "rec_id"), "rec_id").limit(FIRST_N).select("rec_id")
 
 
 @query("corpus_union", """SELECT corpus, count(*) AS n, count(room) AS n_room, count(speaker) AS n_speaker, count(snr) AS n_snr FROM (
@@ -161,20 +165,20 @@ def control_channel(spark, sf):
     return kept.groupBy("array_id").agg(F.count(F.lit(1)).alias("n_ch"), F.max("mic").alias("last_ch"))
 
 
-@query("distinct_speakers", """SELECT source AS corpus, count(DISTINCT lang) AS n_rooms, count(DISTINCT doc_id % 10) AS n_arrays FROM documents GROUP BY 1""")
-def distinct_speakers(spark, sf):
+@query("distinct_rooms_arrays", with_views("recordings", """SELECT corpus, count(DISTINCT room) AS n_rooms, count(DISTINCT array_id) AS n_arrays FROM recordings GROUP BY 1"""))
+def distinct_rooms_arrays(spark, sf):
     """Distinct lists per corpus; partial aggregation removes duplicates before the shuffle."""
     rec = T.recordings(spark, sf)
     return rec.groupBy("corpus").agg(F.countDistinct("room").alias("n_rooms"), F.countDistinct("array_id").alias("n_arrays"))
 
 
 @query("ace_label_join", with_views("small_arrays", f"""
-    lab AS (SELECT label AS array_id, (vec_id % 8)::INTEGER AS mic, {r('avg(embedding[1]::DOUBLE)')} AS t60, count(*) AS n
+    lab AS (SELECT vec_id // 8 AS array_id, (vec_id % 4)::INTEGER AS mic, {r('avg(embedding[1]::DOUBLE)')} AS t60, count(*) AS n
             FROM embeddings GROUP BY 1, 2)
     SELECT array_id, mic, t60, n FROM small_arrays JOIN lab USING (array_id, mic)"""))
 def ace_label_join(spark, sf):
-    """Published labels looked up by (array, channel)."""
+    """Published labels looked up by (array, channel); channels 4 to 7 of an array have none."""
     e = load(spark, sf, "embeddings")
-    labels = e.groupBy(F.col("label").cast("long").alias("array_id"), (F.col("vec_id") % 8).cast("int").alias("mic")).agg(
+    labels = e.groupBy(F.floor(F.col("vec_id") / 8).cast("long").alias("array_id"), (F.col("vec_id") % 4).cast("int").alias("mic")).agg(
         rnd(F.avg(F.get("embedding", F.lit(0)).cast("double"))).alias("t60"), F.count(F.lit(1)).alias("n"))
     return T.small_arrays(spark, sf).select("array_id", "mic").join(labels, ["array_id", "mic"])

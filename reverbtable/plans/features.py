@@ -164,7 +164,6 @@ MASK_SQL = {
     "T_cluster2": """WITH rk AS (SELECT vec_id AS sig_id, p, row_number() OVER (PARTITION BY vec_id ORDER BY md5('mask:' || vec_id || ':' || p), p) AS k FROM embeddings, range(0,16,5) t(p))
       SELECT sig_id, p::INTEGER AS patch FROM (SELECT sig_id, p + o AS p, row_number() OVER (PARTITION BY sig_id ORDER BY p + o) AS i
         FROM rk, range(0,5) q(o) WHERE k <= 3 AND p + o < 16) WHERE i <= 8""",
-    "T_1s": "SELECT vec_id AS sig_id, p::INTEGER AS patch FROM embeddings, range(192,256) t(p)",
 }
 
 

@@ -18,14 +18,14 @@ EDC_CTE = """curve AS (SELECT rir.*, 10*log10(sum(h*h) OVER (PARTITION BY rir_id
       ROWS UNBOUNDED PRECEDING) / (tail + 1e-10) + 1e-10) AS edc
     FROM rir JOIN (SELECT rir.rir_id, sum(h*h) AS tail FROM rir JOIN rir_peak USING (rir_id)
                    WHERE n >= nd GROUP BY rir.rir_id) USING (rir_id))"""
-FIT_CTE = EDC_CTE + """,
+FIT_CTE = EDC_CTE + f""",
   lv AS (SELECT DISTINCT unnest([-5 - 2*i, -5 - 2*i - 10 - 2*j]) AS level
          FROM range(0,8) a(i), range(0,10) b(j)),
-  hit AS (SELECT rir_id, level, arg_min(n, {'d': abs(edc - level), 'n': n}) AS at
+  hit AS (SELECT rir_id, level, arg_min(n, {{'d': abs(edc - level), 'n': n}}) AS at
           FROM curve CROSS JOIN lv GROUP BY ALL),
   grid AS (SELECT i*10 + j AS g, -5 - 2*i AS ls, -5 - 2*i - 10 - 2*j AS le
            FROM range(0,8) a(i), range(0,10) b(j)),
-  fit AS (SELECT c.rir_id, g, regr_slope(edc, n/1000.0::DOUBLE) AS slope, corr(edc, n::DOUBLE) AS corr
+  fit AS (SELECT c.rir_id, g, regr_slope(edc, n/{FS}.0::DOUBLE) AS slope, corr(edc, n::DOUBLE) AS corr
           FROM grid JOIN hit s ON s.level = ls JOIN hit e ON e.level = le AND e.rir_id = s.rir_id
           JOIN curve c ON c.rir_id = s.rir_id AND c.n >= s.at AND c.n < e.at
           WHERE e.at - s.at > 1 GROUP BY ALL),
@@ -34,6 +34,7 @@ FIT_CTE = EDC_CTE + """,
   t60 AS (SELECT k.rir_id, k.pair_id, k.ch, k.room, best.t60, coalesce(corr, 0) AS corr
           FROM (SELECT DISTINCT rir_id, pair_id, ch, room FROM rir) k LEFT JOIN best USING (rir_id))"""
 KEYS = ["rir_id", "pair_id", "ch", "room"]
+HALF = int(FS * R.DP_HALF_MS / 1000)  # samples on either side of the direct path
 
 
 @query("edc", with_views("rir rir_peak", EDC_CTE + f" SELECT rir_id, n, {r('edc')} AS edc FROM curve"))
@@ -72,10 +73,10 @@ def t60_median(spark, sf):
 
 @query("decay_check", with_views("rir rir_peak", FIT_CTE + f"""
     SELECT pair_id, {r('avg(t60)')} AS t60, {r('avg(corr)')} AS corr,
-      abs(avg(t60) - 0.09) < 0.05 AND abs(avg(corr)) > 0.5 AS accepted FROM t60 GROUP BY pair_id"""))
+      abs(avg(t60) - 0.22) < 0.05 AND abs(avg(corr)) > 0.5 AS accepted FROM t60 GROUP BY pair_id"""))
 def decay_check(spark, sf):
     fits = R.t60(T.rirs(spark, sf), ["rir_id", "pair_id"], FS)
-    return (R.decay_matches(fits, ["pair_id"], F.lit(0.09))
+    return (R.decay_matches(fits, ["pair_id"], F.lit(0.22))
             .select("pair_id", A.rnd(F.col("t60")).alias("t60"), A.rnd(F.col("corr")).alias("corr"), "accepted"))
 
 
@@ -92,13 +93,14 @@ def labelled(spark, sf):
     return R.energy_labels(df, FS)
 
 
-for _name, _cond in {"drr": "n BETWEEN nd-2 AND nd+2", "c50": "n <= nd+50", "c80": "n <= nd+80"}.items():
+for _name, _cond in {"drr": f"n BETWEEN nd-{HALF} AND nd+{HALF}", "c50": f"n <= nd+{FS * 50 // 1000}",
+                     "c80": f"n <= nd+{FS * 80 // 1000}"}.items():
     query(_name, ratio_sql(_name, _cond))(
         lambda spark, sf, c=_name: labelled(spark, sf).select("rir_id", "nd", A.rnd(F.col(c)).alias(c)))
 
 
 @query("drr_reference_channel", with_views("rir rir_peak", f"""
-    SELECT pair_id, {r('10*log10(sum(h*h) FILTER (abs(n-nd)<=2) / (coalesce(sum(h*h) FILTER (abs(n-nd)>2),0) + 1e-8) + 1e-8)')} AS drr
+    SELECT pair_id, {r(f'10*log10(sum(h*h) FILTER (abs(n-nd)<={HALF}) / (coalesce(sum(h*h) FILTER (abs(n-nd)>{HALF}),0) + 1e-8) + 1e-8)')} AS drr
     FROM rir JOIN rir_peak USING (rir_id) WHERE ch = 0 GROUP BY pair_id"""))
 def drr_reference_channel(spark, sf):
     return (R.energy_labels(T.rirs(spark, sf).filter("ch = 0").withColumn("h_dp", F.col("h")), FS)
@@ -106,7 +108,7 @@ def drr_reference_channel(spark, sf):
 
 
 @query("dp_mask", with_views("rir rir_peak", f"""
-    SELECT rir_id, n, {r('CASE WHEN abs(n-nd)<=2 THEN h ELSE 0 END', 9)} AS h FROM rir JOIN rir_peak USING (rir_id)"""))
+    SELECT rir_id, n, {r(f'CASE WHEN abs(n-nd)<={HALF} THEN h ELSE 0 END', 9)} AS h FROM rir JOIN rir_peak USING (rir_id)"""))
 def dp_mask(spark, sf):
     return (T.rirs(spark, sf).select("rir_id", F.posexplode(R.dp_mask(F.col("h"), FS)).alias("n", "h"))
             .select("rir_id", "n", A.rnd(F.col("h"), 9).alias("h")))
@@ -114,7 +116,7 @@ def dp_mask(spark, sf):
 
 @query("rir_dp_join", with_views("rir rir_peak", f"""
     SELECT rir_id, ch, {r('sum(h*h)', 9)} AS energy,
-      {r('sum(CASE WHEN abs(n-nd)<=2 THEN h*h ELSE 0 END)', 9)} AS dp_energy
+      {r(f'sum(CASE WHEN abs(n-nd)<={HALF} THEN h*h ELSE 0 END)', 9)} AS dp_energy
     FROM rir JOIN rir_peak USING (rir_id) GROUP BY rir_id, ch"""))
 def rir_dp_join(spark, sf):
     """Response joined to its separately stored direct-path response by stem."""
@@ -145,7 +147,7 @@ def dp_from_peaks(spark, sf):
 
 @query("drr_from_peaks", with_views("rir", PEAK_CTE + f""",
     dp AS (SELECT rir_id, min(n) FILTER (h >= 0.5*mx AND rk <= 5) AS nd FROM pk GROUP BY rir_id)
-    SELECT rir_id, {r('10*log10(coalesce(sum(h*h) FILTER (abs(n-nd)<=2),0) / (coalesce(sum(h*h) FILTER (abs(n-nd)>2),0) + 1e-8) + 1e-8)')} AS drr,
+    SELECT rir_id, {r(f'10*log10(coalesce(sum(h*h) FILTER (abs(n-nd)<={HALF}),0) / (coalesce(sum(h*h) FILTER (abs(n-nd)>{HALF}),0) + 1e-8) + 1e-8)')} AS drr,
       {r('10*log10(coalesce(sum(h*h) FILTER (n<=nd+50),0) / (coalesce(sum(h*h) FILTER (n>nd+50),0) + 1e-8) + 1e-8)')} AS c50
     FROM rir JOIN dp USING (rir_id) WHERE nd IS NOT NULL GROUP BY rir_id"""))
 def drr_from_peaks(spark, sf):
@@ -156,16 +158,22 @@ def drr_from_peaks(spark, sf):
 
 @query("rir_valid", with_views("rir", """
     SELECT room, count(DISTINCT rir_id) AS n_rir, count(DISTINCT rir_id) FILTER (ok) AS n_valid FROM (
-      SELECT rir_id, room, bool_and(NOT isnan(h) AND NOT isinf(h)) AND bool_or(h <> 0) AS ok FROM rir GROUP BY ALL)
+      SELECT rir_id, room, bool_and(NOT isnan(h) AND NOT isinf(h)) AND bool_or(h <> 0) AS ok FROM (
+        SELECT rir_id, room, CASE WHEN rir_id % 11 = 0 THEN 0.0 WHEN rir_id % 13 = 0 AND n = 5 THEN 'nan'::DOUBLE
+          WHEN rir_id % 17 = 0 AND n = 7 THEN '-inf'::DOUBLE ELSE h END AS h FROM rir) GROUP BY ALL)
     GROUP BY room"""))
 def rir_valid(spark, sf):
+    """Every 11th response is silent, others hold a NaN or an infinity."""
+    bad = lambda m, at, v: (F.col("rir_id") % m == 0, F.transform("h", lambda x, i: F.when(i == at, F.lit(v)).otherwise(x)))
+    h = F.when(F.col("rir_id") % 11 == 0, F.transform("h", lambda x: F.lit(0.0))).when(*bad(13, 5, float("nan"))).when(
+        *bad(17, 7, float("-inf"))).otherwise(F.col("h"))
     return (T.rirs(spark, sf).groupBy("room")
-            .agg(F.count(F.lit(1)).alias("n_rir"), F.count_if(R.is_valid(F.col("h"))).alias("n_valid")))
+            .agg(F.count(F.lit(1)).alias("n_rir"), F.count_if(R.is_valid(h)).alias("n_valid")))
 
 
 @query("rir_prefix", with_views("rir", f"""
     SELECT rir_id, count(*) AS n_kept, {r('sum(h*h)', 9)} AS energy FROM rir
-    WHERE n < floor(2*(0.01 + room*0.002)*1000) GROUP BY rir_id"""))
+    WHERE n < floor(2*(0.01 + room*0.002)*{FS}) GROUP BY rir_id"""))
 def rir_prefix(spark, sf):
     kept = R.prefix_by_t60(F.col("h"), 0.01 + F.col("room") * 0.002, FS)
     return (T.rirs(spark, sf).select("rir_id", kept.alias("h"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reverbtable.functions import acoustics as ac
 from reverbtable.functions.arrays import rnd
 from reverbtable.functions.draws import pick_index, uniform
 from reverbtable.operators import sampling as S
@@ -278,85 +277,6 @@ def concat_signal(spark, sf):
       SELECT 'simulated', 0.5::DOUBLE/(SELECT count(*) FROM embeddings) FROM embeddings) GROUP BY 1""")
 def source_mix(spark, sf):
     """Real and simulated sets in one item list, each carrying half of the total weight."""
-    real = T.recordings(spark, sf).select(F.lit("real").alias("origin"))
-    simu = load(spark, sf, "embeddings").select(F.lit("simulated").alias("origin"))
-    sides = [s.withColumn("w", F.lit(0.5) / s.select(F.count(F.lit(1))).scalar()) for s in (real, simu)]
-    return (sides[0].unionByName(sides[1]).groupBy("origin")
+    real, simulated = T.recordings(spark, sf).select("rec_id"), load(spark, sf, "embeddings").select(F.col("vec_id").alias("rec_id"))
+    return (S.mixed_origins(real, simulated, (True, True), "w").groupBy("origin")
             .agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("w")).alias("weight")))
-
-
-ROOM_RANGE = {"lx": (3.0, 10.0), "ly": (3.0, 8.0), "lz": (2.5, 6.0)}
-T60_RANGE, W_RANGE = (0.2, 1.3), (0.5, 1.0)
-
-
-def ur(lo, hi, seed, *ids):
-    return f"({lo}::DOUBLE + ({hi}::DOUBLE - {lo}::DOUBLE) * {u(seed, *ids)})"
-
-
-SC_AREA = "((w[1]+w[2])/top*ly*lz + (w[3]+w[4])/top*lx*lz + (w[5]+w[6])/top*lx*ly)"
-SCENARIO_SQL = f"""WITH rm AS (SELECT c_custkey AS id, {ur(3, 10, '2:lx', 'c_custkey')} AS lx, {ur(3, 8, '2:ly', 'c_custkey')} AS ly,
-      {ur(2.5, 6, '2:lz', 'c_custkey')} AS lz FROM customer),
-    tr AS (SELECT *, {ur(0.2, 1.3, '2:t60', 'id', 'a')} AS t60,
-      [{', '.join(ur(0.5, 1.0, f'2:w:{n}', 'id', 'a') for n in S.WEIGHT_NAMES)}] AS w FROM (SELECT *, unnest(range(0,16)) AS a FROM rm)),
-    ar AS (SELECT *, {SC_AREA} AS area, sqrt(lx*lx+ly*ly+lz*lz) AS diag, lx*ly*lz AS v FROM (SELECT *, list_max(w) AS top FROM tr)),
-    sx AS (SELECT *, least(1.0, 0.161*v/(t60*area)) AS x FROM ar),
-    ok AS (SELECT *, abs(t60 - 0.161*v/(x*area + 1e-4)) < 0.005 AND x*area <> 0
-        AND (1-x*w[1]/top)*(1-x*w[2]/top)*(1-x*w[3]/top)*(1-x*w[4]/top)*(1-x*w[5]/top)*(1-x*w[6]/top) <> 0
-        AND 0.2*0.161*v/(x*area + 1e-4) >= 3.0*diag/343.0 AS ok FROM sx),
-    ft AS (SELECT id, min(a) FILTER (ok) AS a FROM ok GROUP BY id),
-    ls AS (SELECT *, greatest(0.161*v/area, 3.0*diag/(343.0*12/60.0), 0.2) AS shortest FROM ok WHERE a = 15),
-    fin AS (SELECT ft.id, ft.a, coalesce(f.t60, CASE WHEN ls.shortest < 1.3 THEN ls.shortest + (1.3 - ls.shortest)*{u('2:spare', 'ft.id')} END) AS t60,
-        f.x AS fx, ls.lx, ls.ly, ls.lz, ls.v, ls.area FROM ft LEFT JOIN ok f ON f.id = ft.id AND f.a = ft.a JOIN ls ON ls.id = ft.id)
-    SELECT id, {r('lx')} AS lx, {r('ly')} AS ly, {r('lz')} AS lz, a::INTEGER AS attempt, {r('t60')} AS t60,
-      {r('coalesce(fx, 0.161*v/(t60*area))')} AS x FROM fin"""
-
-
-def scenario_rows(spark, sf):
-    ids = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    return S.scenarios(ids, "id", "2", ROOM_RANGE, T60_RANGE, W_RANGE)
-
-
-@query("scenarios", SCENARIO_SQL)
-def scenarios(spark, sf):
-    out = scenario_rows(spark, sf)
-    return out.select("id", *[rnd(F.col(c)).alias(c) for c in ("lx", "ly", "lz")], "attempt",
-                      rnd(F.col("t60")).alias("t60"), rnd(F.col("x")).alias("x"))
-
-
-def room_sizes(spark, sf, table="supplier", key="s_suppkey"):
-    k = F.col(key)
-    return load(spark, sf, table).select(k.alias("id"), (4.0 + k % 5).alias("lx"), (3.5 + k % 4).alias("ly"), (2.5 + k % 2).alias("lz"))
-
-
-ROOM_SIZES_SQL = "rm AS (SELECT s_suppkey AS id, 4.0::DOUBLE + s_suppkey % 5 AS lx, 3.5::DOUBLE + s_suppkey % 4 AS ly, 2.5::DOUBLE + s_suppkey % 2 AS lz FROM supplier)"
-
-
-@query("placements", f"""WITH {ROOM_SIZES_SQL} SELECT id, {', '.join(
-    r(f"l{a}*0.3 + (l{a}*0.7 - l{a}*0.3)*{u(f'2:array:{a}', 'id')}") + f' AS array_{a}, ' +
-    r(f"0.3 + (l{a} - 0.3 - 0.3)*{u(f'2:src:{a}', 'id')}") + f' AS src_{a}' for a in 'xyz')},
-    {r(ur(-90, 90, '2:rot', 'id'))} AS array_rot, {r(ur(0.5, 1, '2:scale', 'id'))} AS array_scale, {r(ur(15, 30, '2:snr', 'id'))} AS snr FROM rm""")
-def placements(spark, sf):
-    out = S.placements(room_sizes(spark, sf), "id", "2").drop("lx", "ly", "lz")
-    return out.select("id", *[rnd(F.col(c)).alias(c) for c in out.columns if c != "id"])
-
-
-TRAJ = f"""WITH {ROOM_SIZES_SQL},
-    e AS (SELECT *, {', '.join(f"0.3 + (l{a}-0.3-0.3)*{u(f'2:from:{a}', 'id')} AS p{a}, 0.3 + (l{a}-0.3-0.3)*{u(f'2:to:{a}', 'id')} AS q{a}" for a in 'xyz')} FROM rm),
-    c AS (SELECT *, floor(sqrt((qx-px)*(qx-px)+(qy-py)*(qy-py)+(qz-pz)*(qz-pz))/0.1)::BIGINT + 1 AS np FROM e),
-    s AS (SELECT *, {', '.join(f"{u(f'2:amp:{a}', 'id')}*least(p{a}-0.3, l{a}-0.3-p{a}, q{a}-0.3, l{a}-0.3-q{a}, 1.0) AS a{a}, 4*pi()*{u(f'2:osc:{a}', 'id')}/np AS w{a}" for a in 'xyz')} FROM c),
-    k AS (SELECT *, unnest(range(0, np)) AS k FROM s)
-    SELECT id, k::INTEGER AS k, {', '.join(r(f'p{a} + (q{a}-p{a})*(k/greatest(np-1, 1)) + a{a}*sin(w{a}*k)') + f' AS {a}' for a in 'xyz')} FROM k"""
-
-
-@query("trajectory", TRAJ)
-def trajectory(spark, sf):
-    """Moving source, one point per 10 cm of its straight line."""
-    out = S.trajectory(room_sizes(spark, sf), "id", "2")
-    return out.select("id", "k", *[rnd(F.col(a)).alias(a) for a in "xyz"])
-
-
-@query("scenario_grid", """SELECT room, rir::INTEGER AS rir, sig::INTEGER AS sig, 1000 + (room*(3 + room % 3) + rir)*2 + sig AS seed FROM (
-      SELECT *, unnest(range(0,2)) AS sig FROM (SELECT s_suppkey AS room, unnest(range(0, 3 + s_suppkey % 3)) AS rir FROM supplier))""")
-def scenario_grid(spark, sf):
-    rooms = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("room"))
-    return S.scenario_grid(rooms, "room", 3 + F.col("room") % 3, F.lit(2), 1000)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from reverbtable.functions import arrays as A, kernels as K
 from reverbtable.functions.arrays import rnd
 from reverbtable.functions.draws import pick_index, uniform
-from reverbtable.functions.scan import spread
 from reverbtable.operators import dsp as S, rir as R
 from reverbtable.operators.sampling import shuffled_index
 from reverbtable.plans.book import Book
@@ -155,15 +154,6 @@ def concat_in_time(spark, sf):
     return out.select("device", F.col("doc_id").alias("clip"), "chunk_no", "t0")
 
 
-@query("white_noise", f"""SELECT vec_id AS sig_id, c::INTEGER AS ch, n::INTEGER AS n, (round(sqrt(-2*ln(greatest({u('w:0:a', 'vec_id', 'n')}, pow(2.0, -33))))*cos(2*pi()*{u('w:0:b', 'vec_id', 'n')}), 6) + 0.0::DOUBLE) AS x
-    FROM embeddings, range(0,1) a(c), range(0,64) b(n) UNION ALL
-    SELECT vec_id, 1, n::INTEGER, (round(sqrt(-2*ln(greatest({u('w:1:a', 'vec_id', 'n')}, pow(2.0, -33))))*cos(2*pi()*{u('w:1:b', 'vec_id', 'n')}), 6) + 0.0::DOUBLE)
-    FROM embeddings, range(0,64) b(n)""")
-def white_noise(spark, sf):
-    df = spread(load(spark, sf, "embeddings").select(F.col("vec_id").alias("sig_id")))
-    return long_rows(df.withColumn("xs", S.white_noise(F.lit(64), 2, "w", "sig_id")), "sig_id")
-
-
 @query("noise_parts", with_views("mono", f"""SELECT sig_id, (n // 16)::INTEGER AS ch, {r('sum(x*x)', 9)} AS energy FROM mono GROUP BY ALL"""))
 def noise_parts(spark, sf):
     """One clip cut into four independent channels."""
@@ -171,13 +161,6 @@ def noise_parts(spark, sf):
     return out.select("sig_id", "ch", rnd(A.energy(F.col("x")), 9).alias("energy"))
 
 
-@query("zero_noise", """SELECT vec_id AS sig_id, 128::BIGINT AS n, 0.0::DOUBLE AS energy FROM embeddings""")
-def zero_noise(spark, sf):
-    out = clips(spark, sf).withColumn("z", S.zero_noise(F.lit(64), 2))
-    return out.select("sig_id", F.aggregate(F.transform("z", lambda x: F.size(x).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v).alias("n"),
-                      rnd(A.total(F.transform("z", A.energy))).alias("energy"))
-
-
 BABBLE = f"""ls AS (SELECT vec_id AS utt, row_number() OVER (ORDER BY md5('babble:list:' || vec_id), vec_id) - 1 AS pos, count(*) OVER () AS c FROM embeddings),
   dr AS (SELECT vec_id AS sig_id, ch, voice, {u('babble', 'vec_id', 'ch', 'voice')} AS u, floor({u('babble:crop', 'vec_id', 'ch', 'voice')} * (64 - 40 + 1))::BIGINT AS st
          FROM embeddings, range(0,2) a(ch), range(0,10) b(voice)),
@@ -192,43 +175,14 @@ def babble(spark, sf):
     return out.select("sig_id", "ch", F.posexplode("x").alias("n", "v")).select("sig_id", "ch", "n", rnd(F.col("v")).alias("x"))
 
 
-def gauss_sql(ch):
-    return (f"sqrt(-2*ln(greatest({u(f'w:{ch}:a', 'vec_id', 'n')}, pow(2.0, -33))))"
-            f"*cos(2*pi()*{u(f'w:{ch}:b', 'vec_id', 'n')})")
-
-
-DIFFUSE = f"""WITH nz AS (SELECT vec_id AS sig_id, n, {gauss_sql(0)} AS a, {gauss_sql(1)} AS b FROM embeddings, range(0,256) t(n)),
-  hw AS (SELECT i, 0.5 - 0.5*cos(2*pi()*i/64) AS w FROM range(0,64) t(i)),
-  fr AS (SELECT sig_id, t, i, a*w AS a, b*w AS b FROM nz, range(0,13) q(t), hw WHERE n = t*16 + i),
-  st AS (SELECT sig_id, t, k, sum(a*cos(2*pi()*k*i/64)) AS ar, -sum(a*sin(2*pi()*k*i/64)) AS ai,
-      sum(b*cos(2*pi()*k*i/64)) AS br, -sum(b*sin(2*pi()*k*i/64)) AS bi FROM fr, range(1,33) q(k) GROUP BY ALL),
-  gm AS (SELECT k, sin(x)/x AS g FROM (SELECT k, 2*pi()*(k*250.0::DOUBLE)*0.1::DOUBLE/343.0::DOUBLE AS x FROM range(1,33) q(k))),
-  mx AS (SELECT sig_id, t, k, ar, ai, g*ar + sqrt(1-g*g)*br AS br, g*ai + sqrt(1-g*g)*bi AS bi FROM st JOIN gm USING (k)),
-  iv AS (SELECT sig_id, t, i, sum(CASE WHEN k = 32 THEN ar*cos(pi()*i) ELSE 2*(ar*cos(2*pi()*k*i/64) - ai*sin(2*pi()*k*i/64)) END)/64 AS a,
-      sum(CASE WHEN k = 32 THEN br*cos(pi()*i) ELSE 2*(br*cos(2*pi()*k*i/64) - bi*sin(2*pi()*k*i/64)) END)/64 AS b
-      FROM mx, range(0,64) q(i) GROUP BY ALL),
-  oa AS (SELECT sig_id, t*16 + i AS n, sum(a*w) AS a, sum(b*w) AS b, sum(w*w) AS p FROM iv JOIN hw USING (i) GROUP BY ALL),
-  ds AS (SELECT sig_id, n, a/CASE WHEN p > 1e-10 THEN p ELSE 1 END AS a, b/CASE WHEN p > 1e-10 THEN p ELSE 1 END AS b FROM oa),
-  tp AS (SELECT sig_id, greatest(max(a), max(b)) + 1e-10 AS m FROM ds GROUP BY 1)
-  SELECT sig_id, 0::INTEGER AS ch, n::INTEGER AS n, (round(a/m, 6) + 0.0::DOUBLE) AS x FROM ds JOIN tp USING (sig_id)
-  UNION ALL SELECT sig_id, 1::INTEGER, n::INTEGER, (round(b/m, 6) + 0.0::DOUBLE) FROM ds JOIN tp USING (sig_id)"""
-
-
-@query("diffuse_noise", DIFFUSE)
-def diffuse_noise(spark, sf):
-    """White noise mixed to the coherence of a diffuse field for a 10 cm pair."""
-    df = spread(load(spark, sf, "embeddings").select(F.col("vec_id").alias("sig_id")))
-    noise = df.withColumn("xs", S.white_noise(F.lit(256), 2, "w", "sig_id"))
-    return long_rows(S.diffuse_noise(noise, "xs", F.lit(0.1), 16000, 64), "sig_id")
-
-
+HALF = int(FS_RIR * R.DP_HALF_MS / 1000)
 DRAWS = f"""ix AS (SELECT vec_id, row_number() OVER (ORDER BY md5('t:src:' || vec_id), vec_id) - 1 AS ks,
       row_number() OVER (ORDER BY md5('t:noise:' || vec_id), vec_id) - 1 AS kn, count(*) OVER () AS c FROM embeddings),
   px AS (SELECT pair_id, row_number() OVER (ORDER BY md5('t:rir:' || pair_id), pair_id) - 1 AS kr, count(*) OVER () AS c FROM (SELECT DISTINCT vec_id // 2 AS pair_id FROM embeddings)),
   dr AS (SELECT c_custkey AS idx, 15 + 15*{u('t:snr', 'c_custkey')} AS snr, a.vec_id AS src, b.vec_id AS noise, p.pair_id FROM customer
       JOIN ix a ON a.ks = floor({u('t:ksrc', 'c_custkey')}*a.c)::BIGINT JOIN ix b ON b.kn = floor({u('t:knoise', 'c_custkey')}*b.c)::BIGINT
       JOIN px p ON p.kr = floor({u('t:krir', 'c_custkey')}*p.c)::BIGINT),
-  wet AS (SELECT idx, rir.ch, m.n + rir.n AS n, sum(m.x*h) AS x, sum(CASE WHEN abs(rir.n - nd) <= 2 THEN m.x*h ELSE 0 END) AS dp
+  wet AS (SELECT idx, rir.ch, m.n + rir.n AS n, sum(m.x*h) AS x, sum(CASE WHEN abs(rir.n - nd) <= {HALF} THEN m.x*h ELSE 0 END) AS dp
       FROM dr JOIN mono m ON m.sig_id = src JOIN rir USING (pair_id) JOIN rir_peak USING (rir_id) WHERE m.n + rir.n < 64 GROUP BY ALL),
   nz AS (SELECT idx, ch, n + 32*q AS n, x AS v FROM dr JOIN signal ON sig_id = noise, range(0,2) t(q)),
   mx AS (SELECT w.idx, w.ch, w.n, w.x + v*sqrt(avg(dp*dp) OVER s / pow(10, snr/10))/(sqrt(avg(v*v) OVER s) + 1e-10) AS x, dp
@@ -236,9 +190,10 @@ DRAWS = f"""ix AS (SELECT vec_id, row_number() OVER (ORDER BY md5('t:src:' || ve
 
 
 @query("training_signals", with_views("mono rir rir_peak signal", DRAWS + f"""
-    SELECT idx, ch, n::INTEGER AS n, {r('x * 0.9 / greatest(max(abs(x)) OVER (PARTITION BY idx), max(abs(dp)) OVER (PARTITION BY idx))', 5)} AS x FROM mx"""))
+    SELECT idx, ch, n::INTEGER AS n, {r('x * g', 5)} AS x, {r('dp * g', 5)} AS dp FROM (SELECT *, 0.9 / greatest(
+      max(abs(x)) OVER (PARTITION BY idx), max(abs(dp)) OVER (PARTITION BY idx)) AS g FROM mx)"""))
 def training_signals(spark, sf):
-    """Drawn source through a drawn response plus drawn noise at a drawn SNR, peak-scaled.
+    """Drawn source through a drawn response plus drawn noise at a drawn SNR, and its direct path, scaled alike.
 
     Only keys meet in the draw joins; arrays join last and every signal step stays in the row.
     """
@@ -262,4 +217,7 @@ def training_signals(spark, sf):
                      F.slice("both", F.col("nch") + 1, F.col("nch")).alias("dp"))
     snr = 15 + 15 * uniform("t:snr", "idx")
     mixed = wet.select("idx", "dp", S.snr_mix(F.col("wet"), F.col("noise"), snr, F.col("dp")).alias("xs"))
-    return long_rows(mixed.select("idx", S.peak_normalise(F.col("xs"), F.col("dp")).alias("xs")), "idx", digits=5)
+    x, dp = S.peak_scaled([F.col("xs"), F.col("dp")])
+    channels = mixed.select("idx", F.arrays_zip(x.alias("x"), dp.alias("dp")).alias("c")).select("idx", F.posexplode("c").alias("ch", "c"))
+    rows = channels.select("idx", "ch", F.posexplode(F.arrays_zip(F.col("c.x").alias("x"), F.col("c.dp").alias("dp"))).alias("n", "s"))
+    return rows.select("idx", "ch", "n", rnd(F.col("s.x"), 5).alias("x"), rnd(F.col("s.dp"), 5).alias("dp"))

@@ -40,15 +40,18 @@ def textgrid(spark, sf):
     return out.withColumns({"st_s": rnd(F.col("st_s")), "en_s": rnd(F.col("en_s"))})
 
 
-@query("key_value_text", f"""SELECT doc_id, doc_id % 9 AS mic_id, {r('n_chars/10.0')} AS depth, {r('(0.3 + 0.5 + n_chars/1000.0)/3')} AS t_mean FROM documents""")
+@query("key_value_text", f"""SELECT doc_id // 9 AS device, count(*) AS n_mics, {r('avg(n_chars/1000.0)')} AS t60,
+    {r('avg(n_chars/2000.0)')} AS t30, {r('avg(doc_id/8.0)')} AS t20 FROM documents GROUP BY 1""")
 def key_value_text(spark, sf):
-    """Metadata text to typed columns; the mean of three reverberation times per device."""
-    text = F.format_string("$EnvMicID %d\n$EnvDepth 1 2\n$EnvDepth %s\n$EnvMicRelRT60 0.3\n$EnvMicRelRT30 0.5\n\n$EnvMicRelRT20 %s\nremark\n",
-                           F.col("doc_id") % 9, (F.col("n_chars") / 10.0).cast("string"), (F.col("n_chars") / 1000.0).cast("string"))
-    m = load(spark, sf, "documents").select("doc_id", S.key_value_map(text).alias("m"))
-    t = sum((F.col("m")[f"EnvMicRelRT{k}"].cast("double") for k in (60, 30, 20)), F.lit(0.0)) / 3
-    return m.select("doc_id", F.col("m")["EnvMicID"].cast("long").alias("mic_id"),
-                    rnd(F.col("m")["EnvDepth"].cast("double")).alias("depth"), rnd(t).alias("t_mean"))
+    """Metadata text of every microphone to typed columns; each of three reverberation times averaged over a device's
+    microphones."""
+    number = lambda c: c.cast("string")
+    text = F.format_string("$EnvMicID %d\n$EnvDepth 1 2\n$EnvMicRelRT60 %s\n$EnvMicRelRT30 %s\n\n$EnvMicRelRT20 %s\nremark\n",
+                           F.col("doc_id"), number(F.col("n_chars") / 1000.0), number(F.col("n_chars") / 2000.0), number(F.col("doc_id") / 8.0))
+    m = load(spark, sf, "documents").select(S.key_value_map(text).alias("m"))
+    device = F.floor(F.col("m")["EnvMicID"].cast("long") / 9).cast("long").alias("device")
+    return m.groupBy(device).agg(F.count(F.lit(1)).alias("n_mics"), *[
+        rnd(F.avg(F.col("m")[f"EnvMicRelRT{k}"].cast("double"))).alias(f"t{k}") for k in (60, 30, 20)])
 
 
 @query("nested_walk", f"""SELECT vec_id, (i-1)//32 AS traj, ((i-1)//8) % 4 AS height, (i-1) % 8 AS point, {r('embedding[i]::DOUBLE', 9)} AS h
@@ -89,8 +92,8 @@ def requested_labels(spark, sf):
 @query("transform_chain", """SELECT doc_id AS rec_id, source AS corpus FROM documents WHERE n_chars/100.0 >= 4.112 AND lang IN ('en', 'de') AND source <> 'src3'""")
 def transform_chain(spark, sf):
     """A list of DataFrame functions; Catalyst folds their filters into one scan."""
-    steps = [lambda d: C.long_enough(d, 4.112), lambda d: C.of_types(d, "room", ["en", "de"]),
-             lambda d: C.without_names(d, ["src3"], "corpus")]
+    steps = [lambda d: C.long_enough(d, 4.112), lambda d: d.filter(C.of_types("room", ["en", "de"])),
+             lambda d: d.filter(C.not_named(["src3"], "corpus"))]
     return S.apply_chain(T.recordings(spark, sf), steps).select("rec_id", "corpus")
 
 

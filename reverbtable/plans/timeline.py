@@ -36,7 +36,7 @@ def kinds(spark, sf, kind):
     b AS (SELECT pb.*, kn.t AS t0, kn.v AS v0 FROM pb ASOF LEFT JOIN kn ON pb.key = kn.key AND pb.t >= kn.t),
     f AS (SELECT b.*, kn.t AS t1, kn.v AS v1 FROM b ASOF LEFT JOIN kn ON b.key = kn.key AND b.t < kn.t)
     SELECT key, event_id, {r('CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 ELSE v0 + (v1-v0)*(t-t0)/(t1-t0) END')} AS v
-    FROM f WHERE t0 IS NOT NULL OR t1 IS NOT NULL"""))
+    FROM f"""))
 def interpolate(spark, sf):
     knots = kinds(spark, sf, "view").select("key", "t", "v")
     probes = kinds(spark, sf, "click").select("key", "event_id", "t")

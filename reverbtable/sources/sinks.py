@@ -6,20 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], key: str, files: int = 32, overwrite: bool = False) -> None:
-    """Parquet under ``by`` folders. Every folder is written by up to ``files`` tasks chosen from
-    the record key, so one large corpus is not one task and no folder gets a file per task."""
-    salt = F.pmod(F.xxhash64(key), F.lit(files))
-    (df.repartition(*by, salt).write.mode("overwrite" if overwrite else "errorifexists")
+def write_partitioned(df: DataFrame, path: str, by: list[str], overwrite: bool = False) -> None:
+    """Parquet under ``by`` folders. Rows of a folder are brought together and a large folder is split again by size
+    (spark.sql.adaptive.advisoryPartitionSizeInBytes), so its files follow its bytes, whatever its records' keys."""
+    (df.hint("rebalance", *by).write.mode("overwrite" if overwrite else "errorifexists")
      .partitionBy(*by).parquet(path))
 
 
 def write_signals(df: DataFrame, path: str, **kw) -> None:
-    write_partitioned(df, path, ["stage", "corpus"], "sig_id", **kw)
+    write_partitioned(df, path, ["stage", "corpus"], **kw)
 
 
 def write_rirs(df: DataFrame, path: str, **kw) -> None:
-    write_partitioned(df, path, ["corpus", "room", "array"], "rir_id", **kw)
+    write_partitioned(df, path, ["corpus", "room", "array"], **kw)
 
 
 def write_scenarios(df: DataFrame, args: dict[str, str], path: str, overwrite: bool = False) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reverbtable.functions.scan import row_index, time_block
 
-FS_RIR = 1000  # sampling rate of the impulse-response view
+FS_RIR = 400  # sampling rate of the impulse-response view
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,10 @@ def literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> D
 
 
 def mics(spark, sf_dir) -> DataFrame:
+    """Arrays of sixteen microphones."""
     e = load(spark, sf_dir, "embeddings")
     xyz = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")]
-    return e.select(F.col("label").alias("array_id"), F.col("vec_id").alias("mic_id"), *xyz)
+    return e.select(F.floor(F.col("vec_id") / 16).cast("long").alias("array_id"), F.col("vec_id").alias("mic_id"), *xyz)
 
 
 def small_arrays(spark, sf_dir) -> DataFrame:
@@ -83,9 +84,11 @@ def mono(spark, sf_dir) -> DataFrame:
 
 def recordings(spark, sf_dir) -> DataFrame:
     d = load(spark, sf_dir, "documents")
+    # recordings are dealt over all eight-microphone arrays
+    arrays = load(spark, sf_dir, "embeddings").select((F.floor(F.max("vec_id") / 8) + 1).cast("long")).scalar()
     return d.select(
         F.col("doc_id").alias("rec_id"), F.col("source").alias("corpus"), F.col("lang").alias("room"),
-        (F.col("doc_id") % 10).cast("long").alias("array_id"),
+        (F.col("doc_id") % arrays).alias("array_id"),
         F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"),
         (F.col("n_chars") / 100.0).alias("duration_s"))
 
@@ -128,7 +131,7 @@ def results(spark, sf_dir) -> DataFrame:
 
 
 SQL = {
-    "mics": """SELECT label AS array_id, vec_id AS mic_id, embedding[1]::DOUBLE AS x,
+    "mics": """SELECT vec_id // 16 AS array_id, vec_id AS mic_id, embedding[1]::DOUBLE AS x,
         embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings""",
     "small_arrays": """SELECT vec_id // 8 AS array_id, (vec_id % 8)::INTEGER AS mic, embedding[1]::DOUBLE AS x,
         embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings""",
@@ -143,7 +146,7 @@ SQL = {
         FROM (SELECT *, unnest(range(1, len(embedding)+1)) AS i FROM embeddings)""",
     "mono": """SELECT vec_id AS sig_id, label AS speaker, (i-1)::INTEGER AS n, embedding[i]::DOUBLE AS x
         FROM (SELECT *, unnest(range(1, len(embedding)+1)) AS i FROM embeddings)""",
-    "recordings": """SELECT doc_id AS rec_id, source AS corpus, lang AS room, doc_id % 10 AS array_id,
+    "recordings": """SELECT doc_id AS rec_id, source AS corpus, lang AS room, doc_id % (SELECT max(vec_id) // 8 + 1 FROM embeddings) AS array_id,
         concat_ws('/', source, lang, doc_id) AS path, n_chars/100.0::DOUBLE AS duration_s FROM documents""",
     "timeline": """SELECT user_id AS key, event_id, epoch_us(ts) - 1704067200000000 AS t,
         event_type AS kind, value AS v FROM events""",

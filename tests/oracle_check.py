@@ -65,7 +65,7 @@ def main(argv):
 
     sf = argv[0] if argv else "0.01"
     want = argv[1:]
-    spark = build_session("check", "local[8]", **{
+    spark = build_session("check", f"local[{__import__('os').environ.get('CPUS', 8)}]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
