@@ -1,22 +1,30 @@
 """Encoding whole texts with a public tokenizer file, each distinct stretch of text once.
 
-Both tokenizers cut at a single space between two non-space characters before anything else, so a text may be cut
-there and the parts encoded apart; equal parts are encoded once per worker while they stay in a bounded memory.
+Both tokenizers first cut texts in runs of letters, of digits and of other characters; a single space between two
+other characters always starts a run. So a text may be cut at single spaces and line ends, and before a comma or full
+stop that ends a word, and its parts encoded apart; equal parts are encoded once per worker while they stay in a
+bounded memory. Parts of Latin letters alone are one run and go straight to the tokenizer's merges.
 """
 
 from __future__ import annotations
 
-import os
+import array
 import re
 import zlib
 
-import numpy as np
-
-MEMORY = 300_000  # parts a worker remembers before it forgets all
+MEMORY = 400_000  # parts a worker remembers before it forgets all
 
+# where cutting at every space, line end, comma and full stop would not do: white space beside white space or at an
+# end, other white space, a comma or full stop after something else than a letter or digit
+_TWO = ("  ", "\n\n", " \n", "\n ", "\0")
+_BLANK = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_STOP = re.compile(r"[,.][ \n](?<=[\W_]..)", re.S)
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"  | [\t\n\x0b-\r\x1c-\x1f\x85\xa0  -     　]"
-                  r"|[\t\n\x0b-\r\x1c-\x1f\x85\xa0  -     　] |^ | $")
+_WIDE = re.compile(r"[^\x00-\u024f]")
+# the visible stand-ins of bytes in byte-level vocabularies: printable ones themselves, the others from 256 on
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OTHER = [b for b in range(256) if b not in _PLAIN]
+_VISIBLE = {**{b: chr(b) for b in _PLAIN}, **{b: chr(256 + k) for k, b in enumerate(_OTHER)}}
 _encoders: dict = {}
 
 
@@ -25,6 +33,30 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _plain(text: str) -> bool:
+    return not (text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _TWO)
+                or any(x in text for x in _BLANK) or _STOP.search(text))
+
+
+class _Memory(dict):
+    """Ids of parts as little-endian unsigned 32-bit bytes, made when first asked for."""
+
+    def __init__(self, tokenizer, lower: bool):
+        super().__init__({"": b""})
+        self.tokenizer, self.merges, self.lower = tokenizer, tokenizer.model, lower
+
+    def __missing__(self, part: str) -> bytes:
+        word = part[1:] if part[0] == " " else part
+        if not word.isalpha() or (not word.isascii() and _WIDE.search(word)):
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        else:
+            shown = word.lower() if self.lower else part
+            shown = shown.replace(" ", _VISIBLE[32]) if word.isascii() else "".join(map(_VISIBLE.__getitem__, shown.encode()))
+            ids = [t.id for t in self.merges.tokenize(shown)]
+        code = self[part] = array.array("I", ids).tobytes()
+        return code
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes; one memory per worker process and file."""
 
@@ -36,9 +68,10 @@ class Encoder:
     def __init__(self, path: str):
         if hasattr(self, "tokenizer"):
             return
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.memory = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.lower = bool(self.tokenizer.normalizer)  # that file folds case and drops white space
+        self.memory = _Memory(self.tokenizer, self.lower)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
 
@@ -46,19 +79,19 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Exactly the ids of tokenizer.encode(text, add_special_tokens=False), for null those of an empty text."""
-        cut = [self._parts(t or "") for t in texts]
         if len(self.memory) > MEMORY:
-            self.memory.clear()
-        memory = self.memory
-        new = list({p for parts in cut for p in parts if p not in memory})
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for part, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                memory[part] = np.array(code.ids, "<u4").tobytes()
-        return [b"".join(map(memory.__getitem__, parts)) for parts in cut]
+            self.memory = _Memory(self.tokenizer, self.lower)
+        code = self.memory.__getitem__
+        return [b"".join(map(code, self._parts(t))) if t else b"" for t in texts]
 
     def _parts(self, text: str) -> list[str]:
         if self.special and "<" in text and self.special.search(text):
             return [text]
-        first, *rest = _SAFE.split(text) if _ODD.search(text) else text.split(" ")
-        return [first, *[" " + r for r in rest]]
+        if not _plain(text) or (self.lower and not text.isascii() and _WIDE.search(text)):
+            first, *rest = _SAFE.split(text)
+            return [first, *[" " + r for r in rest]]
+        if self.lower:
+            cut = text.lower().replace(" ", "\0").replace("\n", "\0")
+        else:
+            cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        return cut.replace(",\0", "\0,\0").replace(".\0", "\0.\0").split("\0")
