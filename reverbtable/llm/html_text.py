@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from reverbtable.llm.book import query, table
 
-MAX_LABELLED = 2_000  # pages that weights are counted on: those first in hash order of their urls
+MAX_LABELLED = 2_000  # pages that weights are counted on
 
 # fixed values: element names
 CONTENT = {"article", "main"}
@@ -118,9 +118,11 @@ def weights_of(inside: dict[str, int], outside: dict[str, int]) -> dict[str, flo
 
 
 def learn(pages: DataFrame, max_labelled: int = MAX_LABELLED, html_column: str = "html") -> dict[str, float]:
-    """Weights counted on at most max_labelled pages whose markup names the content."""
-    labelled = pages.where(F.col(html_column).rlike("(?i)<(article|main)[ >]")).select(F.col(html_column).alias("html"))
-    some = labelled.orderBy(F.xxhash64("html"), F.octet_length("html")).limit(max_labelled)
+    """Weights counted on at most max_labelled different pages whose markup names the content, drawn by their hash."""
+    labelled = pages.where(F.col(html_column).rlike("(?i)<(article|main)[ >]")).select(
+        F.col(html_column).alias("html"), F.xxhash64(html_column).alias("h"))
+    every = max(1, math.ceil(labelled.count() / max_labelled))  # the hash thins the pages before any of them moves
+    some = labelled.where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["h"]).limit(max_labelled).select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reverbtable.llm.book import query, table
 from reverbtable.session import written
 
-MAX_LABELLED = 20_000  # labelled rows used for fitting: those first in hash order of their ids
+MAX_LABELLED = 20_000  # labelled rows used for fitting, drawn by the hash of their ids
 CUTS = 24              # thresholds tried per feature, at quantiles of the labelled rows
 MAX_CONDITIONS = 3
 MAX_RULES = 8
@@ -193,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"))
-    some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    every = max(1, math.ceil(one.count() / max_labelled))  # the hash thins the labels before they meet in one task
+    some = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most max_labelled short rows
     return learn(written(statistics(found).where("not base_failed"), "statistics"))
 
