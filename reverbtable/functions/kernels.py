@@ -187,3 +187,25 @@ def envelope():
             out.append(np.abs(np.fft.ifft(np.fft.fft(row) * gain)) if n else row)
         return _lists(out)
     return once(kernel)
+
+
+# ---- running sums inside a record ----------------------------------------------------------
+
+@F.arrow_udf(DOUBLES)
+def suffix_sums(x: pa.Array) -> pa.Array:
+    """Sum of each sample and all later ones, added from the end."""
+    return _lists([np.cumsum(r[::-1])[::-1] for r in _rows(x)])
+
+
+@functools.cache
+def level_sums(levels: tuple[float, ...]):
+    """Per level the first sample n nearest to it, and there the suffix sums of y, n*y and y*y: [level][n, sy, sny, syy]."""
+    def sums(y):
+        n = np.arange(len(y), dtype=np.float64)
+        rows = np.stack([n] + [np.cumsum(v[::-1])[::-1] for v in (y, n * y, y * y)], axis=1)
+        return rows[[int(np.argmin(np.abs(y - level))) for level in levels]] if len(y) else rows
+
+    @F.arrow_udf(CHANNELS)
+    def run(y: pa.Array) -> pa.Array:
+        return _nested([sums(r) for r in _rows(y)])
+    return run

@@ -7,12 +7,12 @@ no exploded sample ever crosses the network.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reverbtable.functions import arrays as A
+from reverbtable.functions import arrays as A, kernels as K
 from reverbtable.functions.acoustics import DP_HALF_MS
-from reverbtable.functions.scan import Agg, attach, scan, spread
+from reverbtable.functions.scan import Agg, attach, scan
 
 # fixed values: regression levels in dB, start-major
 T60_GRID = [(start, start + span) for start in range(-5, -20, -2) for span in range(-10, -29, -2)]
@@ -100,39 +100,27 @@ def energy_labels(df: DataFrame, fs: int, h_dp: str = "h_dp") -> DataFrame:
 
 # ---- decay curve and reverberation time -------------------------------------------------
 
-def _samples(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Explode after partitioning by key: Generate keeps the hash partitioning."""
-    compact = df.select(*keys, "h", A.energy(A.cut(F.col("h"), A.argmax(F.col("h")), F.size("h"))).alias("tail"))
-    return (spread(compact, *keys)
-            .select(*keys, "tail", F.posexplode("h").alias("n", "v")))
+def _curves(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Decay curve of every response as an array: the response stays in its row and nothing is shuffled."""
+    tail = A.energy(A.cut(F.col("h"), A.argmax(F.col("h")), F.size("h")))
+    squares = df.select(*keys, tail.alias("_tail"), A.pinned(F.transform("h", lambda v: v * v)).alias("_q"))
+    sums = squares.select(*keys, "_tail", K.suffix_sums(F.col("_q")).alias("_s"))
+    level = F.transform("_s", lambda s: A.db(s / (F.col("_tail") + 1e-10) + 1e-10))
+    return sums.select(*keys, A.pinned(level).alias("edc"))
 
 
 def edc(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Schroeder decay curve in dB, one row per sample.
-
-    The suffix sum is a running sum over descending n: a frame that starts at the current
-    row would be re-summed for every row.
-    """
-    w = W.partitionBy(*keys).orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, 0)
-    suffix = F.sum(F.col("v") * F.col("v")).over(w)
-    return _samples(df, keys).select(
-        *keys, "n", A.db(suffix / (F.col("tail") + 1e-10) + 1e-10).alias("edc"))
+    """Schroeder decay curve in dB, one row per sample."""
+    return _curves(df, keys).select(*keys, F.posexplode("edc").alias("n", "edc"))
 
 
 def t60(df: DataFrame, keys: list[str], fs: int) -> DataFrame:
-    """T60 per record by regression over the 80 level pairs.
+    """T60 per record by regression over the 80 level pairs, inside the row.
 
-    Suffix sums of y, n*y and y*y give any regression window as a difference of two rows,
-    so the grid costs one aggregate per distinct level instead of 80 passes.
+    Suffix sums of y, n*y and y*y give any regression window as a difference of two samples, so the grid costs one
+    search per distinct level instead of 80 passes.
     """
-    w = W.partitionBy(*keys).orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, 0)
-    y, n = F.col("edc"), F.col("n").cast("double")
-    sums = edc(df, keys).select(
-        *keys, "n", "edc", F.sum(y).over(w).alias("sy"), F.sum(n * y).over(w).alias("sny"),
-        F.sum(y * y).over(w).alias("syy"))
-    nearest = [F.min(F.struct(F.abs(y - level).alias("d"), "n", "sy", "sny", "syy")).alias(f"lv{i}")
-               for i, level in enumerate(LEVELS)]
-    at = sums.groupBy(*keys).agg(*nearest)
+    at = _curves(df, keys).select(*keys, K.level_sums(tuple(LEVELS))(F.col("edc")).alias("_hits"))
     grid = F.expr("array(" + ", ".join(
         f"struct({LEVELS.index(a)} AS a, {LEVELS.index(b)} AS b)" for a, b in T60_GRID) + ")")
 
@@ -149,7 +137,7 @@ def t60(df: DataFrame, keys: list[str], fs: int) -> DataFrame:
             F.round(F.abs(corr), 9).alias("score"), (-i).alias("first"), corr.alias("corr"),
             (F.lit(-60.0) / (sxy / sxx * fs + 1e-10)).alias("t60")))
 
-    hits = F.array(*[f"lv{i}" for i in range(len(LEVELS))])
+    hits = F.transform("_hits", lambda x: F.struct(*[F.get(x, F.lit(i)).alias(c) for i, c in enumerate(("n", "sy", "sny", "syy"))]))
     best = A.let(hits, lambda hit: F.array_max(F.transform(grid, lambda g, i: fit(hit, g, i))))
     return (at.select(*keys, best.alias("best"))
             .select(*keys, F.col("best.t60").alias("t60"), F.coalesce("best.corr", F.lit(0.0)).alias("corr")))
@@ -163,16 +151,18 @@ def decay_matches(fits: DataFrame, keys: list[str], spec: Column) -> DataFrame:
                         & (F.abs("corr") > 0.5)))
 
 
-def exact_median(df: DataFrame, key: str, value: str, step: float) -> DataFrame:
-    """Median per key by rank over (value, count) rows, blocked on the quantised value.
+def exact_median(df: DataFrame, key: str, value: str, blocks: int = 64) -> DataFrame:
+    """Median per key by rank over (value, count) rows, in blocks cut at the key's approximate quantiles.
 
     Equal values fold before they are ordered, so neither a hot key nor a third of all rows
-    sharing one value meets in one task.
+    sharing one value meets in one task; the cuts only balance the blocks, ranks are exact.
     """
     folded = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = scan(folded, [key], [value], F.floor(F.col(value) / step).cast("long"), {"_n": Agg("sum", F.col("_c"))})
-    size = folded.groupBy(key).agg(F.sum("_c").alias("_size"))
+    size = folded.groupBy(key).agg(F.sum("_c").alias("_size"), F.percentile_approx(
+        value, [k / blocks for k in range(1, blocks)], 10_000).alias("_cuts"))
+    placed = attach(folded, size, [key])
+    block = F.size(F.filter("_cuts", lambda c: c < F.col(value))).cast("long")
+    mid = scan(placed.withColumn("_block", block).drop("_cuts"), [key], [value], F.col("_block"), {"_n": Agg("sum", F.col("_c"))})
     covers = lambda rank: (F.col("_n") >= rank) & (F.col("_n") - F.col("_c") < rank)
     lower, upper = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
-    mid = attach(ranked, size, [key])
     return mid.groupBy(key).agg(((F.max(F.when(covers(lower), F.col(value))) + F.max(F.when(covers(upper), F.col(value)))) / 2).alias("median"))

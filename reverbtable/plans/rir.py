@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from reverbtable.functions import acoustics as ac, arrays as A
 from reverbtable.operators import rir as R
 from reverbtable.plans.book import Book
-from reverbtable.session import durable
 from reverbtable.sources import tables as T
 from reverbtable.sources.tables import FS_RIR as FS, r, with_views
 
@@ -65,9 +64,8 @@ def t60_room(spark, sf):
 @query("t60_median", with_views("rir rir_peak", FIT_CTE +
        f" SELECT room, {r('median(t60)')} AS t60_median FROM t60 WHERE t60 IS NOT NULL GROUP BY room"))
 def t60_median(spark, sf):
-    # one row per response, read by three branches: fit once
-    fits = durable(R.t60(T.rirs(spark, sf), ["rir_id", "room"], FS))
-    return (R.exact_median(fits, "room", "t60", 0.01)
+    fits = R.t60(T.rirs(spark, sf), ["rir_id", "room"], FS)
+    return (R.exact_median(fits, "room", "t60")
             .select("room", A.rnd(F.col("median")).alias("t60_median")))
 
 
