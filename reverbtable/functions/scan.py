@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 BLOCK_US = 600_000_000  # ten minutes of timeline per block
+BLOCK_ROWS = 1 << 16  # rows of a dense series per block: one summary row for so many
+SLICE_ROWS = 100_000  # rows of a seeded order that are sorted together
 
 
 @dataclass(frozen=True)
@@ -45,13 +47,18 @@ def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inne
     return rows.join(lookup.repartition(F.xxhash64(*keys)), keys, how)
 
 
-def time_block(col: str, width: float = BLOCK_US) -> Column:
-    return F.floor(F.col(col) / F.lit(width)).cast("long")
+def time_block(col: str, width: float | Column = BLOCK_US) -> Column:
+    return F.floor(F.col(col) / (width if isinstance(width, Column) else F.lit(width))).cast("long")
 
 
-def hash_block(*cols: str, digits: int = 3) -> Column:
-    """Blocks for md5-ordered data: the leading hex digits of the ordering hash."""
-    return F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in cols])), 1, digits)
+def slices(df: DataFrame, rows: int = SLICE_ROWS) -> Column:
+    """How many slices of about so many rows the table takes, as a scalar of the plan: it grows with the table."""
+    return df.select((F.floor(F.count(F.lit(1)) / rows) + 1).cast("long")).scalar()
+
+
+def digest_block(digest: str, count: Column) -> Column:
+    """Slice of a hex digest among ``count``; slices follow the digest's order."""
+    return F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * count).cast("long")
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], block: Column,
@@ -132,7 +139,7 @@ def _timeline(left: DataFrame, right: DataFrame, keys: list[str], time: str, val
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str],
-         block_width: float = BLOCK_US, strict: bool = True, forward: bool = False,
+         block_width: float | Column = BLOCK_US, strict: bool = True, forward: bool = False,
          out: str = "hit") -> DataFrame:
     """Attach the nearest earlier (or later) right row to every left row, as struct ``out``.
 

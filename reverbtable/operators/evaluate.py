@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reverbtable.functions.scan import Agg, attach, ewma, scan
+from reverbtable.functions.scan import BLOCK_ROWS, Agg, attach, ewma, scan
 from reverbtable.session import durable
 
-BLOCK = 4096  # rows of one series per block
-
 
 def _block(n: str) -> Column:
-    return F.floor(F.col(n) / BLOCK).cast("long")
+    return F.floor(F.col(n) / BLOCK_ROWS).cast("long")
 
 
 def loss_and_metric(df: DataFrame, by: list[str], pred: str = "pred", gt: str = "gt") -> DataFrame:

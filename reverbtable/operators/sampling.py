@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 from reverbtable.functions import acoustics as ac
 from reverbtable.functions.arrays import let
 from reverbtable.functions.draws import digest, pick_index, uniform, uniform_range
-from reverbtable.functions.scan import Agg, asof, attach, row_index, scan, spread
-
-U_BLOCK = 1.0 / 4096  # draws are matched inside slices of the unit interval
+from reverbtable.functions.scan import BLOCK_ROWS, Agg, asof, attach, digest_block, row_index, scan, slices, spread
 
 
 def shuffled_index(df: DataFrame, keys: list[str], seed: str, item: str, name: str = "n") -> DataFrame:
     """Position of every row in a seeded shuffle, per key or (no keys) over the whole table."""
     hashed = df.withColumn("_h", digest(seed, item))
-    return row_index(hashed, keys, ["_h", item], F.substring("_h", 1, 3), name).drop("_h")
+    return row_index(hashed, keys, ["_h", item], digest_block("_h", slices(df)), name).drop("_h")
 
 
 def cdf(df: DataFrame, keys: list[str], weight: str, item: str, seed: str = "cdf") -> DataFrame:
@@ -27,7 +25,7 @@ def cdf(df: DataFrame, keys: list[str], weight: str, item: str, seed: str = "cdf
     The seeded order spreads heavy and light items, so blocks stay even.
     """
     w = df.withColumn("_h", digest(seed, item))
-    run = scan(w, keys, ["_h", item], F.substring("_h", 1, 3),
+    run = scan(w, keys, ["_h", item], digest_block("_h", slices(df)),
                {"_cum": Agg("sum", F.col(weight)), "_pos": Agg("count")})
     aggs = [F.sum(weight).alias("_tot"), F.count(F.lit(1)).alias("_cnt")]
     if keys:
@@ -47,7 +45,7 @@ def draw(draws: DataFrame, item_cdf: DataFrame, keys: list[str], u: str, values:
     draws is spread over a third of the slices.
     """
     right = item_cdf.select(*keys, F.col("cdf").alias(u), *values)
-    found = asof(draws, right, keys, u, values, block_width=U_BLOCK, strict=False, forward=True, out="_hit")
+    found = asof(draws, right, keys, u, values, block_width=F.lit(1.0) / slices(draws), strict=False, forward=True, out="_hit")
     return found.select(*draws.columns, *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
@@ -158,7 +156,7 @@ def concat_plan(utts: DataFrame, want: int, speaker: str = "speaker", utt: str =
     Utterances sit at their cumulative offset; a start asks for offsets in
     [own, own + want). Offsets and requests meet in bins of width ``want``.
     """
-    run = scan(utts.select(speaker, utt, length), [speaker], [utt], F.floor(F.col(utt) / 4096).cast("long"),
+    run = scan(utts.select(speaker, utt, length), [speaker], [utt], F.floor(F.col(utt) / BLOCK_ROWS).cast("long"),
                {"at": Agg("sum", F.col(length), exclusive=True)})
     total = utts.groupBy(speaker).agg(F.sum(length).alias("total"))
     run = attach(run, total, [speaker])

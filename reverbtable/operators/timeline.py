@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from reverbtable.functions import arrays as A
-from reverbtable.functions.scan import BLOCK_US, Agg, asof, asof_both, attach, scan, spread, time_block
+from reverbtable.functions.scan import BLOCK_ROWS, BLOCK_US, Agg, asof, asof_both, attach, scan, spread, time_block
 
 
 def speech_gaps(utts: DataFrame, min_us: int, audio_us: Column, closed_end: bool = False,
@@ -68,7 +68,7 @@ def segment_means(df: DataFrame, keys: list[str], n: str, values: list[str], siz
 
 
 def segment_azimuth(df: DataFrame, key: str, n: str, azi: str, size: int, step: int,
-                    block: int = 4096) -> DataFrame:
+                    block: int = BLOCK_ROWS) -> DataFrame:
     """Mean azimuth per window. Where neighbours in the window jump by more than pi,
     negative angles get a full turn before averaging; the mean is wrapped back."""
     prev = scan(df.select(key, n, azi), [key], [n], F.floor(F.col(n) / block).cast("long"),
