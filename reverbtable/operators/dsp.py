@@ -156,6 +156,26 @@ def ranged_read(chunks: DataFrame, ranges: DataFrame, key: str, size: int) -> Da
                     decode_pcm(F.col("raw").substr((lo + 1).cast("int"), (hi - lo).cast("int"))).alias("samples")))
 
 
+def ranged_read_in_row(df: DataFrame, key: str, text: str, st: Column, ed: Column, size: int) -> DataFrame:
+    """``ranged_read`` where a record's range stands in its own row: only the chunks it touches are cut, nothing is
+    joined."""
+    parts = df.select(key, text, st.alias("_st"), ed.alias("_ed")).where("_ed > _st").select("*", F.explode(F.sequence(
+        F.floor(F.col("_st") / size).cast("int"), F.floor((F.col("_ed") - 1) / size).cast("int"))).alias("chunk_no"))
+    lo = F.greatest(F.col("_st"), F.col("chunk_no").cast("long") * size)
+    hi = F.least(F.col("_ed"), (F.col("chunk_no").cast("long") + 1) * size)
+    return parts.select(key, "chunk_no", lo.alias("t0"), decode_pcm(
+        F.col(text).substr((lo + 1).cast("int"), (hi - lo).cast("int"))).alias("samples"))
+
+
+def chunk_lengths(df: DataFrame, text: str, size: int) -> DataFrame:
+    """The chunks of encoded clips by arithmetic, without their samples: other columns of df, chunk_no, t0, n."""
+    rest = [c for c in df.columns if c != text]
+    sized = df.select(*rest, F.length(text).alias("_len")).where("_len > 0")
+    rows = sized.select(*rest, "_len", F.explode(F.sequence(F.lit(0), F.floor((F.col("_len") - 1) / size).cast("int"))).alias("chunk_no"))
+    return rows.select(*rest, "chunk_no", (F.col("chunk_no") * size).alias("t0"), F.least(
+        F.lit(size), F.col("_len") - F.col("chunk_no") * size).alias("n"))
+
+
 def concat_in_time(chunks: DataFrame, key: str, order: list[str], block: Column) -> DataFrame:
     """Clips of one device joined along time: every clip keeps its row and gets its offset."""
     return scan(chunks.drop("t0"), [key], order, block, {"t0": Agg("sum", F.col("n").cast("long"), exclusive=True)})

@@ -137,8 +137,7 @@ def ranged_read(spark, sf):
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("rec_id"), "text")
     n = F.length("text")
     st = F.when(n > 400, F.floor(uniform("3:crop", "rec_id") * (n - 400 + 1))).otherwise(0).cast("long")
-    rng = d.filter(n > 0).select("rec_id", st.alias("st"), (st + F.least(F.lit(400), n)).alias("ed"))
-    got = S.ranged_read(S.chunked_text_pcm(d, "rec_id", "text", 1024), rng, "rec_id", 1024)
+    got = S.ranged_read_in_row(d.filter(n > 0), "rec_id", "text", st, st + F.least(F.lit(400), n), 1024)
     return got.groupBy("rec_id").agg(F.sum(F.size("samples")).cast("long").alias("n"), F.sum(A.total(F.col("samples"))).alias("total"))
 
 
@@ -148,9 +147,8 @@ def ranged_read(spark, sf):
       SELECT source, doc_id, length(text) AS n, unnest(range(0, (length(text) + 1023) // 1024)) AS chunk_no FROM documents))""")
 def concat_in_time(spark, sf):
     """Clips of a device laid end to end: chunks keep their rows and get an offset."""
-    d = load(spark, sf, "documents").select("doc_id", "source", "text")
-    ch = S.chunked_text_pcm(d, "doc_id", "text", 1024).drop("raw").join(d.select("doc_id", F.col("source").alias("device")), "doc_id")
-    out = S.concat_in_time(ch, "device", ["doc_id", "chunk_no"], F.floor(F.col("doc_id") / 256).cast("long"))
+    ch = S.chunk_lengths(load(spark, sf, "documents").select("doc_id", F.col("source").alias("device"), "text"), "text", 1024)
+    out = S.concat_in_time(ch, "device", ["doc_id", "chunk_no"], F.floor(F.col("doc_id") / 4096).cast("long"))
     return out.select("device", F.col("doc_id").alias("clip"), "chunk_no", "t0")
 
 

@@ -101,3 +101,14 @@ def test_random_crop_and_origins(spark):
     assert sampling.mixed_origins(utts, signals, (False, True)).filter("origin = 'real'").count() == 0
     with pytest.raises(ValueError):
         sampling.mixed_origins(utts, signals, (False, False))
+
+
+def test_ranges_by_join_and_in_the_row(spark):
+    df = spark.createDataFrame([(k, "abcdefghij" * (k + 1)) for k in range(5)], "rec long, text string")
+    ranges = df.select("rec", F.col("rec").alias("st"), (F.col("rec") * 9 + 3).alias("ed"))
+    joined = dsp.ranged_read(dsp.chunked_text_pcm(df, "rec", "text", 7), ranges, "rec", 7)
+    alone = dsp.ranged_read_in_row(df, "rec", "text", F.col("rec"), F.col("rec") * 9 + 3, 7)
+    rows = lambda d: sorted((r.rec, r.t0, tuple(r.samples)) for r in d.collect())
+    assert rows(joined) == rows(alone) and len(rows(alone)) > 5
+    lengths = dsp.chunk_lengths(df, "text", 7).groupBy("rec").agg(F.sum("n").alias("n"))
+    assert {r.rec: r.n for r in lengths.collect()} == {k: 10 * (k + 1) for k in range(5)}
