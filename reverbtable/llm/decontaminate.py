@@ -3,7 +3,8 @@
 Benchmark items are cut in passages of 32 words, one every 16. Their TF-IDF matrix (document counts over the whole
 corpus) gets a randomised SVD: each round multiplies the distributed passages with a thin matrix and sums the result
 by word, so a round moves one short vector per word and partition. Every passage of every document is projected on
-the leading directions; where its cosine with an item's passage reaches SIMILAR, the text around is a candidate.
+the leading directions; where its cosine with an item's passage reaches SIMILAR and its part along that passage
+WEIGHT of its length, the text around is a candidate.
 Candidates are checked by the longest common subsequence of words with the item: nearly all of the item is a leak;
 half of it is one when the item's rarest words, its answer, stand there too, which finds paraphrases.
 """
@@ -23,25 +24,29 @@ from reverbtable.llm.book import query, table
 from reverbtable.llm.vocabulary import document_counts, lookup
 
 PASSAGE, STRIDE = 32, 16
-RANK = 64
+RANK = 192
 ROUNDS = 2
-SIMILAR = 0.5
+SIMILAR = 0.6            # cosine with an item's passage
+WEIGHT = 0.5             # and length against that passage: less cannot hold half of it
 VERBATIM = 0.8            # share of the item's words in order
 PARAPHRASE, ANSWER = 0.5, 0.8  # share in order, and share of the answer's words
 MAX_BROADCAST = 4 << 20   # bytes of item texts per pass; a larger benchmark takes several passes
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 256 << 10
 
 
 class Item(NamedTuple):
     item_id: int | None
     words: np.ndarray   # hashes in order
     answer: frozenset   # hashes of the rarest third of its distinct words
+    distinct: frozenset
+    repeated: int       # words beyond the distinct ones
 
 
 class Index(NamedTuple):
     words: np.ndarray     # sorted hashes of all items' words
     vectors: np.ndarray   # per word: idf times its row of the basis
     passages: np.ndarray  # unit latent vectors of the items' passages
+    lengths: np.ndarray   # their lengths before
     owner: np.ndarray     # item of each passage
     items: list[Item]
 
@@ -100,9 +105,10 @@ def build(docs: DataFrame, bench: DataFrame) -> Index:
     rows = sorted(((i, w) for i, w in rows if len(w)), key=lambda r: (r[0] is None, r[0], r[1].tolist()))
     words = np.unique(np.concatenate([w for _, w in rows])) if rows else np.empty(0, np.uint64)
     if not rows:
-        return Index(words, np.zeros((0, RANK), np.float32), np.zeros((0, RANK), np.float32), np.zeros(0, np.int64), [])
+        return Index(words, np.zeros((0, RANK), np.float32), np.zeros((0, RANK), np.float32),
+                     np.zeros(0, np.float32), np.zeros(0, np.int64), [])
     counts = document_counts(docs, words)
-    idf = np.log((1 + docs.count()) / (1 + counts)) + 1
+    idf = np.log((1 + docs.count()) / (1 + counts)) + 0.1  # words of every document count little, but count
     owner, numbers = [], []
     for k, (_, w) in enumerate(rows):
         own = lookup(words, w)[0]
@@ -111,16 +117,18 @@ def build(docs: DataFrame, bench: DataFrame) -> Index:
             numbers.append(own[at:at + PASSAGE])
     spark = docs.sparkSession
     passages = spark.createDataFrame([(n.tolist(), idf[n].tolist()) for n in numbers], "words array<int>, weights array<double>")
-    basis = randomised_svd(passages, len(words), min(RANK, len(words)))
+    basis = randomised_svd(passages, len(words), min(RANK, len(words), len(numbers)))
     vectors = (idf[:, None] * basis).astype(np.float32)
     latent = np.stack([vectors[n].sum(axis=0) for n in numbers])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    lengths = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
+    latent /= lengths[:, None]
     items = []
     for i, w in rows:
         own = np.unique(w)
         rare = own[np.argsort(-idf[lookup(words, own)[0]], kind="stable")]
-        items.append(Item(i, w, frozenset(rare[:max(1, len(rare) // 3)].tolist())))
-    return Index(words, vectors, latent.astype(np.float32), np.array(owner), items)
+        items.append(Item(i, w, frozenset(rare[:max(1, len(rare) // 3)].tolist()),
+                          frozenset(own.tolist()), len(w) - len(own)))
+    return Index(words, vectors, latent.astype(np.float32), lengths.astype(np.float32), np.array(owner), items)
 
 
 def randomised_svd(passages: DataFrame, width: int, rank: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -137,24 +145,33 @@ def randomised_svd(passages: DataFrame, width: int, rank: int, rounds: int = ROU
 def _gram(passages: DataFrame, q: np.ndarray) -> np.ndarray:
     """A'(A q), summed over partitions by word."""
     held = passages.sparkSession.sparkContext.broadcast(q)
-    rank = q.shape[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(
+                [v.tobytes() for v in total.values()], pa.binary())], ["word", "v"])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for words, weights in zip(batch.column("words").to_pylist(), batch.column("weights").to_pylist()):
                 row = np.asarray(weights) @ held.value[words]
                 for word, weight in zip(words, weights):
                     total[word] = total.get(word, 0) + weight * row
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(
-                [v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["word", "v"])
+        yield from rows_of(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for word, v in zip(batch.column("word").to_pylist(), batch.column("v").to_pylist()):
+                total[word] = total.get(word, 0) + np.frombuffer(v)
+        yield from rows_of(total)
 
-    sums = passages.mapInArrow(run, "word int, v array<double>").groupBy("word").agg(
-        F.array(*[F.sum(F.col("v")[k]) for k in range(rank)]).alias("v"))
+    schema = "word int, v binary"
+    sums = passages.mapInArrow(multiply, schema).repartition("word").mapInArrow(add, schema)
     out = np.zeros(q.shape)
     for r in sums.collect():  # one vector per word of the benchmark part
-        out[r["word"]] = r["v"]
+        out[r["word"]] = np.frombuffer(r["v"])
     return out
 
 
@@ -180,8 +197,8 @@ def _search(w: fw.Words, index: Index, similar: float) -> Iterator[tuple[int, in
     sums = sums[:-1]
     norm = np.linalg.norm(sums, axis=1)
     some = np.flatnonzero(norm > 0)
-    close = (sums[some] @ index.passages.T) >= similar * norm[some][:, None]
-    near, passage = np.nonzero(close)
+    along = sums[some] @ index.passages.T
+    near, passage = np.nonzero((along >= similar * norm[some][:, None]) & (along >= WEIGHT * index.lengths))
     if not len(near):
         return
     pairs = np.unique(np.stack([some[near], index.owner[passage]], axis=1), axis=0)
@@ -191,23 +208,25 @@ def _search(w: fw.Words, index: Index, similar: float) -> Iterator[tuple[int, in
         start, size = int(b - first_block[row]) * STRIDE, len(item.words)
         # the item may reach out of the passage on either side
         lo, hi = max(0, start - size), min(int(w.count[row]), start + PASSAGE + size)
-        here = w.hashes[w.first[row] + lo:w.first[row] + hi]
+        here = w.hashes[w.first[row] + lo:w.first[row] + hi].tolist()
+        if len(item.distinct.intersection(here)) < PARAPHRASE * len(item.distinct) - item.repeated:
+            continue  # too few words for half of the item in any order
         share = common_subsequence(item.words, here) / size
-        answers = len(item.answer.intersection(here.tolist())) / len(item.answer)
+        answers = len(item.answer.intersection(here)) / len(item.answer)
         if share >= VERBATIM or (share >= PARAPHRASE and answers >= ANSWER):
             best[row, i] = max(best.get((row, i), (0.0, 0.0, 0)), (share, answers, start))
     for (row, i), (share, answers, start) in sorted(best.items()):
         yield row, i, start, share, answers
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
+def common_subsequence(a: np.ndarray, b: list[int]) -> int:
     """Length of the longest common subsequence, with the places of a as bits of one integer."""
     places: dict[int, int] = {}
     for k, x in enumerate(a.tolist()):
         places[x] = places.get(x, 0) | 1 << k
     full = (1 << len(a)) - 1
     v = full
-    for x in b.tolist():
+    for x in b:
         hit = v & places.get(x, 0)
         if hit:
             v = ((v + hit) | (v - hit)) & full

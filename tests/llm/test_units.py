@@ -113,7 +113,7 @@ def test_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        assert decontaminate.common_subsequence(np.array(a), np.array(b)) == t[-1][-1]
+        assert decontaminate.common_subsequence(np.array(a), b) == t[-1][-1]
 
 
 def test_runs_reach_the_recall():
