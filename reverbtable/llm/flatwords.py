@@ -14,7 +14,7 @@ import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so that powers can be divided out again
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
