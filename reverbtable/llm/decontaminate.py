@@ -5,6 +5,9 @@ corpus) gets a randomised SVD: each round multiplies the distributed passages wi
 by word, so a round moves one short vector per word and partition. Every passage of every document is projected on
 the leading directions; where its cosine with an item's passage reaches SIMILAR and its part along that passage
 WEIGHT of its length, the text around is a candidate.
+No rank holds every item of a large benchmark, so an exact filter adds what that search misses: a text that meets the
+rule below lacks few of an item's words, so of some of the rarest it holds at least `hits` in one window; every such
+window is a candidate.
 Candidates are checked by the longest common subsequence of words with the item: nearly all of the item is a leak;
 half of it is one when the item's rarest words, its answer, stand there too, which finds paraphrases.
 """
@@ -30,6 +33,7 @@ SIMILAR = 0.6            # cosine with an item's passage
 WEIGHT = 0.5             # and length against that passage: less cannot hold half of it
 VERBATIM = 0.8            # share of the item's words in order
 PARAPHRASE, ANSWER = 0.5, 0.8  # share in order, and share of the answer's words
+HITS = 4                  # words of the exact filter that must stand in one window, fewer for short items
 MAX_BROADCAST = 4 << 20   # bytes of item texts per pass; a larger benchmark takes several passes
 SLICE_BYTES = 256 << 10
 
@@ -40,6 +44,8 @@ class Item(NamedTuple):
     answer: frozenset   # hashes of the rarest third of its distinct words
     distinct: frozenset
     repeated: int       # words beyond the distinct ones
+    hits: int           # of its `rarest` words so many stand in every leak
+    rarest: np.ndarray
 
 
 class Index(NamedTuple):
@@ -49,6 +55,10 @@ class Index(NamedTuple):
     lengths: np.ndarray   # their lengths before
     owner: np.ndarray     # item of each passage
     items: list[Item]
+    holds: np.ndarray     # items that have a word among their rarest, by word
+    begins: np.ndarray    # per word number: where its items begin in holds
+    sizes: np.ndarray     # words of each item
+    hits: np.ndarray      # and its hits
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -106,7 +116,7 @@ def build(docs: DataFrame, bench: DataFrame) -> Index:
     words = np.unique(np.concatenate([w for _, w in rows])) if rows else np.empty(0, np.uint64)
     if not rows:
         return Index(words, np.zeros((0, RANK), np.float32), np.zeros((0, RANK), np.float32),
-                     np.zeros(0, np.float32), np.zeros(0, np.int64), [])
+                     np.zeros(0, np.float32), np.zeros(0, np.int64), [], *[np.zeros(0, np.int64)] * 4)
     counts = document_counts(docs, words)
     idf = np.log((1 + docs.count()) / (1 + counts)) + 0.1  # words of every document count little, but count
     owner, numbers = [], []
@@ -126,9 +136,24 @@ def build(docs: DataFrame, bench: DataFrame) -> Index:
     for i, w in rows:
         own = np.unique(w)
         rare = own[np.argsort(-idf[lookup(words, own)[0]], kind="stable")]
+        hits, size = rare_hits(len(w), len(own))
         items.append(Item(i, w, frozenset(rare[:max(1, len(rare) // 3)].tolist()),
-                          frozenset(own.tolist()), len(w) - len(own)))
-    return Index(words, vectors, latent.astype(np.float32), lengths.astype(np.float32), np.array(owner), items)
+                          frozenset(own.tolist()), len(w) - len(own), hits, rare[:size]))
+    number = lookup(words, np.concatenate([i.rarest for i in items]))[0]
+    order = np.argsort(number, kind="stable")
+    holds = np.repeat(np.arange(len(items)), [len(i.rarest) for i in items])[order]
+    begins = np.searchsorted(number[order], np.arange(len(words) + 1))
+    return Index(words, vectors, latent.astype(np.float32), lengths.astype(np.float32), np.array(owner), items,
+                 holds, begins, np.array([len(i.words) for i in items]), np.array([i.hits for i in items]))
+
+
+def rare_hits(n: int, distinct: int) -> tuple[int, int]:
+    """(hits, size): whatever meets the rule for an item of n words holds `hits` of its `size` rarest distinct words."""
+    answer = max(1, distinct // 3)
+    lacks = n - math.ceil(VERBATIM * n - 1e-9)  # a distinct word that is not there costs a place at least
+    answers = math.ceil(ANSWER * answer - 1e-9)
+    hits = max(1, min(HITS, answers, distinct - lacks))
+    return hits, min(distinct, max(lacks, answer - answers) + hits)
 
 
 def randomised_svd(passages: DataFrame, width: int, rank: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -199,9 +224,8 @@ def _search(w: fw.Words, index: Index, similar: float) -> Iterator[tuple[int, in
     some = np.flatnonzero(norm > 0)
     along = sums[some] @ index.passages.T
     near, passage = np.nonzero((along >= similar * norm[some][:, None]) & (along >= WEIGHT * index.lengths))
-    if not len(near):
-        return
-    pairs = np.unique(np.stack([some[near], index.owner[passage]], axis=1), axis=0)
+    pairs = np.unique(np.concatenate([np.stack([some[near], index.owner[passage]], axis=1), _exact(
+        index, number[at], doc, at - w.first[doc], n_blocks, first_block)]), axis=0)
     best: dict[tuple[int, int], tuple[float, float, int]] = {}
     for b, i in pairs.tolist():
         row, item = int(row_of[b]), index.items[i]
@@ -219,6 +243,30 @@ def _search(w: fw.Words, index: Index, similar: float) -> Iterator[tuple[int, in
         yield row, i, start, share, answers
 
 
+def _exact(index: Index, number: np.ndarray, doc: np.ndarray, place: np.ndarray, n_blocks: np.ndarray,
+           first_block: np.ndarray) -> np.ndarray:
+    """(block, item) wherever the window that _search takes around a block can hold hits rarest words of the item."""
+    many = index.begins[number + 1] - index.begins[number]
+    some = np.flatnonzero(many)
+    many = many[some]
+    back = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    item = index.holds[np.repeat(index.begins[number[some]], many) + back]
+    row, at = np.repeat(doc[some], many), np.repeat(place[some], many)
+    order = np.lexsort((at, item, row))
+    item, row, at = item[order], row[order], at[order]
+    size, hits = index.sizes[item], index.hits[item]
+    last = np.arange(len(item)) + hits - 1
+    inside = np.minimum(last, len(item) - 1)
+    good = (last < len(item)) & (item[inside] == item) & (row[inside] == row) & (at[inside] - at < 2 * size + PASSAGE)
+    item, row, size, first, end = item[good], row[good], size[good], at[good], at[inside[good]]
+    # blocks whose window holds both ends
+    lo = np.maximum(0, (end - PASSAGE - size) // STRIDE + 1)
+    hi = np.minimum(n_blocks[row] - 1, (first + size) // STRIDE)
+    many = np.maximum(hi - lo + 1, 0)
+    back = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    return np.stack([np.repeat(first_block[row] + lo, many) + back, np.repeat(item, many)], axis=1)
+
+
 def common_subsequence(a: np.ndarray, b: list[int]) -> int:
     """Length of the longest common subsequence, with the places of a as bits of one integer."""
     places: dict[int, int] = {}
