@@ -1,8 +1,9 @@
 """Line dedup by a log-template tree.
 
 Every line goes down a tree of fixed depth: its number of words, then its first three words, where a word with a
-digit counts as a variable field. In a leaf, a line joins the leaf's most frequent line when 7 of 10 positions agree
-(further rounds do the same for those left over); the positions that differ are the template's variable fields. A
+digit counts as a variable field. In a leaf, a line joins the leaf's most frequent line when 7 of 10 positions agree,
+those left over join the most frequent of them, and so on until no two are left that agree; a round takes many such
+heads at once. The positions that differ are the template's variable fields. A
 template that stands in enough documents is dropped wherever it stands, but for the document with the smallest id, so
 that a group of copied documents keeps one whole copy.
 
@@ -11,13 +12,13 @@ Lines travel as hashes: leaf, masked line, and two bytes per word to compare pos
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from reverbtable.llm.book import query, table
 from reverbtable.session import written
 
 DEPTH = 3
-ROUNDS = 2
+HEADS = 64        # lines of a leaf that may become heads in the first round, twice as many in each further one
 AGREE = (7, 10)
 MIN_WORDS = 3     # shorter lines are never dropped
 LONG_WORDS = 20   # a template of so many words recurs with two documents, a shorter one
@@ -53,17 +54,31 @@ def templates(lines: DataFrame) -> DataFrame:
     # only leaves with several lines need positions; a line's marks are the same wherever it stands
     rest = written(lines.select("line", "n", "marks").join(shared, "line").groupBy("leaf", "line", "n", "marks", "times")
                    .agg(F.lit(1).alias("_")).drop("_"), "leaf-lines")
-    found = None
-    for _ in range(ROUNDS):
-        heads = rest.groupBy("leaf").agg(F.count("*").alias("lines"), F.max(F.struct("times", "line", "marks")).alias("head"))
-        heads = heads.where("lines > 1").select("leaf", F.col("head.line").alias("template"), F.col("head.marks").alias("to"))
-        same = F.size(F.filter(F.zip_with("marks", "to", lambda a, b: a == b), lambda x: x))
-        tried = written(rest.join(heads, "leaf").withColumn(
-            "joins", same * AGREE[1] >= F.col("n") * AGREE[0]).drop("to"), "tried")
-        joined = tried.where("joins and line <> template").select("line", "template")
+    def agree(marks, to):
+        same = F.size(F.filter(F.zip_with(marks, to, lambda a, b: a == b), lambda x: x))
+        return same * AGREE[1] >= F.size(marks) * AGREE[0]
+
+    def first_head(marks, heads):
+        return F.get(F.filter(heads, lambda h: agree(marks, h["marks"])), 0)
+
+    found, width = None, HEADS
+    while True:
+        # the leaf's first lines in order: those that agree with none before them are heads
+        rank = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("times"), F.desc("line")))
+        top = rest.select("leaf", "line", "marks", rank.alias("rank")).where(F.col("rank") <= width)
+        top = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "line", "marks"))).alias("top"))
+        heads = top.where(F.size("top") > 1).select("leaf", F.aggregate(
+            "top", F.slice("top", 1, 0), lambda h, x: F.when(
+                F.exists(h, lambda y: agree(x["marks"], y["marks"])), h).otherwise(F.concat(h, F.array(x)))).alias("heads"))
+        # a head agrees with no head but itself
+        tried = written(rest.join(heads, "leaf").withColumn("template", first_head(F.col("marks"), F.col("heads"))["line"])
+                        .drop("heads"), "tried")
+        joined = tried.where("line <> template").select("line", "template")
         found = joined if found is None else found.unionByName(joined)
-        rest = tried.where("not joins").drop("joins", "template")
-    return found
+        rest = tried.where("template is null").drop("template")
+        if rest.isEmpty():
+            return found
+        width *= 2
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from reverbtable.llm import decontaminate, flatwords as fw
+from reverbtable.llm import decontaminate, flatwords as fw, line_dedup
 
 
 def test_leaks_of_a_large_benchmark_against_brute_force(spark):
@@ -35,3 +35,25 @@ def test_leaks_of_a_large_benchmark_against_brute_force(spark):
                 want[i.item_id, i.item_id] = max(share, want.get((i.item_id, i.item_id), 0))
     assert len(want) > 2100
     assert {k: v for k, v in got.items() if k[0] == k[1]} == want
+
+
+def test_every_template_of_a_full_leaf(spark):
+    """A leaf with more templates than one round has heads for; templates against a greedy run to the end."""
+    rng = np.random.default_rng(3)
+    texts = ["this article was first seen in an old magazine"] * 50 + ["this article was never read by any living person"] * 40
+    texts += [f"this article was written by {x} for the herald" for x in "abcdefghijklmnopqrst"]
+    texts += ["this article was " + " ".join("abcdefgh"[i] for i in rng.integers(0, 8, 6)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = line_dedup.parsed(docs.selectExpr("doc_id as rid", "doc_id", "text")).cache()
+    left = {r.line: (r["count"], r.line, r.marks) for r in lines.groupBy("line", "marks").count().collect()}
+    want, n_heads = {}, 0
+    while left:
+        _, head, marks = max(left.values())
+        mine = [k for k, x in left.items() if 10 * sum(a == b for a, b in zip(x[2], marks)) >= 7 * len(marks)]
+        want |= {k: head for k in mine if k != head}
+        left = {k: x for k, x in left.items() if k not in mine}
+        n_heads += 1
+    assert n_heads > 256
+    assert {r.line: r.template for r in line_dedup.templates(lines).collect()} == want
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup(docs).collect()}
+    assert got[90] == 0 and all(got[k] == 1 for k in range(91, 110))
