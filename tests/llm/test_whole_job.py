@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from reverbtable.llm import decontaminate, flatwords as fw, line_dedup
+from reverbtable.llm import decontaminate, flatwords as fw, license_scan, line_dedup
 
 
 def test_leaks_of_a_large_benchmark_against_brute_force(spark):
@@ -57,3 +57,26 @@ def test_every_template_of_a_full_leaf(spark):
     assert {r.line: r.template for r in line_dedup.templates(lines).collect()} == want
     got = {r.doc_id: r.n_dropped for r in line_dedup.dedup(docs).collect()}
     assert got[90] == 0 and all(got[k] == 1 for k in range(91, 110))
+
+
+def test_whole_license_paragraphs(spark):
+    """Every paragraph is met wherever it stands, with few words missing, and under its own label alone."""
+    rng = np.random.default_rng(4)
+    filler = lambda n: " ".join(f"f{x}" for x in rng.integers(0, 999, n))
+    paragraphs = license_scan.PARAGRAPHS
+    assert max(len(t.split()) for _, t, _ in paragraphs) > 2 * license_scan.STRIDE
+    rows = []
+    for k, (label, wording, phrases) in enumerate(paragraphs):
+        for j, before in enumerate((0, 17, 33, 70, 131)):
+            words = wording.split()
+            if j % 2:  # one word that no phrase holds is missing
+                words.remove(max(words, key=lambda x: (x.lower() not in " ".join(phrases), len(x))))
+            rows.append((10 * k + j, f"{filler(before)} {' '.join(words)} {filler(80)}", label))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = {r.doc_id: r for r in license_scan.scan(docs, paragraphs).collect()}
+    for k, _, label in rows:
+        assert {b.label for b in got[k].blocks} == {label} and got[k].score >= 0.9, (k, label, got[k])
+    long = " ".join(f"t{x}" for x in range(700))
+    [r] = license_scan.scan(spark.createDataFrame([(1, f"{filler(900)} {long} {filler(50)}")], "doc_id long, text string"),
+                            [("long", long)]).collect()
+    assert r.labels == "long" and r.score == 1
