@@ -84,9 +84,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that leak a benchmark item; all columns stay."""
-    gone = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_gone")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(
-        F.col(doc_id).cast("long"), F.xxhash64(text)).alias("_gone"))
+    key = F.xxhash64(doc_id, text)  # an id may stand on several texts
+    gone = leaks(docs.select(key.alias("doc_id"), F.col(text).alias("text")), benchmark).select(
+        F.col("doc_id").alias("_gone")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_gone"))
     return keyed.join(gone, "_gone", "left_anti").select("_row.*")
 
 

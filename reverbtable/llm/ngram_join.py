@@ -82,15 +82,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs without all but the smallest id of each near-duplicate class; all columns stay.
 
-    Rows that repeat an id and its text count once; texts without words stay.
+    Rows that repeat an id and its text count once; an id on several texts has each of them judged; texts without words
+    stay.
     """
-    classes = near_duplicates(docs, doc_id, text, **how)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_key")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(
-        F.col(doc_id).cast("long"), F.xxhash64(text)).alias("_key"), F.xxhash64(text).alias("_text"))
-    # the window asks for the partitioning that the join has made
-    again = F.row_number().over(Window.partitionBy("_key", "_text").orderBy("_key"))
-    return keyed.join(gone, "_key", "left_anti").withColumn("_again", again).where("_again = 1").select("_row.*")
+    ids = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
+    key = F.xxhash64(ids, text)  # an id may stand on several texts, each of which has a class of its own
+    brief = docs.select(ids.alias("_id"), key.alias("_key"))
+    classes = near_duplicates(docs.select(key.alias("doc_id"), F.col(text).alias("text")), **how)
+    kept = brief.join(classes.select(F.col("doc_id").alias("_key"), "class_id").distinct(), "_key").groupBy("class_id").agg(
+        F.min(F.struct("_id", "_key")).alias("_first")).select(F.col("_first._key").alias("_key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"))
+    again = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return keyed.join(kept, "_key", "left_semi").withColumn("_again", again).where("_again = 1").select("_row.*")
 
 
 def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

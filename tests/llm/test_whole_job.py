@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from reverbtable.llm import decontaminate, flatwords as fw, license_scan, line_dedup
+from reverbtable.llm import decontaminate, flatwords as fw, license_scan, line_dedup, ngram_join
 
 
 def test_leaks_of_a_large_benchmark_against_brute_force(spark):
@@ -80,3 +80,16 @@ def test_whole_license_paragraphs(spark):
     [r] = license_scan.scan(spark.createDataFrame([(1, f"{filler(900)} {long} {filler(50)}")], "doc_id long, text string"),
                             [("long", long)]).collect()
     assert r.labels == "long" and r.score == 1
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """An id on two texts: each text is judged by itself."""
+    rng = np.random.default_rng(6)
+    a, b, c, d = (" ".join(f"v{x}" for x in rng.integers(0, 5000, 60)) for _ in range(4))
+    docs = spark.createDataFrame([(1, b), (3, a), (3, b + " more"), (5, a), (7, c), (7, c + " more"), (9, d), (9, d)],
+                                 "doc_id long, text string")
+    kept = [tuple(r) for r in ngram_join.keep_one(docs).collect()]
+    assert sorted(kept)[:2] == [(1, b), (3, a)] and sorted(i for i, _ in kept) == [1, 3, 7, 9]
+    bench = spark.createDataFrame([(1, " ".join(a.split()[10:40]))], "item_id long, text string")
+    clean = [tuple(r) for r in decontaminate.keep_clean(docs, bench).collect()]
+    assert sorted(clean) == sorted(tuple(r) for r in docs.collect() if r.text != a)
