@@ -6,7 +6,7 @@ from reverbtable.llm import decontaminate, flatwords as fw, license_scan, line_d
 
 
 def test_leaks_of_a_large_benchmark_against_brute_force(spark):
-    """2,200 items, planted verbatim and as paraphrases; every text that meets the rule is found, and no other."""
+    """2,200 items, planted verbatim and as paraphrases; every document is found with its item, and the share is right."""
     rng = np.random.default_rng(11)
     vocabulary = np.array([f"w{k}x" for k in range(9000)])
     weights = 1 / (np.arange(9000) + 20)
