@@ -7,7 +7,8 @@ import importlib
 from reverbtable.llm import book
 
 MODULES = ["ngram_join", "quality_rules", "sharding", "url_filter", "packing",
-           "token_blocks", "license_scan", "html_text", "line_dedup", "decontaminate"]
+           "token_blocks", "license_scan", "html_text", "line_dedup", "decontaminate", "piece_table", "importance",
+           "conversation_trie"]
 
 
 def queries() -> dict:
