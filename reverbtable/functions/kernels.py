@@ -75,11 +75,14 @@ def _next_fast(n: int) -> int:
     return 1 << max(0, (n - 1).bit_length())
 
 
+def _fftconv_full(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    n = len(x) + len(h) - 1
+    size = _next_fast(n)
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[:n]
+
+
 def _fftconv(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    if len(x) == 0 or len(h) == 0:
-        return np.zeros(len(x))
-    size = _next_fast(len(x) + len(h) - 1)
-    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[:len(x)]
+    return _fftconv_full(x, h)[:len(x)] if len(x) and len(h) else np.zeros(len(x))
 
 
 @functools.cache
@@ -101,24 +104,53 @@ def resample_taps(up: int, down: int, half: int = 10, beta: float = 5.0) -> np.n
     return h / h.sum() * up
 
 
+class PolyphaseBank:
+    """One short filter per phase of a rational rate change.
+
+    Output k stands at input position k * down / up; of the stuffed signal's taps only those that meet real samples
+    are used, every ``up``-th from the output's phase on. ``before`` and ``after`` are the samples used on either side.
+    """
+
+    def __init__(self, up: int, down: int):
+        taps = resample_taps(up, down)
+        self.up, self.down, self.lead = up, down, (len(taps) - 1) // 2
+        self.width = -(-len(taps) // up)
+        padded = np.zeros(self.width * up)
+        padded[:len(taps)] = taps
+        self.filters = padded.reshape(self.width, up).T[:, ::-1]  # [phase][oldest sample first]
+        self.after = self.lead // up + 1
+        self.before = self.width
+
+    def outputs(self, x: np.ndarray, t0: int, first: int, last: int) -> np.ndarray:
+        """Outputs first..last-1 from the samples x that start at t0; zeros where there are none."""
+        newest = (np.array([first, last - 1]) * self.down + self.lead) // self.up
+        lo, hi = int(newest[0]) - self.width + 1, int(newest[1]) + 1
+        held = np.zeros(hi - lo)
+        a, b = max(lo, t0), min(hi, t0 + len(x))
+        if b > a:
+            held[a - lo:b - lo] = x[a - t0:b - t0]
+        out = np.zeros(last - first)
+        windows = np.lib.stride_tricks.sliding_window_view(held, self.width)
+        for k in range(min(self.up, last - first)):  # outputs ``up`` apart share a phase and lie ``down`` samples apart
+            end, phase = divmod((first + k) * self.down + self.lead, self.up)
+            mine = out[k::self.up]
+            mine[:] = windows[end - self.width + 1 - lo::self.down][:len(mine)] @ self.filters[phase]
+        return out
+
+
 @functools.cache
 def resample(fs_in: int, fs_out: int):
     """Rational rate change; equal rates pass through."""
     g = math.gcd(fs_in, fs_out)
     up, down = fs_out // g, fs_in // g
-    taps = resample_taps(up, down)
-    lead = (len(taps) - 1) // 2
+    if up == down:
+        return lambda x: x
+    bank = PolyphaseBank(up, down)
 
     @F.arrow_udf(DOUBLES)
     def kernel(x: pa.Array) -> pa.Array:
-        out = []
-        for row in _rows(x):
-            stuffed = np.zeros(len(row) * up)
-            stuffed[::up] = row
-            full = _fftconv(np.concatenate((stuffed, np.zeros(lead + up))), taps)[lead:]
-            out.append(full[:-(-len(row) * up // down) * down:down])
-        return _lists(out)
-    return once(kernel) if up != down else (lambda x: x)
+        return _lists([bank.outputs(row, 0, 0, -(-len(row) * up // down)) if len(row) else row for row in _rows(x)])
+    return once(kernel)
 
 
 SPEC = T.StructType([T.StructField("re", FRAMES), T.StructField("im", FRAMES),
@@ -149,6 +181,23 @@ def stft(win: int = 512, hop: int = 256):
     return once(kernel)
 
 
+def _overlap_add(spec: np.ndarray, win: int, hop: int, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the windowed inverse frames [frame][bin] and of the window power.
+
+    Frames are cut in steps of ``hop``: the k-th steps of all frames lie side by side and are added at once.
+    """
+    if not len(spec):
+        return np.zeros(0), np.zeros(0)
+    steps = -(-win // hop)
+    rows = np.zeros((2, len(spec), steps * hop))
+    rows[0, :, :win], rows[1, :, :win] = np.fft.irfft(spec, win, axis=-1) * w, w * w
+    out = np.zeros((2, len(spec) + steps - 1, hop))
+    for k in range(steps):
+        out[:, k:k + len(spec)] += rows[:, :, k * hop:(k + 1) * hop]
+    n = (len(spec) - 1) * hop + win
+    return out[0].ravel()[:n], out[1].ravel()[:n]
+
+
 @functools.cache
 def istft(win: int = 512, hop: int = 256):
     """(re, im) -> channels: overlap-add of the windowed inverse frames over the window power."""
@@ -160,11 +209,7 @@ def istft(win: int = 512, hop: int = 256):
         re_ch, im_ch = _children(re), _children(im)
         for k in range(len(re_ch)):
             spec = _matrix(re_ch[k].values) + 1j * _matrix(im_ch[k].values)
-            n = (len(spec) - 1) * hop + win if len(spec) else 0
-            y, p = np.zeros(n), np.zeros(n)
-            for t, frame in enumerate(np.fft.irfft(spec, win, axis=-1) * w if n else ()):
-                y[t * hop:t * hop + win] += frame
-                p[t * hop:t * hop + win] += w * w
+            y, p = _overlap_add(spec, win, hop, w)
             channels.append(y / np.where(p > 1e-10, p, 1.0))
         return _regroup(re, _lists(channels))
     return once(kernel)

@@ -146,7 +146,7 @@ def dp_from_peaks(spark, sf):
 @query("drr_from_peaks", with_views("rir", PEAK_CTE + f""",
     dp AS (SELECT rir_id, min(n) FILTER (h >= 0.5*mx AND rk <= 5) AS nd FROM pk GROUP BY rir_id)
     SELECT rir_id, {r(f'10*log10(coalesce(sum(h*h) FILTER (abs(n-nd)<={HALF}),0) / (coalesce(sum(h*h) FILTER (abs(n-nd)>{HALF}),0) + 1e-8) + 1e-8)')} AS drr,
-      {r('10*log10(coalesce(sum(h*h) FILTER (n<=nd+50),0) / (coalesce(sum(h*h) FILTER (n>nd+50),0) + 1e-8) + 1e-8)')} AS c50
+      {r(f'10*log10(coalesce(sum(h*h) FILTER (n<=nd+{FS * 50 // 1000}),0) / (coalesce(sum(h*h) FILTER (n>nd+{FS * 50 // 1000}),0) + 1e-8) + 1e-8)')} AS c50
     FROM rir JOIN dp USING (rir_id) WHERE nd IS NOT NULL GROUP BY rir_id"""))
 def drr_from_peaks(spark, sf):
     df = T.rirs(spark, sf).withColumn("nd", R.dp_from_peaks(F.col("h"))).filter("nd IS NOT NULL")
@@ -178,10 +178,10 @@ def rir_prefix(spark, sf):
             .select("rir_id", F.size("h").cast("long").alias("n_kept"), A.rnd(A.energy(F.col("h")), 9).alias("energy")))
 
 
-@query("room_absorption", f"""SELECT rec_id, {r('3.0 + lx')} AS lx,
+@query("room_absorption", with_views("recordings", f"""SELECT rec_id, {r('3.0 + lx')} AS lx,
       {r('0.161*v/(s*t)')} AS absorption, {r('0.161*v/(s/2*t)')} AS absorption_half, {r('log10(v)')} AS log_volume, {r('log10(s)')} AS log_surface
     FROM (SELECT *, (3.0+lx)*(2.0+lx)*2.5 AS v, 2*((3.0+lx)*(2.0+lx) + (3.0+lx)*2.5 + (2.0+lx)*2.5) AS s FROM
-      (SELECT doc_id AS rec_id, (doc_id % 10)::DOUBLE AS lx, 0.2 + n_chars/100.0::DOUBLE/1000 AS t FROM documents))""")
+      (SELECT rec_id, array_id::DOUBLE AS lx, 0.2 + duration_s/1000 AS t FROM recordings))"""))
 def room_absorption(spark, sf):
     rec = T.recordings(spark, sf)
     lx = 3.0 + F.col("array_id").cast("double")

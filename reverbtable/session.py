@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
     # array rows are wide: small Arrow batches keep Python workers flat in memory
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }

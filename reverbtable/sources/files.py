@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import struct
-import sys
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reverbtable.functions.arrays import let
-
-# workers get this module inside the task, so they need not have the package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-HEAD = 65536  # bytes that are enough for most headers; files with longer ones are walked whole
-PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE  # format tags
+from reverbtable.sources import wav
 
 
 def list_files(spark: SparkSession, root: str, ext: str = "wav") -> DataFrame:
@@ -29,105 +17,15 @@ def list_files(spark: SparkSession, root: str, ext: str = "wav") -> DataFrame:
             .select("path", F.col("length"), F.col("modificationTime").alias("mtime")))
 
 
-def parse_wav_header(head: bytes) -> tuple | None:
-    """(rate, channels, bits, data offset, data bytes, format tag) or None; chunks are walked by their sizes."""
-    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
-        return None
-    at, fmt = 12, None
-    while at + 8 <= len(head):
-        name, size = head[at:at + 4], struct.unpack_from("<I", head, at + 4)[0]
-        if name == b"fmt ":
-            if at + 24 > len(head):
-                return None
-            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", head, at + 8)
-            if tag == EXTENSIBLE and size >= 26 and at + 34 <= len(head):
-                tag = struct.unpack_from("<H", head, at + 32)[0]  # the subformat starts with the plain tag
-            fmt = rate, channels, bits, tag
-        elif name == b"data" and fmt:
-            return (*fmt[:3], at + 8, size, fmt[3])
-        at += 8 + size + size % 2
-    return None
-
-
-WAV_META = T.StructType([T.StructField(n, T.LongType()) for n in ("fs", "channels", "bits", "offset", "n_bytes", "tag")])
-
-
-@F.arrow_udf(WAV_META)
-def _wav_meta(head: pa.Array) -> pa.Array:
-    rows = [h.is_valid and parse_wav_header(h.as_py()) or (None,) * 6 for h in head]
-    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)],
-                                      names=[f.name for f in WAV_META])
+def wav_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """Rate, channels and duration of every WAV file. Only the heads of files are read; a file whose header is not
+    understood keeps its row with nulls and an error."""
+    return wav.sized(wav.with_heads(list_files(spark, root).select("path", "length")))
 
 
-def wav_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """Rate, channels and duration of every WAV file. Only the head of a file goes to Python, the whole of it where
-    the data chunk starts later; a file whose header is not understood keeps its row with nulls."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.wav").load(root))
-    short = files.select("path", "length", "content", _wav_meta(F.substring("content", 1, HEAD)).alias("m"))
-    rest = F.when(F.col("m.fs").isNull() & (F.col("length") > HEAD), F.col("content"))
-    full = short.select("path", "length", "m", _wav_meta(rest).alias("f"))
-    meta = full.select("path", "length", F.when(F.col("m.fs").isNull(), F.col("f")).otherwise(F.col("m")).alias("m")).select(
-        "path", "length", "m.*")
-    frame = F.col("channels") * F.col("bits") / 8
-    return meta.withColumn("n_samples", F.floor(F.try_divide(F.col("n_bytes"), frame))).withColumn(
-        "duration_s", F.try_divide(F.col("n_samples"), F.col("fs")))
-
-
-def decode_samples(raw: bytes) -> tuple[int, np.ndarray] | str:
-    """(rate, samples [frame, channel] in [-1, 1)) of a WAV file, or what is wrong with it.
-
-    PCM of 8 (unsigned), 16, 24 and 32 bits and float of 32 and 64 bits, plain or extensible; a data chunk that is
-    longer than the file ends with the file.
-    """
-    head = parse_wav_header(raw)
-    if head is None:
-        return "no format and data chunk"
-    fs, channels, bits, offset, n_bytes, tag = head
-    if channels < 1 or (tag, bits) not in {(PCM, 8), (PCM, 16), (PCM, 24), (PCM, 32), (FLOAT, 32), (FLOAT, 64)}:
-        return f"format tag {tag} with {bits} bits and {channels} channels"
-    width = bits // 8
-    count = min(n_bytes, len(raw) - offset) // width // channels * channels
-    if tag == FLOAT:
-        data = np.frombuffer(raw, f"<f{width}", count, offset)
-    elif bits == 8:
-        data = (np.frombuffer(raw, np.uint8, count, offset).astype(np.float32) - 128) / 128
-    elif bits == 24:
-        low = np.frombuffer(raw, np.uint8, 3 * count, offset).reshape(-1, 3).astype(np.int32)
-        data = ((low[:, 0] << 8 | low[:, 1] << 16 | low[:, 2] << 24) >> 8).astype(np.float32) / np.float32(1 << 23)
-    else:
-        data = np.frombuffer(raw, f"<i{width}", count, offset).astype(np.float32) / np.float32(2.0 ** (bits - 1))
-    return fs, data.astype(np.float32).reshape(-1, channels)
-
-
-SAMPLES = T.StructType([T.StructField("path", T.StringType()), T.StructField("ch", T.IntegerType()),
-                        T.StructField("fs", T.IntegerType()), T.StructField("chunk_no", T.IntegerType()),
-                        T.StructField("t0", T.LongType()), T.StructField("samples", T.ArrayType(T.FloatType())),
-                        T.StructField("error", T.StringType())])
-
-
-def read_wav(spark: SparkSession, root: str, chunk: int = 160_000) -> DataFrame:
+def read_wav(spark: SparkSession, root: str, chunk: int = wav.PIECE) -> DataFrame:
     """Samples as chunk rows per channel, scaled to [-1, 1); a file that cannot be read is one row with an error."""
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("ch", pa.int32()), ("fs", pa.int32()), ("chunk_no", pa.int32()),
-                            ("t0", pa.int64()), ("samples", pa.list_(pa.float32())), ("error", pa.string())])
-        for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1)):
-                raw = content.as_py()
-                found = decode_samples(raw)
-                if isinstance(found, str):
-                    yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "error": found}], schema)
-                    continue
-                fs, data = found
-                for no, t0 in enumerate(range(0, len(data), chunk)):
-                    part = data[t0:t0 + chunk]
-                    yield pa.RecordBatch.from_pylist(
-                        [{"path": path.as_py(), "ch": c, "fs": fs, "chunk_no": no, "t0": t0, "samples": part[:, c]}
-                         for c in range(data.shape[1])], schema)
-
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.wav").load(root).select("path", "content"))
-    return files.mapInArrow(decode, SAMPLES)
+    return wav.read_chunks(spark, root, chunk)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
