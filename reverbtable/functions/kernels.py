@@ -254,3 +254,53 @@ def level_sums(levels: tuple[float, ...]):
     def run(y: pa.Array) -> pa.Array:
         return _nested([sums(r) for r in _rows(y)])
     return run
+
+
+def boxcar_energy(xs: list[np.ndarray], length: int) -> np.ndarray:
+    """Causal mean square over ``length`` samples, averaged over channels, on the full convolution length."""
+    if not xs or not len(xs[0]):
+        return np.zeros(0)
+    squares = np.mean([x * x for x in xs], axis=0)
+    sums = np.concatenate(([0.0], np.cumsum(squares)))
+    n = np.arange(1, len(squares) + length)
+    return (sums[np.minimum(n, len(squares))] - sums[np.maximum(n - length, 0)]) / length
+
+
+def _records(xs: pa.Array) -> list[list[np.ndarray]]:
+    channels, off = _rows(_children(xs)), xs.offsets.to_numpy()
+    return [channels[a - off[0]:b - off[0]] for a, b in zip(off[:-1], off[1:])]
+
+
+@functools.cache
+def moving_energy(length: int):
+    """channels -> causal boxcar energy of the record."""
+    @F.arrow_udf(DOUBLES)
+    def kernel(xs: pa.Array) -> pa.Array:
+        return _lists([boxcar_energy(x, length) for x in _records(xs)])
+    return once(kernel)
+
+
+SPAN = T.StructType([T.StructField("th", T.DoubleType()), T.StructField("st", T.LongType()), T.StructField("en", T.LongType())])
+
+
+@functools.cache
+def noise_span(length: int, boundary: int, silence: int, tail: float):
+    """channels -> {th, st, en}: threshold between a silent head and a noisy middle of the moving energy, its first
+    crossing before the boundary, and its first drop from there on, less the length of the boxcar."""
+    def span(x):
+        e = boxcar_energy(x, length)
+        quiet, loud = e[length:silence], e[boundary:max(int(np.floor(len(e) - tail)), 0)]
+        if not len(quiet) or not len(loud):
+            return None, 0, boundary - length
+        th = (quiet.mean() + loud.mean()) / 4 + (quiet.max() + loud.min()) / 4
+        on = e > th
+        st = int(np.argmax(on[:boundary]))
+        drop = np.flatnonzero(~on[boundary:])
+        return float(th), st, (int(drop[0]) if len(drop) else 0) + boundary - length
+
+    @F.arrow_udf(SPAN)
+    def kernel(xs: pa.Array) -> pa.Array:
+        rows = [span(x) for x in _records(xs)]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.float64(), pa.int64(), pa.int64()))],
+                                          names=["th", "st", "en"])
+    return once(kernel)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 BLOCK_US = 600_000_000  # ten minutes of timeline per block
 BLOCK_ROWS = 1 << 16  # rows of a dense series per block: one summary row for so many
+CUTS = 256  # blocks that one sketch cuts a key into at most
 SLICE_ROWS = 100_000  # rows of a seeded order that are sorted together
 
 
@@ -51,6 +52,39 @@ def time_block(col: str, width: float | Column = BLOCK_US) -> Column:
     return F.floor(F.col(col) / (width if isinstance(width, Column) else F.lit(width))).cast("long")
 
 
+def with_row_blocks(df: DataFrame, keys: list[str], order: str, rows: int = BLOCK_ROWS, name: str = "_cut", levels: int = 1) -> DataFrame:
+    """Add the number of a row's block along ``order`` (a whole number), for blocks of about ``rows`` rows.
+
+    Only keys with more than ``rows`` rows are cut, at quantiles of a mergeable sketch; a row finds its block by
+    bisection of its key's cuts. A burst is cut as finely as its rows, a quiet stretch is one block. Rows of equal
+    ``order`` share a block. One level makes up to CUTS blocks per key; each further one cuts blocks that are over
+    twice ``rows`` again. Rows without a value come first.
+    """
+    out = _cut(df, keys, order, rows, name)
+    for level in range(1, levels):
+        finer = _cut(out, [*keys, name], order, 2 * rows, f"{name}{level}")
+        out = finer.withColumn(name, F.col(name) * CUTS + F.col(f"{name}{level}")).drop(f"{name}{level}")
+    return out
+
+
+def _cut(df: DataFrame, keys: list[str], order: str, rows: int, name: str) -> DataFrame:
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    ranks = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    sketch = F.kll_sketch_agg_bigint(F.col(order).cast("long"), F.lit(4096))  # ranks within a thousandth
+    found = df.select(*keys, order).join(large, keys).groupBy(*keys).agg(sketch.alias("_sk"), F.max("_n").alias("_n"))
+    many = F.least(F.ceil(F.col("_n") / rows), F.lit(CUTS)).cast("int")
+    quantiles = found.select(*keys, many.alias("_m"), F.kll_sketch_get_quantile_bigint("_sk", ranks).alias("_q"))
+    cuts = quantiles.select(*keys, F.transform(F.sequence(F.lit(1), F.col("_m") - 1), lambda i: F.get(
+        "_q", F.floor(i * CUTS / F.col("_m")).cast("int") - 1)).alias("_cuts"))
+
+    def step(at, size):
+        return F.when((at + size <= F.size("_cuts")) & (F.get("_cuts", at + size - 1) < F.col(order)), at + size).otherwise(at)
+
+    steps = F.array(*[F.lit(CUTS >> k) for k in range(1, CUTS.bit_length())])
+    before = F.when(F.col("_cuts").isNull() | F.col(order).isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), step))
+    return attach(df, cuts, keys, "left").select(*df.columns, before.cast("long").alias(name))
+
+
 def slices(df: DataFrame, rows: int = SLICE_ROWS) -> Column:
     """How many slices of about so many rows the table takes, as a scalar of the plan: it grows with the table."""
     return df.select((F.floor(F.count(F.lit(1)) / rows) + 1).cast("long")).scalar()
@@ -138,25 +172,31 @@ def _timeline(left: DataFrame, right: DataFrame, keys: list[str], time: str, val
             .withColumn("_tie", F.xxhash64("_l", "_r")))
 
 
+def _scan_timeline(both: DataFrame, keys: list[str], time: str, width: float | Column | None, aggs: dict[str, Agg]) -> DataFrame:
+    """In blocks of so much time, or (None) of so many rows."""
+    if width is not None:
+        return scan(both, keys, [time, "_k", "_tie"], time_block(time, width), aggs)
+    return scan(with_row_blocks(both, keys, time), keys, [time, "_k", "_tie"], F.col("_cut"), aggs)
+
+
 def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str],
-         block_width: float | Column = BLOCK_US, strict: bool = True, forward: bool = False,
+         block_width: float | Column | None = None, strict: bool = True, forward: bool = False,
          out: str = "hit") -> DataFrame:
     """Attach the nearest earlier (or later) right row to every left row, as struct ``out``.
 
     Union plus a blocked last-non-null scan: linear in rows, no pair is ever formed.
     """
     both = _timeline(left, right, keys, time, values, 0 if strict != forward else 1)
-    found = scan(both, keys, [time, "_k", "_tie"], time_block(time, block_width),
-                 {out: Agg("last", F.col("_r"), reverse=forward)})
+    found = _scan_timeline(both, keys, time, block_width, {out: Agg("last", F.col("_r"), reverse=forward)})
     return found.filter(F.col("_l").isNotNull()).select("_l.*", out)
 
 
 def asof_both(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str],
-              block_width: float = BLOCK_US, before: str = "before", after: str = "after") -> DataFrame:
+              block_width: float | None = None, before: str = "before", after: str = "after") -> DataFrame:
     """The last right row at or before every left row and the first one strictly after it."""
     both = _timeline(left, right, keys, time, values, 1)
-    found = scan(both, keys, [time, "_k", "_tie"], time_block(time, block_width),
-                 {before: Agg("last", F.col("_r")), after: Agg("last", F.col("_r"), reverse=True)})
+    found = _scan_timeline(both, keys, time, block_width, {
+        before: Agg("last", F.col("_r")), after: Agg("last", F.col("_r"), reverse=True)})
     return found.filter(F.col("_l").isNotNull()).select("_l.*", before, after)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reverbtable.functions import arrays as A, kernels as K
 from reverbtable.functions.acoustics import diffuse_coherence
-from reverbtable.functions.draws import normal, pick_index
+from reverbtable.functions.draws import normal, pick_index, uniform
 from reverbtable.functions.scan import Agg, scan
 from reverbtable.operators.sampling import shuffled_index
 
@@ -183,6 +183,28 @@ def concat_in_time(chunks: DataFrame, key: str, order: list[str], block: Column)
 
 # ---- noise -------------------------------------------------------------------------------
 
+def response_noise(matched: DataFrame, xs: str, noise_fs: str, rates: list[int], fs: int, seconds: float, channels: int,
+                   seed: str, key: str) -> DataFrame:
+    """Noise of a response as samples: a drawn crop of ``seconds`` of its matched clip, brought to ``fs``.
+
+    matched has one row per response with the clip xs [channel][sample] at noise_fs, one of ``rates``, or null where
+    no clip matched: such a response gets zeros. A clip that is shorter than asked for is an error. Added: noise.
+    """
+    have, want = F.size(F.get(xs, F.lit(0))), F.floor(F.col(noise_fs) * F.lit(seconds) + 1e-9).cast("int")
+    at = F.floor(uniform(seed, key) * (have - want + 1)).cast("int")
+    crop = F.when(F.col(xs).isNull(), F.lit(None).cast("array<array<double>>")).when(have < want, F.raise_error(
+        F.lit("a noise clip is shorter than asked for")).cast("array<array<double>>")).otherwise(
+        F.transform(xs, lambda x: F.slice(x, at + 1, want)))
+    cut = matched.withColumn("_crop", A.pinned(crop))
+    made = F.lit(None).cast("array<array<double>>")
+    for rate in rates:
+        channel = [K.resample(rate, fs)(F.when(F.col(noise_fs) == rate, F.get("_crop", F.lit(c)))) for c in range(channels)]
+        cut = cut.withColumn(f"_at{rate}", F.array(*channel))
+        made = F.when(F.col(noise_fs) == rate, F.col(f"_at{rate}")).otherwise(made)
+    silent = zero_noise(F.lit(int(fs * seconds + 1e-9)), channels)
+    return cut.withColumn("noise", F.when(F.col(xs).isNull(), silent).otherwise(made)).select(*matched.columns, "noise")
+
+
 def white_noise(n: Column, channels: int, seed: str, key: str) -> Column:
     """Independent standard normal samples per channel, a pure function of (seed, key, ch, n)."""
     idx = F.sequence(F.lit(0), n.cast("int") - 1)

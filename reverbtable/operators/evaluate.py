@@ -58,6 +58,29 @@ def best_per_trial(results: DataFrame, by: list[str], trial: str = "trial") -> D
                  F.avg("_b.test_mae").alias("test_mae"), F.count(F.lit(1)).alias("n_trials")))
 
 
+def reports(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw, best and best-averaged rows of runs: task, ft, model_data, num, embed, trial, bs, lr, val_loss, val_mae,
+    test_loss, test_mae.
+
+    Raw: every run. Best: per trial the run of lowest validation loss (ties: first in (lr, bs) order), with the number
+    of rooms for simulated data named <name>R<rooms> and the records per epoch for real data, else "invalid".
+    Averaged: the best runs' metrics, mean over trials.
+    """
+    raw = results.select("task", "ft", "model_data", "embed", "trial", "bs", "lr", "val_loss", "val_mae", "test_loss", "test_mae")
+    name = F.col("model_data")
+    rooms = F.regexp_extract(name, r"^[^R]*R(\d+)$", 1)
+    named = name.contains("sim") & (rooms != "")
+    shown = results.withColumns({
+        "room_num": F.when(named, rooms).otherwise("invalid"),
+        "data_num": F.when(name.contains("real"), F.col("num").cast("string")).otherwise("invalid"),
+        "model_data": F.when(named, F.regexp_extract(name, r"^([^R]*)R\d+$", 1)).otherwise(name)})
+    by = ["ft", "task", "model_data", "room_num", "data_num", "embed"]
+    pick = F.min(F.struct("val_loss", "lr", "bs", "val_mae", "test_mae"))
+    best = shown.groupBy(*by, "trial").agg(pick.alias("_b")).select(*by, "trial", "_b.bs", "_b.lr", "_b.val_mae", "_b.test_mae")
+    averaged = best.groupBy(*by).agg(F.avg("val_mae").alias("val_mae"), F.avg("test_mae").alias("test_mae"))
+    return raw, best, averaged
+
+
 def summary(results: DataFrame, by: list[str]) -> DataFrame:
     return results.groupBy(*by).agg(
         F.avg("test_loss").alias("mean_loss"), F.avg("test_mae").alias("mean_mae"),

@@ -63,6 +63,11 @@ def dp_from_peaks(h: Column, ratio: float = 0.5, largest: int = 5) -> Column:
     return F.array_min(F.transform(top, lambda p: p["n"]))
 
 
+def dp_in_head(h: Column, fs: int, search_s: float = 1 / 160, ratio: float = 0.5, largest: int = 5) -> Column:
+    """Direct path by peaks among the first int(fs * search_s) samples only; null if they hold no peak."""
+    return dp_from_peaks(A.cut(h, 0, int(fs * search_s)), ratio, largest)
+
+
 def prefix_by_t60(h: Column, t60: Column, fs: int) -> Column:
     """Keep the first int(2*T60*fs) samples."""
     return A.cut(h, 0, F.floor(2.0 * t60 * fs).cast("int"))

@@ -136,6 +136,41 @@ def other_speaker(utts: DataFrame, seed: str, speaker: str = "speaker", utt: str
     return want.join(listed, ["speaker_b", "pos_b"]).select(speaker, utt, "speaker_b", f"{utt}_b")
 
 
+def distinct_positions(n: Column, k: int, seed: str, *ids: str | Column) -> Column:
+    """k different positions below n as an array, every set equally likely: for each j of the last k positions a draw
+    up to j, or j itself where that draw is taken already. Fewer than k positions are an error."""
+    def add(taken, i):
+        j = n - k + i
+        return let(F.floor(uniform(seed, *ids, i) * (j + 1)).cast("long"), lambda t: F.concat(
+            taken, F.array(F.when(F.array_contains(taken, t), j).otherwise(t))))
+
+    none = F.array().cast("array<long>")
+    drawn = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), none, add) if k else none
+    short = F.raise_error(F.concat(F.lit(f"{k} different positions are asked of "), n.cast("string"))).cast("array<long>")
+    return F.when(n >= k, drawn).otherwise(short)
+
+
+def speakers_mix(utts: DataFrame, k: int, seed: str, speaker: str = "speaker", utt: str = "utt_id") -> DataFrame:
+    """k utterances of k different speakers for every utterance: speaker, utt_id, slot, speaker_b, utt_id_b.
+
+    Slot 0 is the utterance itself. The others are drawn as distinct positions among the other speakers, in the row;
+    an utterance of each is then looked up by a drawn position. Nothing is paired and nothing is drawn again.
+    """
+    rows = utts.select(speaker, utt)
+    ranks = shuffled_index(rows.select(speaker).distinct(), [], seed, speaker, "rank")
+    n = rows.select(F.countDistinct(speaker)).scalar()
+    size = rows.groupBy(speaker).agg(F.count(F.lit(1)).alias("size_b"))
+    catalogue = ranks.join(size, speaker).select(F.col(speaker).alias("speaker_b"), F.col("rank").alias("rank_b"), "size_b")
+    drawn = distinct_positions(F.col("_n"), k - 1, seed + ":spk", utt)
+    asked = attach(rows, ranks, [speaker]).withColumn("_n", n - 1).select(speaker, utt, "rank", F.posexplode(drawn).alias("_i", "_j"))
+    want = asked.select(speaker, utt, (F.col("_i") + 1).alias("slot"), (F.col("_j") + F.when(F.col("_j") >= F.col("rank"), 1).otherwise(0)).alias("rank_b"))
+    want = attach(want, catalogue, ["rank_b"]).withColumn("pos_b", pick_index(F.col("size_b"), seed + ":utt", utt, F.col("slot")))
+    listed = shuffled_index(rows, [speaker], seed + ":list", utt, "pos_b").select(
+        F.col(speaker).alias("speaker_b"), F.col(utt).alias(f"{utt}_b"), "pos_b")
+    others = want.join(listed, ["speaker_b", "pos_b"]).select(speaker, utt, "slot", "speaker_b", f"{utt}_b")
+    return rows.select(speaker, utt, F.lit(0).alias("slot"), F.col(speaker).alias("speaker_b"), F.col(utt).alias(f"{utt}_b")).union(others)
+
+
 def match_one(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
               seed: str) -> DataFrame:
     """One hash-drawn right row per left row of the same key; null where the key has none.

@@ -11,8 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from reverbtable.functions import arrays as A
-from reverbtable.functions.scan import BLOCK_ROWS, BLOCK_US, Agg, asof, asof_both, attach, scan, spread, time_block
+from reverbtable.functions import arrays as A, kernels as K
+from reverbtable.functions.scan import BLOCK_ROWS, Agg, asof, asof_both, attach, scan, with_row_blocks
 
 
 def speech_gaps(utts: DataFrame, min_us: int, audio_us: Column, closed_end: bool = False,
@@ -22,7 +22,7 @@ def speech_gaps(utts: DataFrame, min_us: int, audio_us: Column, closed_end: bool
     Kept when at least ``min_us`` long and the next start lies inside the audio; the last
     sentence of a session gives none.
     """
-    run = scan(utts, [key], ["st", tie], time_block("st"), {
+    run = scan(with_row_blocks(utts, [key], "st"), [key], ["st", tie], F.col("_cut"), {
         "e0": Agg("max", F.col("en"), exclusive=True),
         "s1": Agg("last", F.col("st"), exclusive=True, reverse=True)})
     gap = run.withColumn("e0", F.greatest(F.coalesce("e0", F.lit(0)), F.lit(0)))
@@ -32,7 +32,7 @@ def speech_gaps(utts: DataFrame, min_us: int, audio_us: Column, closed_end: bool
 
 
 def interpolate(probes: DataFrame, knots: DataFrame, keys: list[str], time: str = "t", value: str = "v",
-                block_us: int = BLOCK_US) -> DataFrame:
+                block_us: int | None = None) -> DataFrame:
     """Linear interpolation of ``value`` at probe times, clamped to the first and last knot; a probe whose key has no
     knot, or knots without a value, keeps its row with null."""
     both = asof_both(probes, knots, keys, time, [value], block_us, "_p", "_q")
@@ -112,42 +112,28 @@ def leading_silence(x: Column, fs: int, ratio: float = 0.15, max_s: float = 4.0)
 
 
 def moving_energy(clips: DataFrame, key: str, xs: str, length: int) -> DataFrame:
-    """Causal boxcar energy, averaged over channels, on the full convolution length.
+    """Causal boxcar energy, averaged over channels, on the full convolution length: key, n, len, e.
 
-    A difference of two running sums: a sliding frame would re-add ``length`` values per row.
-    Clips are hash-partitioned as arrays before they are exploded.
+    Differences of prefix sums inside the record; nothing is shuffled.
     """
-    def mean_square(v):
-        return F.transform(F.sequence(F.lit(0), F.size(F.get(v, F.lit(0))) - 1), lambda i: F.aggregate(
-            v, F.lit(0.0), lambda acc, c: acc + F.get(c, i) * F.get(c, i)) / F.size(v))
-
-    mean_sq = A.let(F.col(xs), mean_square)
-    padded = F.concat(mean_sq, F.array_repeat(F.lit(0.0), length - 1))
-    long = (spread(clips.select(key, padded.alias("_e")), key)
-            .select(key, F.size("_e").alias("len"), F.posexplode("_e").alias("n", "v")))
-    w = W.partitionBy(key).orderBy("n")
-    run = long.withColumn("_s", F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return run.select(key, "n", "len", ((F.col("_s") - F.coalesce(F.lag("_s", length).over(w), F.lit(0.0))) / length).alias("e"))
+    e = clips.select(key, K.moving_energy(length)(F.col(xs)).alias("_e"))
+    return e.select(key, F.size("_e").alias("len"), F.posexplode("_e").alias("n", "e")).select(key, "n", "len", "e")
 
 
 def noise_span(clips: DataFrame, key: str, xs: str, fs: int, boundary_s: float = 3.0, filt_s: float = 0.4,
                silence_s: float = 1.5) -> DataFrame:
-    """Sample range of a noise clip without its leading and trailing silence.
+    """Sample range of a noise clip without its leading and trailing silence: th, st, en, usable are added to clips.
 
     Threshold from the means and extremes of a silent head and a noisy middle; start is the
-    first crossing before the boundary, end the first drop after it.
+    first crossing before the boundary, end the first drop after it. A clip without head or middle has no threshold.
     """
-    L, b = int(fs * filt_s), int(fs * boundary_s)
-    e = moving_energy(clips, key, xs, L)
-    n, v = F.col("n"), F.col("e")
-    quiet = (n >= L) & (n < int(fs * silence_s))
-    loud = (n >= b) & (n < F.floor(F.col("len") - fs * boundary_s))
-    w = W.partitionBy(key)
-    th = ((F.avg(F.when(quiet, v)).over(w) + F.avg(F.when(loud, v)).over(w)) / 4
-          + (F.max(F.when(quiet, v)).over(w) + F.min(F.when(loud, v)).over(w)) / 4)
-    hot = e.withColumn("th", th).withColumn("on", v > F.col("th"))
-    out = hot.groupBy(key).agg(
-        F.max("th").alias("th"),
-        F.coalesce(F.min(F.when(F.col("on") & (n < b), n)), F.lit(0)).alias("st"),
-        (F.coalesce(F.min(F.when(~F.col("on") & (n >= b), n)), F.lit(b)) - L).alias("en"))
+    span = K.noise_span(int(fs * filt_s), int(fs * boundary_s), int(fs * silence_s), fs * boundary_s)
+    out = clips.withColumn("_s", span(F.col(xs))).select(*clips.columns, "_s.*")
     return out.withColumn("usable", (F.col("en") > F.col("st")) & ((F.col("en") - F.col("st")) / float(fs) > 3))
+
+
+def noise_clip(clips: DataFrame, key: str, xs: str, fs: int, **settings: float) -> DataFrame:
+    """The usable clips cut to their noise: other columns stay, xs holds samples [st, en) of every channel."""
+    kept = noise_span(clips, key, xs, fs, **settings).where("usable")
+    cut = F.transform(xs, lambda x: F.slice(x, (F.col("st") + 1).cast("int"), (F.col("en") - F.col("st")).cast("int")))
+    return kept.withColumn(xs, cut).select(*clips.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rir", "geometry", "catalog", "sampling", "timeline", "evaluate", "signals", "features", "sources", "chunks"]
+MODULES = ["rir", "geometry", "catalog", "sampling", "timeline", "evaluate", "signals", "features", "sources", "chunks", "stores"]
 
 
 def _collect(attr: str) -> dict:

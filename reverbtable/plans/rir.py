@@ -154,6 +154,20 @@ def drr_from_peaks(spark, sf):
     return df.select("rir_id", A.rnd(R.drr(h, nd, FS)).alias("drr"), A.rnd(R.clarity(h, nd, FS, 50)).alias("c50"))
 
 
+HEAD_S = 1 / 16
+HEAD = int(FS * HEAD_S)
+
+
+@query("drr_from_head", with_views("rir", PEAK_CTE.replace("FROM rir)", f"FROM rir WHERE n < {HEAD})") + f""",
+    dp AS (SELECT rir_id, min(n) FILTER (h >= 0.5*mx AND rk <= 5) AS nd FROM pk GROUP BY rir_id)
+    SELECT rir_id, nd, {r(f'10*log10(coalesce(sum(h*h) FILTER (abs(n-nd)<={HALF}),0) / (coalesce(sum(h*h) FILTER (abs(n-nd)>{HALF}),0) + 1e-8) + 1e-8)')} AS drr
+    FROM rir JOIN dp USING (rir_id) WHERE nd IS NOT NULL GROUP BY rir_id, nd"""))
+def drr_from_head(spark, sf):
+    """Direct path searched in the first samples only, its energy against the whole response."""
+    df = T.rirs(spark, sf).withColumn("nd", R.dp_in_head(F.col("h"), FS, HEAD_S)).filter("nd IS NOT NULL")
+    return df.select("rir_id", "nd", A.rnd(R.drr(F.col("h"), F.col("nd"), FS)).alias("drr"))
+
+
 @query("rir_valid", with_views("rir", """
     SELECT room, count(DISTINCT rir_id) AS n_rir, count(DISTINCT rir_id) FILTER (ok) AS n_valid FROM (
       SELECT rir_id, room, bool_and(NOT isnan(h) AND NOT isinf(h)) AND bool_or(h <> 0) AS ok FROM (

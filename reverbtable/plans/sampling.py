@@ -203,18 +203,32 @@ def other_speaker(spark, sf):
     return S.other_speaker(utts, "8")
 
 
-@query("noise_match", f"""WITH rir AS (SELECT vec_id AS rir_id, label AS array_id, vec_id % 3 AS pair FROM embeddings),
-    ns AS (SELECT doc_id AS noise_id, doc_id % 10 AS array_id, doc_id % 4 AS pair, n_chars FROM documents),
+@query("speakers_mix", f"""WITH ut AS (SELECT source AS speaker, doc_id AS utt_id FROM documents),
+    rk AS (SELECT speaker, row_number() OVER (ORDER BY md5('9:' || speaker), speaker) - 1 AS k, count(*) OVER () - 1 AS n FROM (SELECT DISTINCT speaker FROM ut)),
+    ls AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY md5('9:list:' || utt_id), utt_id) - 1 AS pos, count(*) OVER (PARTITION BY speaker) AS c FROM ut),
+    d AS (SELECT ut.*, k, n, floor({u('9:spk', 'utt_id', '0')}*(n - 1))::BIGINT AS a, floor({u('9:spk', 'utt_id', '1')}*n)::BIGINT AS b FROM ut JOIN rk USING (speaker)),
+    e AS (SELECT *, 1 AS slot, a AS j FROM d UNION ALL SELECT *, 2, CASE WHEN b = a THEN n - 1 ELSE b END FROM d),
+    x AS (SELECT e.speaker, utt_id, slot, rk.speaker AS sb FROM e JOIN rk ON rk.k = j + CASE WHEN j >= e.k THEN 1 ELSE 0 END)
+    SELECT speaker, utt_id, 0 AS slot, speaker AS speaker_b, utt_id AS utt_id_b FROM ut UNION ALL
+    SELECT x.speaker, x.utt_id, slot, sb, ls.utt_id FROM x JOIN ls ON ls.speaker = sb AND ls.pos = floor({u('9:utt', 'x.utt_id', 'slot')}*c)::BIGINT""")
+def speakers_mix(spark, sf):
+    """Every utterance with one of each of two other speakers."""
+    utts = T.recordings(spark, sf).select(F.col("corpus").alias("speaker"), F.col("rec_id").alias("utt_id"))
+    return S.speakers_mix(utts, 3, "9")
+
+
+@query("noise_match", with_views("recordings", f"""rir AS (SELECT vec_id AS rir_id, vec_id // 8 AS array_id, vec_id % 3 AS pair FROM embeddings),
+    ns AS (SELECT rec_id AS noise_id, array_id, rec_id % 4 AS pair, n_chars FROM recordings JOIN documents ON doc_id = rec_id),
     ls AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY array_id, pair) AS c FROM ns
            WINDOW w AS (PARTITION BY array_id, pair ORDER BY md5('5:noise:list:' || noise_id), noise_id))
     SELECT rir_id, ls.noise_id, coalesce(n_chars, 0) AS noise_len FROM rir LEFT JOIN ls
-      ON ls.array_id = rir.array_id AND ls.pair = rir.pair AND pos = floor({u('5:noise', 'rir_id')}*c)::BIGINT""")
+      ON ls.array_id = rir.array_id AND ls.pair = rir.pair AND pos = floor({u('5:noise', 'rir_id')}*c)::BIGINT"""))
 def noise_match(spark, sf):
     """One noise clip per response from the same array and pair; zero noise where there is none."""
-    rir = load(spark, sf, "embeddings").select(F.col("vec_id").alias("rir_id"), F.col("label").cast("long").alias("array_id"),
+    rir = load(spark, sf, "embeddings").select(F.col("vec_id").alias("rir_id"), F.floor(F.col("vec_id") / 8).cast("long").alias("array_id"),
                                                (F.col("vec_id") % 3).alias("pair"))
-    noise = load(spark, sf, "documents").select(F.col("doc_id").alias("noise_id"), (F.col("doc_id") % 10).alias("array_id"),
-                                                (F.col("doc_id") % 4).alias("pair"), "n_chars")
+    noise = T.recordings(spark, sf).select(F.col("rec_id").alias("noise_id"), "array_id", (F.col("rec_id") % 4).alias("pair"),
+                                           F.round(F.col("duration_s") * 100).cast("long").alias("n_chars"))
     hit = S.match_one(rir, noise, ["array_id", "pair"], "rir_id", "noise_id", "5:noise")
     return (hit.join(noise.select("noise_id", "n_chars"), "noise_id", "left")
             .select("rir_id", "noise_id", F.coalesce("n_chars", F.lit(0)).alias("noise_len")))

@@ -159,6 +159,33 @@ def noise_parts(spark, sf):
     return out.select("sig_id", "ch", rnd(A.energy(F.col("x")), 9).alias("energy"))
 
 
+NOISE = f"""ns AS (SELECT vec_id AS noise_id, label AS array_id FROM embeddings WHERE vec_id % 5 > 0 AND label % 4 > 0),
+    ls AS (SELECT *, row_number() OVER (PARTITION BY array_id ORDER BY md5('n:list:' || noise_id), noise_id) - 1 AS pos, count(*) OVER (PARTITION BY array_id) AS c FROM ns),
+    ht AS (SELECT vec_id AS rir_id, noise_id, CASE WHEN noise_id % 2 = 0 THEN 16000 ELSE 24000 END AS fs,
+             CASE WHEN noise_id % 2 = 0 THEN 20 ELSE 30 END AS want FROM embeddings LEFT JOIN ls ON ls.array_id = label AND pos = floor({u('n', 'vec_id')}*c)::BIGINT),
+    cr AS (SELECT rir_id, fs, ch, n - st AS n, x FROM (SELECT *, floor({u('n:crop', 'rir_id')} * (32 - want + 1))::BIGINT AS st FROM ht) q
+           JOIN signal ON sig_id = noise_id WHERE n >= st AND n < st + want),
+    taps AS (SELECT i - 1 AS j, t[i] AS h FROM (SELECT {TAPS}::DOUBLE[] AS t), range(1, {len(TAPS) + 1}) q(i))"""
+
+
+@query("response_noise", with_views("signal", NOISE + f"""
+    SELECT rir_id, ch::INTEGER AS ch, n::INTEGER AS n, {r('x')} AS x FROM (
+      SELECT rir_id, ch, n, x FROM cr WHERE fs = 24000 UNION ALL
+      SELECT rir_id, ch, k // 2, sum(x*h) FROM (SELECT rir_id, ch, n*3 + j - 30 AS k, x, h FROM cr, taps WHERE fs = 16000) WHERE k >= 0 AND k % 2 = 0 AND k < 60 GROUP BY ALL UNION ALL
+      SELECT rir_id, ch, n, 0.0 FROM ht, range(0,2) a(ch), range(0,30) b(n) WHERE noise_id IS NULL)"""))
+def response_noise(spark, sf):
+    """A drawn crop of a clip of the response's array, at 24 kHz whatever the clip's rate; zeros for arrays without."""
+    from reverbtable.operators.sampling import match_one
+    e = load(spark, sf, "embeddings")
+    rirs = e.select(F.col("vec_id").alias("rir_id"), F.col("label").alias("array_id"))
+    noise = rirs.where("rir_id % 5 > 0 AND array_id % 4 > 0").withColumnRenamed("rir_id", "noise_id")
+    hit = match_one(rirs, noise, ["array_id"], "rir_id", "noise_id", "n").join(
+        clips(spark, sf).withColumnRenamed("sig_id", "noise_id"), "noise_id", "left")
+    hit = hit.withColumn("noise_fs", F.when(F.col("noise_id") % 2 == 0, 16000).otherwise(24000))
+    out = S.response_noise(hit, "xs", "noise_fs", [16000, 24000], 24000, 30 / 24000, 2, "n:crop", "rir_id")
+    return long_rows(out.select("rir_id", "noise"), "rir_id", "noise")
+
+
 BABBLE = f"""ls AS (SELECT vec_id AS utt, row_number() OVER (ORDER BY md5('babble:list:' || vec_id), vec_id) - 1 AS pos, count(*) OVER () AS c FROM embeddings),
   dr AS (SELECT vec_id AS sig_id, ch, voice, {u('babble', 'vec_id', 'ch', 'voice')} AS u, floor({u('babble:crop', 'vec_id', 'ch', 'voice')} * (64 - 40 + 1))::BIGINT AS st
          FROM embeddings, range(0,2) a(ch), range(0,10) b(voice)),

@@ -161,4 +161,17 @@ def moving_energy(spark, sf):
              coalesce(min(n) FILTER (NOT e > th AND n >= 15), 15) - 2 AS en FROM en JOIN th USING (sig_id) GROUP BY ALL)
     SELECT sig_id, {r('th', 9)} AS th, st::INTEGER AS st, en::INTEGER AS en, en > st AND (en - st)/5.0 > 3 AS usable FROM sp"""))
 def noise_span(spark, sf):
-    return L.noise_span(clips(spark, sf), "sig_id", "xs", 5).withColumn("th", rnd(F.col("th"), 9))
+    out = L.noise_span(clips(spark, sf), "sig_id", "xs", 5).select("sig_id", "th", F.col("st").cast("int").alias("st"), F.col("en").cast("int").alias("en"), "usable")
+    return out.withColumn("th", rnd(F.col("th"), 9))
+
+
+@query("noise_clip", with_views("signal", ENERGY + f""",
+    th AS (SELECT sig_id, (avg(e) FILTER (n >= 2 AND n < 7) + avg(e) FILTER (n >= 15 AND n < 18))/4
+             + (max(e) FILTER (n >= 2 AND n < 7) + min(e) FILTER (n >= 15 AND n < 18))/4 AS th FROM en GROUP BY 1),
+    sp AS (SELECT sig_id, coalesce(min(n) FILTER (e > th AND n < 15), 0) AS st,
+             coalesce(min(n) FILTER (NOT e > th AND n >= 15), 15) - 2 AS en FROM en JOIN th USING (sig_id) GROUP BY sig_id)
+    SELECT sig_id, ch, (n - st)::INTEGER AS n, {r('x', 9)} AS x FROM signal JOIN sp USING (sig_id) WHERE en > st AND (en - st)/5.0 > 3 AND n >= st AND n < en"""))
+def noise_clip(spark, sf):
+    """Usable noise clips without their silence, as samples."""
+    out = L.noise_clip(clips(spark, sf), "sig_id", "xs", 5).select("sig_id", F.posexplode("xs").alias("ch", "_x"))
+    return out.select("sig_id", "ch", F.posexplode("_x").alias("n", "_v")).select("sig_id", "ch", "n", rnd(F.col("_v"), 9).alias("x"))

@@ -189,7 +189,7 @@ def read_ranges(wanted: DataFrame, path: str = "path", st: str = "st", ed: str =
     rows = wanted.select(*keep, F.explode(steps).alias("t0")).withColumn("_t1", F.least(F.col("t0") + piece, F.col(ed).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, file, head = None, None, ""
+        last, file, head = "", None, "no path"
         for batch in batches:
             for k in range(len(batch)):
                 one = batch.slice(k, 1)
@@ -385,5 +385,5 @@ def write_wav(df: DataFrame, root: str, name: Column, xs: Column, fs: Column) ->
                 store.move(part, to)
             yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
 
-    return df.select(name.alias("n"), xs.cast("array<array<double>>").alias("x"), fs.cast("int").alias("r")).mapInArrow(
+    return df.select(name.alias("_name"), xs.cast("array<array<double>>").alias("_xs"), fs.cast("int").alias("_fs")).mapInArrow(
         run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
