@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reverbtable.functions.scan import Agg, attach, row_index, scan, with_row_blocks
+
 
 def path_attributes(df: DataFrame, names: list[str], path: str = "path") -> DataFrame:
     """Last path components as columns, outermost first."""
@@ -93,3 +95,18 @@ def files_to_rows(df: DataFrame, group: list[str], value: str, order: str) -> Da
     """
     packed = F.array_sort(F.collect_list(F.struct(order, value)))
     return df.groupBy(*group).agg(F.transform(packed, lambda p: p[value]).alias(value))
+
+
+def sheets(report: DataFrame, duration: str, item: str, rows: int) -> DataFrame:
+    """The report with sheet_no: longest first, ``rows`` to a sheet; equal durations in order of ``item`` (whole numbers).
+
+    Durations are counted first and placed by a running count over the distinct ones; the rows of one duration are
+    then numbered in blocks of their own, so a usual duration is not one task.
+    """
+    counts = report.groupBy(duration).agg(F.count(F.lit(1)).alias("n")).withColumns({"_all": F.lit(0), "_down": -F.col(duration)})
+    order = (F.col("_down") * 1000).cast("long")
+    blocks = with_row_blocks(counts.withColumn("_o", order), ["_all"], "_o")
+    starts = scan(blocks, ["_all"], ["_o", "_down"], F.col("_cut"), {"_start": Agg("sum", F.col("n"), exclusive=True)}).select(duration, "_start")
+    inside = row_index(with_row_blocks(report, [duration], item), [duration], [item], F.col("_cut"), "_n")
+    placed = attach(inside, starts, [duration])
+    return placed.withColumn("sheet_no", F.floor((F.col("_start") + F.col("_n")) / rows).cast("long")).select(*report.columns, "sheet_no")

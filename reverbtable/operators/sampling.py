@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 from reverbtable.functions import acoustics as ac
 from reverbtable.functions.arrays import let
 from reverbtable.functions.draws import digest, pick_index, uniform, uniform_range
-from reverbtable.functions.scan import BLOCK_ROWS, Agg, asof, attach, digest_block, row_index, scan, slices, spread
+from reverbtable.functions.scan import BLOCK_ROWS, SLICE_ROWS, Agg, asof, attach, digest_block, row_index, scan, slices, spread
 
 
 def shuffled_index(df: DataFrame, keys: list[str], seed: str, item: str, name: str = "n") -> DataFrame:
     """Position of every row in a seeded shuffle, per key or (no keys) over the whole table."""
-    hashed = df.withColumn("_h", digest(seed, item))
-    return row_index(hashed, keys, ["_h", item], digest_block("_h", slices(df)), name).drop("_h")
+    hashed = _sliced(df.withColumn("_h", digest(seed, item)), keys)
+    return row_index(hashed, keys, ["_h", item], digest_block("_h", F.col("_slices")), name).drop("_h", "_slices")
+
+
+def _sliced(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add into how many slices of a seeded order a row's key is cut (or the table): one for all but large keys."""
+    if not keys:
+        return df.withColumn("_slices", slices(df))
+    size = df.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / SLICE_ROWS) + 1).cast("long").alias("_slices"))
+    return attach(df, size, keys)
 
 
 def cdf(df: DataFrame, keys: list[str], weight: str, item: str, seed: str = "cdf") -> DataFrame:
@@ -24,17 +32,17 @@ def cdf(df: DataFrame, keys: list[str], weight: str, item: str, seed: str = "cdf
 
     The seeded order spreads heavy and light items, so blocks stay even.
     """
-    w = df.withColumn("_h", digest(seed, item))
-    run = scan(w, keys, ["_h", item], digest_block("_h", slices(df)),
-               {"_cum": Agg("sum", F.col(weight)), "_pos": Agg("count")})
+    # totals and slices come from one pass per key, or one for the table
     aggs = [F.sum(weight).alias("_tot"), F.count(F.lit(1)).alias("_cnt")]
+    w = df.withColumn("_h", digest(seed, item))
     if keys:
-        run = attach(run, df.groupBy(*keys).agg(*aggs), keys)
-        tot, cnt = F.col("_tot"), F.col("_cnt")
+        w = attach(w, df.groupBy(*keys).agg(*aggs), keys)
     else:
-        whole = df.agg(*aggs)
-        tot, cnt = whole.select("_tot").scalar(), whole.select("_cnt").scalar()
-    value = F.when(F.col("_pos") == cnt, F.lit(1.0)).otherwise(F.col("_cum") / tot)
+        whole = df.agg(F.struct(*aggs).alias("_w")).scalar()
+        w = w.withColumn("_w", whole).select(*df.columns, "_h", "_w._tot", "_w._cnt")
+    cut = (F.floor(F.col("_cnt") / SLICE_ROWS) + 1).cast("long")
+    run = scan(w, keys, ["_h", item], digest_block("_h", cut), {"_cum": Agg("sum", F.col(weight)), "_pos": Agg("count")})
+    value = F.when(F.col("_pos") == F.col("_cnt"), F.lit(1.0)).otherwise(F.col("_cum") / F.col("_tot"))
     return run.withColumn("cdf", value).select(*df.columns, "cdf")
 
 

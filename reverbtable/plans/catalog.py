@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reverbtable.functions.arrays import rnd
-from reverbtable.functions.scan import row_index
 from reverbtable.operators import catalog as C, geometry as G
 from reverbtable.plans.book import Book
 from reverbtable.plans.geometry import D, HI, LO
@@ -118,10 +117,8 @@ SHEET_ROWS = 1048575  # rows of one sheet of the spreadsheet format
     (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) // {SHEET_ROWS} AS sheet_no FROM documents""")
 def duration_sheet(spark, sf):
     """The whole report, longest first; rows beyond one sheet go to the next."""
-    rec = T.recordings(spark, sf).select("rec_id", "duration_s", (-F.col("duration_s")).alias("_down"))
-    ranked = row_index(rec, [], ["_down", "rec_id"], F.floor("_down").cast("long"), "_n")
-    return ranked.select("rec_id", rnd(F.col("duration_s")).alias("duration_s"),
-                         F.floor(F.col("_n") / SHEET_ROWS).cast("long").alias("sheet_no"))
+    rec = T.recordings(spark, sf).select("rec_id", "duration_s")
+    return C.sheets(rec, "duration_s", "rec_id", SHEET_ROWS).withColumn("duration_s", rnd(F.col("duration_s")))
 
 
 FIRST_N = 400  # size of the drawn data set, the feature of the operator

@@ -1,6 +1,7 @@
 """Published folders, reports, catalogue, stateful smoother, blocks by rows, speaker mixes and noise."""
 
 import datetime as dt
+import hashlib
 import time
 from collections import Counter
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reverbtable.functions import kernels as K
 from reverbtable.functions.scan import asof, with_row_blocks
-from reverbtable.operators import dsp, evaluate, rir, sampling, timeline
+from reverbtable.operators import catalog, dsp, evaluate, rir, sampling, timeline
 from reverbtable.sources import sinks, wav
 from reverbtable.streaming import live
 
@@ -254,3 +255,27 @@ def test_direct_path_in_the_head(spark):
     df = spark.createDataFrame([(h,), ([0.0] * 10,)], "h array<double>")
     got = [(r.a, r.b) for r in df.select(rir.dp_in_head(F.col("h"), 1120).alias("a"), rir.dp_from_peaks(F.col("h")).alias("b")).collect()]
     assert got == [(4, 8), (None, None)]
+
+
+def test_sheets_with_one_usual_duration(spark, monkeypatch):
+    from reverbtable.functions import scan as module
+    monkeypatch.setattr(module.with_row_blocks, "__defaults__", (40, "_cut", 1))
+    rng = np.random.default_rng(6)
+    rows = [(int(k), 4.11 if k % 3 else float(rng.integers(1, 900)) / 7) for k in rng.permutation(900)]
+    got = {r.rec_id: r.sheet_no for r in catalog.sheets(spark.createDataFrame(rows, "rec_id long, duration_s double"), "duration_s", "rec_id", 100).collect()}
+    order = [k for k, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert got == {k: i // 100 for i, k in enumerate(order)}
+
+
+def test_seeded_orders_with_small_and_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SLICE_ROWS", 50)
+    rows = [("big", k) for k in range(700)] + [(f"k{k % 40}", 1000 + k) for k in range(200)]
+    df = spark.createDataFrame(rows, "k string, i long").withColumn("w", F.col("i") % 7 + 1.0)
+    got = sampling.shuffled_index(df, ["k"], "s", "i").collect()
+    for key in {k for k, _ in rows}:
+        mine = sorted((r.n, r.i) for r in got if r.k == key)
+        assert [n for n, _ in mine] == list(range(len(mine)))
+        assert [i for _, i in mine] == sorted((i for _, i in mine), key=lambda i: (hashlib.md5(f"s:{i}".encode()).hexdigest(), i))
+    for keys in (["k"], []):
+        ends = [r.cdf for r in sampling.cdf(df, keys, "w", "i").collect()]
+        assert ends.count(1.0) == (41 if keys else 1) and all(0 < c <= 1 for c in ends)
