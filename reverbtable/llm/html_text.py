@@ -43,10 +43,10 @@ NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
 HOLDERS = {"aside", "dialog", "comment", "comments", "commentlist", "complementary", "disqus", "promoted", "related",
            "replies", "respond", "sidebar", "widget"}
 
-_ITEM = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(DROPPED)) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)>"
-    r"|(?P<text>[^<]+|<)", re.S | re.I)
+_RAW = re.compile("<(" + "|".join(sorted(DROPPED)) + r")\b", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in DROPPED}
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile("[\"'>]")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _CONTENT = re.compile(r"<(?:article|main)[\s>]", re.I)
@@ -65,48 +65,138 @@ def _furniture(tag: str, attrs: str, in_content: bool) -> int:
     return int(bool(names & NAMES) or bool(attrs and _HIDDEN.search(attrs)))
 
 
+class _Ends:
+    """Where tags of a page end: at the first > outside quotes or, where a quote is never closed, at the first >.
+
+    What follows a quote is the same from whichever tag it is met, so it is found once per quote, and a stretch without
+    quotes and > is searched once: all tags of a page together cost one pass.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.after: dict[int, int] = {}  # quote to the end of a tag that holds it, -1 if a quote is never closed
+        self.seen, self.next = 0, -1     # from seen on, the next mark is at next
+
+    def mark(self, at: int) -> int:
+        if not self.seen <= at <= self.next:
+            found = _MARK.search(self.page, at)
+            self.seen, self.next = at, found.start() if found else len(self.page)
+        return self.next
+
+    def end(self, at: int) -> tuple[int, bool]:
+        """The > that ends a tag whose name ends at `at`, or -1, and whether its quotes are closed."""
+        if at > self.last:
+            return -1, False
+        met, k = [], self.mark(at)
+        while True:
+            if k == len(self.page):
+                found = -1
+            elif self.page[k] == ">":
+                found = k
+            elif k in self.after:
+                found = self.after[k]
+            else:
+                met.append(k)
+                close = self.page.find(self.page[k], k + 1)
+                if close >= 0:
+                    nearest = _MARK.search(self.page, close + 1)
+                    k = nearest.start() if nearest else len(self.page)
+                    continue
+                found = -1
+            break
+        for quote in met:
+            self.after[quote] = found
+        return (found, True) if found >= 0 else (self.page.find(">", at), False)
+
+
+def _parts(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(kind, tag, attributes, text) in page order: text, raw (an element whose content is left out), open, end."""
+    ends, at, size = _Ends(page), 0, len(page)
+    while at < size:
+        if page[at] != "<":
+            to = page.find("<", at)
+            to = size if to < 0 else to
+            yield "text", "", "", page[at:to]
+            at = to
+            continue
+        if page.startswith("<!--", at):
+            to = page.find("-->", at + 4)
+            at = size if to < 0 else to + 3
+            continue
+        raw = _RAW.match(page, at)
+        if raw:
+            to, closed = ends.end(raw.end())
+            if closed:
+                over = _RAW_END[raw[1].lower()].search(page, to + 1)
+                yield "raw", raw[1].lower(), "", ""
+                at = over.end() if over else size
+                continue
+        elif page[at + 1:at + 2] in ("!", "?"):
+            to = page.find(">", at)
+            at = size if to < 0 else to + 1
+            continue
+        tag = _TAG.match(page, at)
+        to = ends.end(tag.end())[0] if tag else -1
+        if to < 0:
+            yield "text", "", "", "<"
+            at += 1
+            continue
+        yield "end" if tag[1] else "open", tag[2].lower(), page[tag.end():to], ""
+        at = to + 1
+
+
 def items(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, in named content) of a page. Kinds: word (in content, or anywhere if none is named), outer (beside
-    named content), link, furniture; <tag, or <+tag in content. text is that of words."""
+    named content), link, furniture; <tag, or <+tag in content. text is that of words. One pass, whatever is unclosed."""
     named = bool(_CONTENT.search(page))
     stack: list[tuple[str, int]] = []  # open elements and whether they are furniture
+    where: dict[str, list[int]] = {}   # their places by name, and those of content and of holders
     furniture = links = content = 0
 
+    def push(tag: str, bad: int) -> None:
+        nonlocal furniture, links, content
+        for name in (tag, "+content" if tag in CONTENT else "", "+holder" if bad == 2 else ""):
+            if name:
+                where.setdefault(name, []).append(len(stack))
+        stack.append((tag, bad))
+        furniture += bad > 0
+        links += tag == "a"
+        content += tag in CONTENT and not bad
+
     def close(count: int) -> None:
         nonlocal furniture, links, content
-        for tag, bad in stack[len(stack) - count:]:
+        for _ in range(count):
+            tag, bad = stack.pop()
+            for name in (tag, "+content" if tag in CONTENT else "", "+holder" if bad == 2 else ""):
+                if name:
+                    where[name].pop()
             furniture -= bad > 0
             links -= tag == "a"
             content -= tag in CONTENT and not bad
-        del stack[len(stack) - count:]
 
-    for m in _ITEM.finditer(page):
-        if m["text"] is not None:
+    def last(name: str) -> int:
+        places = where.get(name)
+        return places[-1] if places else -1
+
+    for kind, tag, attrs, text in _parts(page):
+        if kind == "text":
             kind = "furniture" if furniture else "word" if content else "link" if links else "outer" if named else "word"
-            yield kind, m["text"], content > 0
-        elif m["raw"] or m["tag"]:
-            tag = (m["raw"] or m["tag"]).lower()
-            yield ("<+" if content else "<") + tag, "", content > 0
-            if m["raw"] or tag in VOID or (m["attrs"] or "").endswith("/"):
-                continue
-            if m["end"]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        close(len(stack) - k)
-                        break
-                    if stack[k][0] in CONTENT and tag not in ("body", "html"):
-                        break  # a stray end tag does not leave the article
-                continue
-            if tag in CONTENT and not any(bad == 2 for _, bad in stack):
-                keep = next((k + 1 for k in range(len(stack) - 1, -1, -1) if stack[k][0] in CONTENT), 0)
-                close(len(stack) - keep)  # a menu that was never closed ends where the article starts
-            elif tag in BLOCKS and stack and stack[-1][0] == "p":
-                close(1)  # a new block ends an open paragraph
-            bad = _furniture(tag, m["attrs"], content > 0)
-            stack.append((tag, bad))
-            furniture += bad > 0
-            links += tag == "a"
-            content += tag in CONTENT and not bad
+            yield kind, text, content > 0
+            continue
+        yield ("<+" if content else "<") + tag, "", content > 0
+        if kind == "raw" or tag in VOID or attrs.endswith("/"):
+            continue
+        if kind == "end":
+            k = last(tag)
+            # a stray end tag does not leave the article
+            if k >= 0 and (last("+content") <= k or tag in ("body", "html")):
+                close(len(stack) - k)
+            continue
+        if tag in CONTENT and last("+holder") < 0:
+            close(len(stack) - last("+content") - 1)  # a menu that was never closed ends where the article starts
+        elif tag in BLOCKS and stack and stack[-1][0] == "p":
+            close(1)  # a new block ends an open paragraph
+        push(tag, _furniture(tag, attrs, content > 0))
 
 
 def weights_of(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
@@ -122,7 +212,7 @@ def learn(pages: DataFrame, max_labelled: int = MAX_LABELLED, html_column: str =
     labelled = pages.where(F.col(html_column).rlike("(?i)<(article|main)[ >]")).select(
         F.col(html_column).alias("html"), F.xxhash64(html_column).alias("h"))
     every = max(1, math.ceil(labelled.count() / max_labelled))  # the hash thins the pages before any of them moves
-    some = labelled.where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["h"]).limit(max_labelled).select("html")
+    some = labelled.where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["h"]).orderBy("h").limit(max_labelled).select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()

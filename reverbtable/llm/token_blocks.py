@@ -123,7 +123,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
-        docs_, sizes, held, before, segment = [], [], [], 0, 0
+        docs_, sizes, held, before, segment, now = [], [], [], 0, 0, 0
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             for lo in range(0, len(batch), 256):
@@ -132,9 +132,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: s
                     docs_.append(doc)
                     sizes.append(len(ids) // 4 + 1)
                     held.append(ids + end)
-                    if sum(sizes) >= SEGMENT_IDS:
+                    now += sizes[-1]
+                    if now >= SEGMENT_IDS:
                         yield _row(part, segment, docs_, sizes, before, held)
-                        before, segment = before + sum(sizes), segment + 1
+                        before, segment, now = before + now, segment + 1, 0
                         docs_, sizes, held = [], [], []
         if docs_:
             yield _row(part, segment, docs_, sizes, before, held)

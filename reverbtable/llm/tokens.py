@@ -13,6 +13,7 @@ import re
 import zlib
 
 MEMORY = 400_000  # parts a worker remembers before it forgets all
+PART = 256        # longer parts are not remembered, so the memory is bounded in bytes too
 
 # where cutting at every space, line end, comma and full stop would not do: white space beside white space or at an
 # end, other white space, a comma or full stop after something else than a letter or digit
@@ -53,7 +54,9 @@ class _Memory(dict):
             shown = word.lower() if self.lower else part
             shown = shown.replace(" ", _VISIBLE[32]) if word.isascii() else "".join(map(_VISIBLE.__getitem__, shown.encode()))
             ids = [t.id for t in self.merges.tokenize(shown)]
-        code = self[part] = array.array("I", ids).tobytes()
+        code = array.array("I", ids).tobytes()
+        if len(part) <= PART:
+            self[part] = code
         return code
 
 

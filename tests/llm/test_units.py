@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -118,3 +119,28 @@ def test_common_subsequence():
 
 def test_runs_reach_the_recall():
     assert ngram_join.runs_needed(0.99) < ngram_join.runs_needed(0.9999) <= 5
+
+
+@pytest.mark.parametrize("unit", ["<script ", "<a ", "<div>", "</p>", '<b ">"', "<p><div></p>", "<article></p><p>", "<title \"'>", "<a b='"])
+def test_malformed_pages_take_one_pass(unit):
+    page = unit * (1_000_000 // len(unit))
+    start = time.perf_counter()
+    html_text.text_of(page, WEIGHTS)
+    long = time.perf_counter() - start
+    start = time.perf_counter()
+    html_text.text_of(page[:len(page) // 4], WEIGHTS)
+    assert long < 30 and long < 16 * (time.perf_counter() - start) + 1  # the square would take 16 times as long, and hours
+
+
+def test_ends_of_tags():
+    page = "<a b=\"c>d\">x</a><a 'e>f</g><script u=\">\">no</ScRipt ><!-- <p> -->j<!doctype k>l<?m>n<1<"
+    got = [(k, t or x) for k, t, _, x in html_text._parts(page)]
+    assert got == [("open", "a"), ("text", "x"), ("end", "a"), ("open", "a"), ("text", "f"), ("end", "g"), ("raw", "script"), ("text", "j"),
+                   ("text", "l"), ("text", "n"), ("text", "<"), ("text", "1"), ("text", "<")]
+
+
+def test_many_short_texts_and_long_parts(tmp_path):
+    from reverbtable.llm import tokens
+    encoder = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    long = "x" * 5000
+    assert len(encoder.encode([long])[0]) > 0 and long not in encoder.memory
