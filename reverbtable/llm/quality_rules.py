@@ -2,7 +2,9 @@
 
 All statistics are column expressions of the row. The learner repeats: grow a conjunction of threshold conditions on
 two thirds of the labelled rows (each step one aggregate over all conditions), prune it on the other third, keep it
-if it is precise there, remove the rows it covers. The list becomes one ordered CASE expression.
+if it is precise there, remove the rows it covers. A rule that fails sets aside the growing rows that it covers, so
+that it does not hide other kinds of bad rows behind it. Covering ends when fewer bad rows are left to grow from than
+a rule must cover. The list becomes one ordered CASE expression.
 """
 
 from __future__ import annotations
@@ -16,9 +18,7 @@ from reverbtable.session import written
 
 MAX_LABELLED = 20_000  # labelled rows used for fitting, drawn by the hash of their ids
 CUTS = 24              # thresholds tried per feature, at quantiles of the labelled rows
-MAX_CONDITIONS = 3
-MAX_RULES = 8
-MIN_COVER = 5          # rejected rows a rule must cover when pruned
+MIN_COVER = 5          # rejected rows a rule must cover when pruned, and that must be left to grow another one
 MIN_PRECISION = 0.95
 
 # fixed values
@@ -113,18 +113,23 @@ def learn(stats: DataFrame, bad: str = "bad") -> list[list[tuple[str, str, int]]
     rows = written(stats.select(*FEATURES, F.col(bad).cast("int").alias("bad"), bins.alias("bins"), grow.alias("grow"))
                    .coalesce(2), "labelled")
     rules: list = []
-    while len(rules) < MAX_RULES:
+    failed: list = []
+    while True:
         left = rows.where(~_any(rules))
-        rule = _prune(left.where("not grow"), _grow(left.where("grow"), cuts))
+        rule = _grow(left.where(F.col("grow") & ~_any(failed)), cuts)
         if not rule:
-            break
-        rules.append(rule)
-    return rules
+            return rules
+        kept = _prune(left.where("not grow"), rule)
+        if kept:
+            rules.append(kept)
+        else:
+            failed.append(rule)
 
 
 def _grow(rows: DataFrame, cuts: dict) -> list[tuple[str, str, int]]:
+    """Conditions of the largest information gain one after the other, until no good row is left or nothing gains."""
     rule: list = []
-    while len(rule) < MAX_CONDITIONS:
+    while True:
         seen = rows.where(_all(rule)).select("bad", F.posexplode("bins").alias("f", "bin"))
         found = seen.groupBy("f", "bin").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
         count = {}
@@ -132,8 +137,8 @@ def _grow(rows: DataFrame, cuts: dict) -> list[tuple[str, str, int]]:
             count.setdefault(r.f, {})[r.bin] = (r.p, r.n)
         all_p = sum(p for p, _ in count.get(0, {}).values())
         all_n = sum(n for _, n in count.get(0, {}).values())
-        if not all_p or not all_n:
-            break
+        if not all_n or (not rule and all_p < MIN_COVER):
+            return rule
         best = (0.0, None)
         for f, by_bin in sorted(count.items()):
             p = n = 0
@@ -145,22 +150,21 @@ def _grow(rows: DataFrame, cuts: dict) -> list[tuple[str, str, int]]:
                         gain = a * (math.log2(a / (a + b)) - math.log2(all_p / (all_p + all_n)))
                         best = max(best, (gain, (FEATURES[f], sign, cut)), key=lambda x: x[0])
         if best[1] is None or best[1] in rule:
-            break
+            return rule
         rule.append(best[1])
-    return rule
 
 
 def _prune(rows: DataFrame, rule: list) -> list:
-    """The prefix of the rule that is worth most on held-out rows; empty unless it covers enough and is precise."""
-    if not rule:
-        return []
+    """The prefix of the rule, or prefix without one condition, that is worth most on held-out rows (of equal ones the
+    shortest, then the first); empty unless it covers enough and is precise."""
     prefixes = [rule[:k] for k in range(1, len(rule) + 1)]
+    tried = sorted([*prefixes, *(p[:j] + p[j + 1:] for p in prefixes for j in range(len(p) - 1))], key=len)
     got = rows.agg(*[F.coalesce(F.sum(F.when(_all(r), F.col("bad") if good else 1 - F.col("bad"))), F.lit(0))
-                     for r in prefixes for good in (True, False)]).first()
+                     for r in tried for good in (True, False)]).first()
     value = lambda k: ((got[2 * k] - got[2 * k + 1]) / max(1, got[2 * k] + got[2 * k + 1]), -k)
-    best = max(range(len(prefixes)), key=value)
+    best = max(range(len(tried)), key=value)
     p, n = got[2 * best], got[2 * best + 1]
-    return prefixes[best] if p >= MIN_COVER and p >= MIN_PRECISION * (p + n) else []
+    return tried[best] if p >= MIN_COVER and p >= MIN_PRECISION * (p + n) else []
 
 
 def _all(rule: list) -> Column:
