@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reverbtable.llm.book import query, table
 
 MAX_BROADCAST = 8 << 20  # bytes of entries that may go to every task; more are joined by host instead
+SALTS = 16  # parts of one host's pages where entries are joined
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,7 +37,11 @@ def _rest(url: Column) -> Column:
 
 
 def build(rules: list[Rule]) -> dict:
-    """Trie: host labels from the right; under the key None of a node the path trie, whose segments end in tails."""
+    """Trie: host labels from the right; under the key None of a node the path trie, whose segments end in tails.
+
+    Tails of a node are (entries by tail, lengths of the tails from the longest on), so that the longest one that a
+    segment starts with takes one look per length.
+    """
     root: dict = {}
     # the same host and path twice: block wins, as it comes last
     for rule in sorted(rules, key=lambda r: r.verdict == "block"):
@@ -47,7 +52,11 @@ def build(rules: list[Rule]) -> dict:
         *segments, tail = rule.path.split("/")
         for segment in segments:
             node = node.setdefault(segment, {})
-        node.setdefault(None, {})[tail] = rule
+        tails, lengths = node.setdefault(None, ({}, []))
+        tails[tail] = rule
+        if len(tail) not in lengths:
+            lengths.append(len(tail))
+            lengths.sort(reverse=True)
     return root
 
 
@@ -63,9 +72,10 @@ def match(trie: dict, host: str, path: str) -> Rule | None:
         for segment in segments:
             if inner is None:
                 break
-            for tail, rule in inner.get(None, {}).items():
-                if segment.startswith(tail) and (score := (len(rule.host) + len(rule.path), len(rule.host))) > rank:
-                    best, rank = rule, score
+            tails, lengths = inner.get(None, ({}, []))
+            rule = next((tails[segment[:n]] for n in lengths if n <= len(segment) and segment[:n] in tails), None)
+            if rule and (score := (len(rule.host) + len(rule.path), len(rule.host))) > rank:
+                best, rank = rule, score
             inner = inner.get(segment)
     return best
 
@@ -100,19 +110,26 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, url: str = "url", def
 
 
 def _joined(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same by an equality join on every suffix of the host; for entry tables of any size."""
+    """The same by an equality join on every suffix of the host; for entry tables of any size.
+
+    Each distinct (host, path) is looked up once, so repeated rows need no number of their own. The paths of a host
+    meet its entries in SALTS parts, and rows find their entry by (host, path) in as many parts.
+    """
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(
         F.slice(labels, k, F.size(labels)), "."))
-    keyed = pages.withColumn("_page", F.monotonically_increasing_id())
-    hosts = keyed.select("_page", "path", F.explode(suffixes).alias("_host"))
-    entries = rules.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "verdict").distinct()
-    fits = hosts.join(entries, "_host").where(F.startswith("path", "_path"))
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")
+    hosts = pages.select("host", "path").distinct().select("host", "path", salt.alias("_salt"), F.explode(suffixes).alias("_host"))
+    entries = rules.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "verdict").distinct().withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    fits = hosts.join(entries, ["_host", "_salt"]).where(F.startswith("path", "_path"))
     size = F.length("_host") + F.length("_path")
-    best = fits.groupBy("_page").agg(F.max_by(F.struct(F.concat("_host", "_path").alias("rule"), "verdict"), F.struct(
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_host", "_path").alias("rule"), "verdict"), F.struct(
         size, F.length("_host"), F.col("verdict") == "block")).alias("_best"))
-    return keyed.join(best, "_page", "left").select(*pages.columns, F.col("_best.rule").alias("rule"), F.coalesce(
-        "_best.verdict", F.lit(default)).alias("verdict"))
+    spread = best.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    part = F.pmod(F.xxhash64(*pages.columns), F.lit(SALTS)).cast("int")
+    found = pages.withColumn("_part", part).join(spread, ["host", "path", "_part"], "left")
+    return found.select(*pages.columns, F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
 
 # fixed values

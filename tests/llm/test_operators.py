@@ -2,6 +2,7 @@
 
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -231,6 +232,19 @@ def test_urls(spark):
     joined = url_filter.judge(pages, table, max_broadcast=1)
     assert {r.page_id: r for r in joined.collect()} == got
     assert url_filter.judge(pages.where("false"), table).count() == 0
+    twice = pages.union(pages).union(pages.where("url is null"))
+    assert Counter(url_filter.judge(twice, table, max_broadcast=1).collect()) == Counter(url_filter.judge(twice, url_filter.RULES).collect())
+
+
+def test_many_entries_of_one_host(spark):
+    rules = [url_filter.Rule("shop.com", f"/item/{k}", "block" if k % 3 else "allow") for k in range(20_000)]
+    trie = url_filter.build(rules)
+    start = time.perf_counter()
+    for k in range(0, 40_000, 4):
+        found = url_filter.match(trie, "www.shop.com", f"/item/{k}x")
+        want = next((p for p in (str(k)[:n] for n in range(5, 0, -1)) if int(p) < 20_000), None)
+        assert found.path == f"/item/{want}"
+    assert time.perf_counter() - start < 5
 
 
 def test_licenses(spark, odd, none):
