@@ -103,10 +103,9 @@ def sheets(report: DataFrame, duration: str, item: str, rows: int) -> DataFrame:
     Durations are counted first and placed by a running count over the distinct ones; the rows of one duration are
     then numbered in blocks of their own, so a usual duration is not one task.
     """
-    counts = report.groupBy(duration).agg(F.count(F.lit(1)).alias("n")).withColumns({"_all": F.lit(0), "_down": -F.col(duration)})
-    order = (F.col("_down") * 1000).cast("long")
-    blocks = with_row_blocks(counts.withColumn("_o", order), ["_all"], "_o")
-    starts = scan(blocks, ["_all"], ["_o", "_down"], F.col("_cut"), {"_start": Agg("sum", F.col("n"), exclusive=True)}).select(duration, "_start")
+    counts = report.groupBy(duration).agg(F.count(F.lit(1)).alias("n")).withColumn("_down", -F.col(duration))
+    # a second holds no more distinct durations than it has samples
+    starts = scan(counts, [], ["_down"], F.floor("_down").cast("long"), {"_start": Agg("sum", F.col("n"), exclusive=True)}).select(duration, "_start")
     inside = row_index(with_row_blocks(report, [duration], item), [duration], [item], F.col("_cut"), "_n")
     placed = attach(inside, starts, [duration])
     return placed.withColumn("sheet_no", F.floor((F.col("_start") + F.col("_n")) / rows).cast("long")).select(*report.columns, "sheet_no")

@@ -17,7 +17,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reverbtable.functions import arrays as A, kernels as K
+from reverbtable.functions import arrays as A
+# by name: tasks take along what their functions name, and a module would come whole
+from reverbtable.functions.kernels import PolyphaseBank, _fftconv_full, _lists, _nested, _overlap_add, _rows, _stft, hann
 from reverbtable.functions.scan import attach
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -65,11 +67,11 @@ def _mapped(df: DataFrame, keys: list[str], columns: list[str], schema: str, one
     names, kinds = zip(*[c.split(" ", 1) for c in schema.split(", ")])
     rows = df.select(*keys, *columns)
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
-    made_of = {"long": lambda v: pa.array(v, pa.int64()), "array<double>": K._lists, "array<array<double>>": K._nested}
+    made_of = {"long": lambda v: pa.array(v, pa.int64()), "array<double>": _lists, "array<array<double>>": _nested}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            args = [K._rows(a) if pa.types.is_list(a.type) else a.to_pylist() for a in (batch.column(c) for c in columns)]
+            args = [_rows(a) if pa.types.is_list(a.type) else a.to_pylist() for a in (batch.column(c) for c in columns)]
             owner, out, held = [], [[] for _ in names], 0
             for k, row in enumerate(zip(*args)):
                 for values in one(*row):
@@ -97,7 +99,7 @@ def convolve(chunks: DataFrame, taps: DataFrame, keys: list[str], on: list[str],
     pairs = attach(chunks.withColumnRenamed("chunk_no", "_i"), blocks, on)
 
     def product(i, j, x, h):
-        full = K._fftconv_full(x, h)
+        full = _fftconv_full(x, h)
         yield i + j, full[:size], len(x) if j == 0 else None
         if len(full) > size:
             yield i + j + 1, full[size:], None
@@ -113,12 +115,12 @@ def stft(chunks: DataFrame, keys: list[str], size: int, win: int = 512, hop: int
 
     A frame belongs to the chunk in which it starts; the samples behind the chunk's end come from the next ones.
     """
-    w = K.hann(win)
+    w = hann(win)
 
     def spectra(no, n, t0, x):
         first = -(-no * size // hop)
         start = first * hop - t0
-        found = K._stft(x[start:], win, hop, w) if start < len(x) else np.zeros((0, 1))
+        found = _stft(x[start:], win, hop, w) if start < len(x) else np.zeros((0, 1))
         found = found[:max(0, -(-(no * size + n - first * hop) // hop))]  # frames that start inside
         if len(found):
             yield no, first, found.real, found.imag
@@ -134,10 +136,10 @@ def istft(spectra: DataFrame, keys: list[str], size: int, win: int = 512, hop: i
     Each row adds its windowed inverse frames and their window power over the chunks that they touch; sums of both
     meet by chunk, and samples are the one over the other.
     """
-    w = K.hann(win)
+    w = hann(win)
 
     def overlapped(first, re, im):
-        y, p = K._overlap_add(re + 1j * im, win, hop, w)
+        y, p = _overlap_add(re + 1j * im, win, hop, w)
         at = first * hop
         for no in range(at // size, (at + len(y) - 1) // size + 1):
             lo, hi = max(no * size, at), min((no + 1) * size, at + len(y))
@@ -160,7 +162,7 @@ def resample(chunks: DataFrame, keys: list[str], size: int, fs_in: int, fs_out:
     up, down = fs_out // g, fs_in // g
     if up == down:
         return chunks.select(*keys, "chunk_no", (F.col("chunk_no") * size).alias("t0"), "samples")
-    bank = K.PolyphaseBank(up, down)
+    bank = PolyphaseBank(up, down)
 
     def run(no, n, t0, x):
         first, last = -(-no * size * up // down), -(-(no * size + n) * up // down)
