@@ -12,8 +12,9 @@ import array
 import re
 import zlib
 
-MEMORY = 400_000  # parts a worker remembers before it forgets all
-PART = 256        # longer parts are not remembered, so the memory is bounded in bytes too
+MEMORY = 400_000    # parts of a generation; a worker remembers the newest one and the one before
+LETTERS = 16 << 20  # characters of a generation, which bounds its bytes
+PART = 256          # longer parts are not remembered
 
 # where cutting at every space, line end, comma and full stop would not do: white space beside white space or at an
 # end, other white space, a comma or full stop after something else than a letter or digit
@@ -40,13 +41,32 @@ def _plain(text: str) -> bool:
 
 
 class _Memory(dict):
-    """Ids of parts as little-endian unsigned 32-bit bytes, made when first asked for."""
+    """Ids of parts as little-endian unsigned 32-bit bytes, made when first asked for.
+
+    A full generation becomes the old one, and parts that are asked for again move from there to the new one: common
+    parts stay, also within one very long text.
+    """
 
     def __init__(self, tokenizer, lower: bool):
         super().__init__({"": b""})
         self.tokenizer, self.merges, self.lower = tokenizer, tokenizer.model, lower
+        self.old: dict[str, bytes] = {}
+        self.letters = 0
 
     def __missing__(self, part: str) -> bytes:
+        code = self.old.get(part)
+        if code is None:
+            code = self.ids(part)
+        if len(part) <= PART:
+            if len(self) >= MEMORY or self.letters >= LETTERS:
+                self.old, self.letters = dict(self), 0
+                self.clear()
+                self[""] = b""
+            self[part] = code
+            self.letters += len(part)
+        return code
+
+    def ids(self, part: str) -> bytes:
         word = part[1:] if part[0] == " " else part
         if not word.isalpha() or (not word.isascii() and _WIDE.search(word)):
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids
@@ -54,10 +74,7 @@ class _Memory(dict):
             shown = word.lower() if self.lower else part
             shown = shown.replace(" ", _VISIBLE[32]) if word.isascii() else "".join(map(_VISIBLE.__getitem__, shown.encode()))
             ids = [t.id for t in self.merges.tokenize(shown)]
-        code = array.array("I", ids).tobytes()
-        if len(part) <= PART:
-            self[part] = code
-        return code
+        return array.array("I", ids).tobytes()
 
 
 class Encoder:
@@ -82,8 +99,6 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Exactly the ids of tokenizer.encode(text, add_special_tokens=False), for null those of an empty text."""
-        if len(self.memory) > MEMORY:
-            self.memory = _Memory(self.tokenizer, self.lower)
         code = self.memory.__getitem__
         return [b"".join(map(code, self._parts(t))) if t else b"" for t in texts]
 

@@ -144,3 +144,21 @@ def test_many_short_texts_and_long_parts(tmp_path):
     encoder = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
     long = "x" * 5000
     assert len(encoder.encode([long])[0]) > 0 and long not in encoder.memory
+
+
+def test_token_memory_turns_over(monkeypatch):
+    from reverbtable.llm import tokens
+    monkeypatch.setattr(tokens, "MEMORY", 50)
+    rnd = random.Random(7)
+    texts = [" ".join("".join(rnd.choices("abcdeé12.,", k=rnd.randint(1, 6))) for _ in range(400)) for _ in range(6)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = tokens.tokenizer_path(name)
+        tokens._encoders.pop(path, None)
+        encoder = tokens.Encoder(path)
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.memory) <= 51 and len(encoder.memory.old) <= 51
+        monkeypatch.setattr(tokens, "LETTERS", 100)
+        encoder.encode(texts)
+        assert encoder.memory.letters <= 100 + tokens.PART
+        tokens._encoders.pop(path)
