@@ -4,7 +4,9 @@ A page is read as a line of words and tags. Each kind of item has a weight, the
 content, counted on labelled pages: those whose own markup names the content (article or main), in a bounded sample.
 Words of running text weigh positive; tags, links, words beside named content and furniture (menus, notices, comments
 ...) negative. One linear scan finds the contiguous region with the largest sum; its words without furniture are the
-text. On pages without named content the same weights find the densest run of plain words.
+text. On pages without named content a word weighs by its place instead: the log odds of its block element, linked or
+not, plus those of the class, id and role words of the innermost element that has any, all counted on the labelled
+pages; where no place weighs positive, plain words do.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from reverbtable.llm.book import query, table
 
 MAX_LABELLED = 2_000  # pages that weights are counted on
+MAX_NAMES = 1_000     # class, id and role words that get a weight, the most frequent ones of the labelled pages
 
 # fixed values: element names
 CONTENT = {"article", "main"}
@@ -31,6 +34,7 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "button", "
           "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav",
           "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th",
           "thead", "tr", "ul"}
+PLACES = BLOCKS - CONTENT - {"html"}  # elements whose name places a word
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # fixed values: words in class, id or role that name furniture
 NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "breadcrumb",
@@ -53,9 +57,13 @@ _CONTENT = re.compile(r"<(?:article|main)[\s>]", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _furniture(tag: str, attrs: str, in_content: bool) -> int:
+def _names(attrs: str) -> frozenset[str]:
+    """Words of class, id and role."""
+    return frozenset(n for value in _NAMED.findall(attrs) for n in re.split(r"[^a-z0-9]+", value.lower()) if n) if attrs else frozenset()
+
+
+def _furniture(tag: str, attrs: str, names: frozenset[str], in_content: bool) -> int:
     """0: none, 1: furniture, 2: furniture that may itself hold articles, as comments do."""
-    names = {n for value in _NAMED.findall(attrs) for n in re.split(r"[^a-z0-9]+", value.lower())} if attrs else set()
     if tag in HOLDERS or names & HOLDERS:
         return 2 if tag not in ("html", "body", "main") else 0
     if tag in ("html", "body", *CONTENT):
@@ -145,20 +153,23 @@ def _parts(page: str) -> Iterator[tuple[str, str, str, str]]:
         at = to + 1
 
 
-def items(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, text, in named content) of a page. Kinds: word (in content, or anywhere if none is named), outer (beside
-    named content), link, furniture; <tag, or <+tag in content. text is that of words. One pass, whatever is unclosed."""
+def items(page: str) -> Iterator[tuple[str, str, bool, tuple[str, ...]]]:
+    """(kind, text, in named content, place) of a page. Kinds: word (in content, or anywhere if none is named), outer
+    (beside named content), link, furniture; <tag, or <+tag in content. text is that of words, and place is /block element
+    (/element+a in a link) and .name for each name of the innermost named element. One pass, whatever is unclosed."""
     named = bool(_CONTENT.search(page))
-    stack: list[tuple[str, int]] = []  # open elements and whether they are furniture
-    where: dict[str, list[int]] = {}   # their places by name, and those of content and of holders
+    stack: list[tuple[str, int, tuple[str, ...]]] = []  # open elements, whether they are furniture, their .names
+    where: dict[str, list[int]] = {}  # their places by tag, and those of content, holders, blocks and named ones
     furniture = links = content = 0
 
-    def push(tag: str, bad: int) -> None:
+    def marks(tag: str, bad: int, names: tuple[str, ...]) -> list[str]:
+        return [tag, *["+content"] * (tag in CONTENT), *["+holder"] * (bad == 2), *["+block"] * (tag in PLACES), *["+named"] * bool(names)]
+
+    def push(tag: str, bad: int, names: tuple[str, ...]) -> None:
         nonlocal furniture, links, content
-        for name in (tag, "+content" if tag in CONTENT else "", "+holder" if bad == 2 else ""):
-            if name:
-                where.setdefault(name, []).append(len(stack))
-        stack.append((tag, bad))
+        for name in marks(tag, bad, names):
+            where.setdefault(name, []).append(len(stack))
+        stack.append((tag, bad, names))
         furniture += bad > 0
         links += tag == "a"
         content += tag in CONTENT and not bad
@@ -166,10 +177,9 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
     def close(count: int) -> None:
         nonlocal furniture, links, content
         for _ in range(count):
-            tag, bad = stack.pop()
-            for name in (tag, "+content" if tag in CONTENT else "", "+holder" if bad == 2 else ""):
-                if name:
-                    where[name].pop()
+            tag, bad, names = stack.pop()
+            for name in marks(tag, bad, names):
+                where[name].pop()
             furniture -= bad > 0
             links -= tag == "a"
             content -= tag in CONTENT and not bad
@@ -181,9 +191,11 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
     for kind, tag, attrs, text in _parts(page):
         if kind == "text":
             kind = "furniture" if furniture else "word" if content else "link" if links else "outer" if named else "word"
-            yield kind, text, content > 0
+            block, owner = last("+block"), last("+named")
+            place = f"/{stack[block][0] if block >= 0 else ''}{'+a' if links else ''}"
+            yield kind, text, content > 0, (place, *(stack[owner][2] if owner >= 0 else ()))
             continue
-        yield ("<+" if content else "<") + tag, "", content > 0
+        yield ("<+" if content else "<") + tag, "", content > 0, ()
         if kind == "raw" or tag in VOID or attrs.endswith("/"):
             continue
         if kind == "end":
@@ -196,15 +208,27 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
             close(len(stack) - last("+content") - 1)  # a menu that was never closed ends where the article starts
         elif tag in BLOCKS and stack and stack[-1][0] == "p":
             close(1)  # a new block ends an open paragraph
-        push(tag, _furniture(tag, attrs, content > 0))
+        names = _names(attrs)
+        push(tag, _furniture(tag, attrs, names, content > 0), tuple("." + n for n in sorted(names)))
 
 
 def weights_of(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
-    """Log odds of standing inside, held to the signs that the scan needs: words positive, all else negative."""
-    a, b, kinds = sum(inside.values()), sum(outside.values()), {*inside, *outside, "word", "outer", "link", "furniture"}
-    odds = {k: math.log((inside.get(k, 0) + 1) / (a + len(kinds))) - math.log((outside.get(k, 0) + 1) / (b + len(kinds)))
-            for k in kinds}
-    return {k: max(v, 1.0) if k == "word" else min(max(v, -4.0 if k[0] != "<" else -2.0), -0.02) for k, v in odds.items()}
+    """Log odds of standing inside, held to the signs that the scan needs: words positive, all else negative.
+
+    Places (/ and .) weigh either way. ?tag is a tag's weight on pages without named content.
+    """
+    def odds(family: set[str], of: set[str]) -> dict[str, float]:
+        a, b = (sum(side.get(k, 0) for k in of) + max(len(of), 2) for side in (inside, outside))
+        return {k: math.log((inside.get(k, 0) + 1) / a) - math.log((outside.get(k, 0) + 1) / b) for k in family}
+
+    seen = {*inside, *outside}
+    kinds = {k for k in seen if k[0] not in "/."} | {"word", "outer", "link", "furniture"}
+    found = {k: max(v, 1.0) if k == "word" else min(max(v, -4.0 if k[0] != "<" else -2.0), -0.02) for k, v in odds(kinds, kinds).items()}
+    tags = {k.replace("+", "") for k in kinds if k[0] == "<"}
+    rates = {t: math.log((inside.get("<+" + t[1:], 0) + 1) / (outside.get(t, 0) + 1)) for t in tags}
+    found |= {"?" + t[1:]: min(max(v, -2.0), -0.02) for t, v in rates.items()}
+    places = {k for k in seen if k[0] == "/"}  # every word has one
+    return found | {k: min(max(v, -4.0), 4.0) for k, v in odds({k for k in seen if k[0] in "/."}, places).items()}
 
 
 def learn(pages: DataFrame, max_labelled: int = MAX_LABELLED, html_column: str = "html") -> dict[str, float]:
@@ -219,16 +243,24 @@ def learn(pages: DataFrame, max_labelled: int = MAX_LABELLED, html_column: str =
         known = BLOCKS | VOID | DROPPED | {"a", "b", "em", "i", "span", "strong"}
         for batch in batches:
             for page in batch.column(0).to_pylist():
-                for kind, text, content in items(page):
-                    kind = kind if kind[0] != "<" or kind.lstrip("<+") in known else "<+other" if kind[1] == "+" else "<other"
-                    total[kind, content] += 1 if kind[0] == "<" else len(text.split())
+                for kind, text, content, place in items(page):
+                    if kind[0] == "<":
+                        total[kind if kind.lstrip("<+") in known else "<+other" if kind[1] == "+" else "<other", content] += 1
+                        continue
+                    words = len(text.split())
+                    total[kind, content] += words
+                    for part in place if words else ():
+                        total[part, kind == "word"] += words
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array(
             [c for _, c in total], pa.bool_()), pa.array(list(total.values()), pa.int64())], ["kind", "content", "n"])
 
-    sums = some.mapInArrow(count, "kind string, content boolean, n long").groupBy("kind", "content").agg(
-        F.sum("n").alias("n")).collect()  # one row per known element name
-    pick = lambda c: {r["kind"]: r["n"] for r in sums if r["content"] == c}
-    return weights_of(pick(True), pick(False))
+    counts = some.mapInArrow(count, "kind string, content boolean, n long").groupBy("kind").pivot("content", [False, True]).agg(F.sum("n"))
+    name = F.col("kind").startswith(".")
+    both = counts.select("kind", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("false", "true")))
+    frequent = both.where(name).orderBy((F.col("true") + F.col("false")).desc(), "kind").limit(MAX_NAMES)
+    sums = both.where(~name).union(frequent).collect()  # known kinds, two per block element, and MAX_NAMES names
+    pick = lambda side: {r["kind"]: r[side] for r in sums if r[side]}
+    return weights_of(pick("true"), pick("false"))
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -247,16 +279,26 @@ def text_of(page: str | None, weights: dict[str, float]) -> str:
     """Main text: blocks in page order joined by one newline, white space inside a block one space."""
     if not page:
         return ""
-    line = list(items(page))
-    scores = []
-    for kind, text, _ in line:
-        if kind[0] == "<":
-            scores.append(weights.get(kind, weights.get("<+other" if kind[1] == "+" else "<other", -0.02)))
-        elif kind == "furniture":  # left out anyway: a long notice must not cut the article around it in two
-            scores.append(-0.02)
-        else:
-            scores.append(weights[kind] * len(text.split()))
-    lo, hi = best_region(scores)
+    line, named = list(items(page)), bool(_CONTENT.search(page))
+
+    def scores(by_place: bool) -> Iterator[float]:
+        for kind, text, _, place in line:
+            if kind[0] == "<":
+                yield weights.get(kind, weights.get("<+other" if kind[1] == "+" else "<other", -0.02)) if named else weights.get(
+                    "?" + kind[1:], weights.get("?other", -0.02))
+            elif kind == "furniture":  # left out anyway: a long notice must not cut the article around it in two
+                yield -0.02
+            else:
+                weight = weights[kind]
+                if by_place and place[0] in weights:
+                    weight = min(max(sum(weights.get(part, 0.0) for part in place), -4.0), 4.0)
+                elif by_place and place[0][:-2] in weights:  # links that the labelled pages lack speak neither for nor against
+                    weight = min(weights[place[0][:-2]], -0.02)
+                yield weight * len(text.split())
+
+    lo, hi = best_region(list(scores(not named)))
+    if not named and lo == hi:  # no place that the labelled pages know as content
+        lo, hi = best_region(list(scores(False)))
     blocks, now = [], []
 
     def flush() -> None:
@@ -266,7 +308,7 @@ def text_of(page: str | None, weights: dict[str, float]) -> str:
             blocks.append(said)
         now.clear()
 
-    for kind, text, _ in line[lo:hi]:
+    for kind, text, _, _ in line[lo:hi]:
         if kind[0] == "<":
             if kind.lstrip("<+") in BLOCKS:
                 flush()

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -286,6 +287,23 @@ def test_pages(spark):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("furniture", ["nav", "nav|footer"])
+def test_pages_without_named_content(spark, furniture):
+    """Of pages that the weights were not counted on, article, main (and more) become div and all attributes go."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    taught, held = pages.where("page_id % 2 = 0"), pages.where("page_id % 2 = 1")
+    weights = html_text.learn(taught)
+    bare = F.regexp_replace("html", rf"<(/?)(article|main|{furniture})\b[^>]*>", "<$1div>")
+    bare = F.regexp_replace(bare, r"<(\w+)\s[^>]*>", "<$1>")
+    want = {r.page_id: r.text for r in html_text.extract(held, weights).collect()}
+    got = {r.page_id: r.text for r in html_text.extract(held.withColumn("html", bare), weights).collect()}
+    assert len(want) > 100 and sum(got[k] == t for k, t in want.items()) >= 0.95 * len(want)
+    # the scan decides: with weights that know no places, words beside the content come in
+    blind = {k: w for k, w in weights.items() if k[0] not in "/."}
+    got = {r.page_id: r.text for r in html_text.extract(held.withColumn("html", bare), blind).collect()}
+    assert sum(got[k] == t for k, t in want.items()) < 0.5 * len(want)
+
+
 def test_leaks(spark, odd, none):
     items = {k: prose(1000 + k, 20 + 7 * k) for k in range(8)}
     bench = spark.createDataFrame([*((k, t, "x") for k, t in items.items()), (50, None, "x"), (51, "", "x"), (None, "one lone word", "x")],

@@ -132,6 +132,18 @@ def test_malformed_pages_take_one_pass(unit):
     assert long < 30 and long < 16 * (time.perf_counter() - start) + 1  # the square would take 16 times as long, and hours
 
 
+def test_places_decide_without_named_content():
+    weights = html_text.weights_of({"word": 900, "/p": 850, "/li": 50, ".post": 800, "<+p": 40},
+                                   {"outer": 40, "link": 60, "/div": 30, "/li+a": 60, "/p": 10, ".teaser": 10, "<div": 9, "<p": 1})
+    assert weights["/p"] > 0 < weights[".post"] and weights["/div"] < 0 > weights["/li+a"] and weights[".teaser"] < 0
+    page = "<div>Buy this now</div><div><p>One two three.<p>Four <a href=x>five</a> six seven eight.</div><div>All rights of us</div>"
+    assert html_text.text_of(page, weights) == "One two three.\nFour five six seven eight."
+    page = "<div><p class='teaser'>Read that one too</p></div><p>One two three.</p><p>Four.</p><p class=teaser>And that</p>"
+    assert html_text.text_of(page, weights) == "One two three.\nFour."
+    # no place weighs positive: plain words do
+    assert html_text.text_of("<div>Only words in one box</div>", weights) == "Only words in one box"
+
+
 def test_ends_of_tags():
     page = "<a b=\"c>d\">x</a><a 'e>f</g><script u=\">\">no</ScRipt ><!-- <p> -->j<!doctype k>l<?m>n<1<"
     got = [(k, t or x) for k, t, _, x in html_text._parts(page)]
