@@ -19,6 +19,9 @@ from reverbtable.session import written
 
 DEPTH = 3
 HEADS = 64        # lines of a leaf that may become heads in the first round, twice as many in each further one
+MOST_HEADS = 4096     # and at most so many in one
+PART_LINES = 8192     # distinct lines of a leaf that meet its heads together
+HOT_LINES = 1 << 14   # lines above this part of all rows are decided by a broadcast of fewer than so many
 AGREE = (7, 10)
 MIN_WORDS = 3     # shorter lines are never dropped
 LONG_WORDS = 20   # a template of so many words recurs with two documents, a shorter one
@@ -46,14 +49,30 @@ def parsed(docs: DataFrame) -> DataFrame:
                       F.transform("w", lambda x: F.pmod(F.xxhash64(x), F.lit(32749)).cast("smallint")).alias("marks"))
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """(line, template): lines that joined the template of another line of their leaf."""
-    counts = lines.groupBy("leaf", "line").agg(F.count("*").alias("times"))
-    several = counts.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
-    shared = counts.join(several, "leaf")
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """One row per line of parsed(): leaf, line, n, times, docs (documents that hold it), first and last (of their ids).
+
+    Occurrences meet by (line, document) before they meet by line, so a line that stands everywhere is many groups.
+    """
+    once = lines.groupBy("leaf", "line", "n", "doc_id").agg(F.count("*").alias("times"))
+    return once.groupBy("leaf", "line", "n").agg(F.sum("times").alias("times"), F.count("*").alias("docs"),
+                                                 F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+def templates(lines: DataFrame, kinds: DataFrame | None = None, most: int = MOST_HEADS) -> DataFrame:
+    """(line, template): lines that joined the template of another line of their leaf.
+
+    kinds is distinct_lines(lines), if it is at hand. No row holds more than `most` heads; a leaf with more templates
+    takes more rounds. The lines of a large leaf meet its heads in parts of about PART_LINES.
+    """
+    kinds = distinct_lines(lines) if kinds is None else kinds
+    several = kinds.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
+    shared = kinds.select("leaf", "line", "times").join(several, "leaf").withColumn(
+        "parts", F.ceil(F.col("lines") / PART_LINES).cast("int")).drop("lines")
     # only leaves with several lines need positions; a line's marks are the same wherever it stands
-    rest = written(lines.select("line", "n", "marks").join(shared, "line").groupBy("leaf", "line", "n", "marks", "times")
-                   .agg(F.lit(1).alias("_")).drop("_"), "leaf-lines")
+    marks = lines.groupBy("line").agg(F.first("marks").alias("marks"))
+    rest = written(marks.join(shared, "line").withColumn("part", F.pmod("line", "parts").cast("int")), "leaf-lines")
+
     def agree(marks, to):
         same = F.size(F.filter(F.zip_with(marks, to, lambda a, b: a == b), lambda x: x))
         return same * AGREE[1] >= F.size(marks) * AGREE[0]
@@ -61,24 +80,44 @@ def templates(lines: DataFrame) -> DataFrame:
     def first_head(marks, heads):
         return F.get(F.filter(heads, lambda h: agree(marks, h["marks"])), 0)
 
-    found, width = None, HEADS
+    found, width = None, min(HEADS, most)
     while True:
         # the leaf's first lines in order: those that agree with none before them are heads
         rank = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("times"), F.desc("line")))
-        top = rest.select("leaf", "line", "marks", rank.alias("rank")).where(F.col("rank") <= width)
-        top = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "line", "marks"))).alias("top"))
+        top = rest.select("leaf", "parts", "line", "marks", rank.alias("rank")).where(F.col("rank") <= width)
+        top = top.groupBy("leaf", "parts").agg(F.sort_array(F.collect_list(F.struct("rank", "line", "marks"))).alias("top"))
         heads = top.where(F.size("top") > 1).select("leaf", F.aggregate(
             "top", F.slice("top", 1, 0), lambda h, x: F.when(
-                F.exists(h, lambda y: agree(x["marks"], y["marks"])), h).otherwise(F.concat(h, F.array(x)))).alias("heads"))
+                F.exists(h, lambda y: agree(x["marks"], y["marks"])), h).otherwise(F.concat(h, F.array(x)))).alias("heads"),
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         # a head agrees with no head but itself
-        tried = written(rest.join(heads, "leaf").withColumn("template", first_head(F.col("marks"), F.col("heads"))["line"])
-                        .drop("heads"), "tried")
+        tried = written(rest.join(heads, ["leaf", "part"]).withColumn(
+            "template", first_head(F.col("marks"), F.col("heads"))["line"]).drop("heads"), "tried")
         joined = tried.where("line <> template").select("line", "template")
         found = joined if found is None else found.unionByName(joined)
         rest = tried.where("template is null").drop("template")
         if rest.isEmpty():
             return found
-        width *= 2
+        width = min(2 * width, most)
+
+
+def recurring(kinds: DataFrame, joined: DataFrame) -> DataFrame:
+    """(line, first, times): lines whose template stands in enough documents, and the smallest id among these.
+
+    kinds is distinct_lines(), joined is templates(). Two ids tell all of a line that stands in at most two documents;
+    one of more documents makes its template recur by itself.
+    """
+    heads = joined.select(F.col("template").alias("line"), "template").distinct()
+    of = kinds.join(joined.unionByName(heads), "line", "left").where("template is not null or docs > 1").select(
+        "line", F.coalesce("template", "line").alias("template"), "n", "times", "docs", "first", "last")
+    of = written(of, "of-template")
+    ids = of.select("template", "n", "docs", F.explode(F.array("first", "last")).alias("doc_id")).groupBy(
+        "template", "n", "doc_id").agg(F.max("docs").alias("docs"))
+    docs_of = ids.groupBy("template", "n").agg(F.greatest(F.count("*"), F.max("docs")).alias("docs"),
+                                               F.min("doc_id").alias("first"))
+    least = F.when(F.col("n") >= LONG_WORDS, 2).otherwise(MIN_DOCS)
+    return of.select("line", "times", "template").join(
+        docs_of.where(F.col("docs") >= least).select("template", "first"), "template").select("line", "first", "times")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,20 +126,24 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     A line's words are runs of non-blank characters. Null and empty texts stay as they are (0 lines dropped; null has
     0 lines). Columns named n_lines or n_dropped are replaced. A line repeated inside one document counts once for it and is not dropped for that alone. Rows that
     repeat an id are one document; a null id stands for the hash of its text. A document may be left with empty text.
+    Lines of equal counts are ordered by their hash. A very long text is cut into its lines by one task.
     """
-    key = F.xxhash64(doc_id, text)
+    key = F.xxhash64(doc_id, text)  # with the id beside it: 64 bits tell the texts of one id apart
     ids = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
     lines = written(parsed(docs.select(key.alias("rid"), ids.alias("doc_id"), F.col(text).alias("text"))), "lines")
-    short = lines.select("rid", "doc_id", "pos", "n", "line")
-    held = short.join(templates(lines), "line", "left").select(
-        "rid", "doc_id", "pos", "n", F.coalesce("template", "line").alias("template"))
-    once = held.groupBy("template", "n", "doc_id").agg(F.lit(1).alias("_"))
-    docs_of = once.groupBy("template", "n").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
-    least = F.when(F.col("n") >= LONG_WORDS, 2).otherwise(MIN_DOCS)
-    recurring = docs_of.where(F.col("docs") >= least).select("template", "first")
-    gone = held.join(recurring, "template").where(F.col("doc_id") != F.col("first"))
-    gone = gone.groupBy("rid").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("rid", "_rid")
-    out = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_rid")).join(gone, "_rid", "left")
+    kinds = written(distinct_lines(lines), "distinct-lines")
+    dropped = written(recurring(kinds, templates(lines, kinds)), "recurring")
+    # fewer than HOT_LINES lines hold more than that part of all rows: they are sent to every task, and no other line
+    # is a large share of the rows that meet by line
+    often = F.col("times") * HOT_LINES > F.lit(kinds.agg(F.sum("times")).first()[0] or 0)
+    hot = kinds.where(often).select("line").join(dropped.select("line", "first"), "line", "left")
+    met = lines.select("rid", "doc_id", "pos", "line").join(
+        F.broadcast(hot.withColumn("hot", F.lit(True))), "line", "left")
+    cold = met.where("hot is null").drop("hot", "first").join(dropped.where(~often).select("line", "first"), "line")
+    gone = met.where("hot").drop("hot").unionByName(cold).where(F.col("doc_id") != F.col("first"))
+    gone = gone.groupBy(F.col("rid").alias("_rid"), F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone"))
+    out = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_rid"), ids.alias("_id")).join(
+        gone, ["_rid", "_id"], "left")
     whole = F.col("_row").getField(text)
     split = F.split(whole, "\n")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")

@@ -37,7 +37,7 @@ def test_leaks_of_a_large_benchmark_against_brute_force(spark):
     assert {k: v for k, v in got.items() if k[0] == k[1]} == want
 
 
-def test_every_template_of_a_full_leaf(spark):
+def test_every_template_of_a_full_leaf(spark, monkeypatch):
     """A leaf with more templates than one round has heads for; templates against a greedy run to the end."""
     rng = np.random.default_rng(3)
     texts = ["this article was first seen in an old magazine"] * 50 + ["this article was never read by any living person"] * 40
@@ -55,10 +55,37 @@ def test_every_template_of_a_full_leaf(spark):
         n_heads += 1
     assert n_heads > 256
     assert {r.line: r.template for r in line_dedup.templates(lines).collect()} == want
+    # few heads a round and many parts a leaf change nothing
+    monkeypatch.setattr(line_dedup, "PART_LINES", 50)
+    assert {r.line: r.template for r in line_dedup.templates(lines, most=100).collect()} == want
     got = {r.doc_id: r.n_dropped for r in line_dedup.dedup(docs).collect()}
     assert got[90] == 0 and all(got[k] == 1 for k in range(91, 110))
 
 
+def test_lines_by_brute_force(spark, monkeypatch):
+    """Documents of few phrases, a line that stands everywhere, one that fills a document: dedup against plain Python,
+    whichever lines are sent to every task."""
+    rng = np.random.default_rng(8)
+    pool = ["hot line of this site"] * 6 + [" ".join("abcdef"[i] for i in rng.integers(0, 6, n)) for n in rng.integers(2, 24, 40)]
+    texts = ["\n".join(pool[i] for i in rng.integers(0, len(pool), 8)) for _ in range(60)]
+    texts += ["one giant line of its own\n" * 3000, "mine and mine alone\n" * 2, None, "", "hot line of this site"]
+    texts += [" ".join(f"w{chr(97 + i)}" for i in range(22))] * 2 + ["of two documents only"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    lines = line_dedup.parsed(docs.selectExpr("doc_id as rid", "doc_id", "text")).collect()
+    joined = {r.line: r.template for r in line_dedup.templates(
+        line_dedup.parsed(docs.selectExpr("doc_id as rid", "doc_id", "text"))).collect()}
+    held = {}
+    for r in lines:
+        held.setdefault((joined.get(r.line, r.line), r.n), set()).add(r.doc_id)
+    gone = {(r.doc_id, r.pos) for r in lines for d in [held[joined.get(r.line, r.line), r.n]]
+            if len(d) >= (2 if r.n >= line_dedup.LONG_WORDS else line_dedup.MIN_DOCS) and r.doc_id != min(d)}
+    want = {k: t and "\n".join(s for p, s in enumerate(t.split("\n")) if (k, p) not in gone) for k, t in enumerate(texts)}
+    assert len(gone) > 200 and any(len(d) == 2 for d in held.values())
+    for hot in (1, 20, 1 << 40):
+        monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
+        assert {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()} == want
+
+
 def test_whole_license_paragraphs(spark):
     """Every paragraph is met wherever it stands, with few words missing, and under its own label alone."""
     rng = np.random.default_rng(4)
