@@ -29,6 +29,7 @@ MIN_DOCS = 3      # with three
 
 # fixed values
 WHITE = " \t\n\x0b\x0c\r"
+BLANK, WORD = f"[{WHITE}]", f"[^{WHITE}]"
 
 
 def _number(text):
@@ -39,14 +40,15 @@ def _number(text):
 def parsed(docs: DataFrame) -> DataFrame:
     """Lines of docs(rid, doc_id, text) that have MIN_WORDS words: rid, doc_id, pos, n, leaf, line, marks."""
     lines = docs.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "s"))
-    words = F.filter(F.split(F.translate("s", WHITE, " " * len(WHITE)), " "), lambda w: w != "")
-    masked = F.when(F.col("s").rlike("[0-9]"), F.transform("w", lambda w: F.when(
-        w.rlike("[0-9]"), F.lit("<*>")).otherwise(w))).otherwise(F.col("w"))
-    cut = lines.withColumn("w", words).where(F.size("w") >= MIN_WORDS).withColumn("w", masked)
+    # anchored, possessive patterns: every character of a long word is read once
+    enough = lines.where(F.col("s").rlike(f"^{BLANK}*+" + f"{WORD}++{BLANK}++" * (MIN_WORDS - 1) + WORD))
+    masked = F.when(F.col("s").rlike("[0-9]"), F.regexp_replace(
+        "s", f"(?<!{WORD})[^0-9{WHITE}]*+[0-9]{WORD}*+", "<*>")).otherwise(F.col("s"))
+    cut = enough.withColumn("w", F.array_remove(F.split(masked, BLANK), ""))
     return cut.select("rid", "doc_id", "pos", F.size("w").alias("n"),
-                      _number(F.concat_ws(" ", F.size("w").cast("string"), F.slice("w", 1, DEPTH))).alias("leaf"),
+                      F.xxhash64(F.size("w"), *[F.get("w", k) for k in range(DEPTH)]).alias("leaf"),
                       _number(F.concat_ws(" ", "w")).alias("line"),
-                      F.transform("w", lambda x: F.pmod(F.xxhash64(x), F.lit(32749)).cast("smallint")).alias("marks"))
+                      F.transform("w", lambda x: F.shiftright(F.xxhash64(x), 48).cast("smallint")).alias("marks"))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
