@@ -30,7 +30,7 @@ class Agg:
     reverse: bool = False  # along descending order
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Repartition to the session's shuffle width. A stated width keeps AQE from merging
     partitions by their compact size ahead of heavy per-row work."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

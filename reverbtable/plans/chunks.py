@@ -10,8 +10,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from reverbtable.functions.arrays import rnd
+from reverbtable.functions.arrays import rnd, total
 from reverbtable.functions.draws import pick_index
+from reverbtable.functions.scan import spread
 from reverbtable.operators import chunks as C
 from reverbtable.plans.book import Book
 from reverbtable.plans.features import HOP, STFT, WIN
@@ -104,6 +105,8 @@ def wanted(spark, sf, files):
     n = files.select(F.count(F.lit(1))).scalar()
     draws = load(spark, sf, "customer").select(F.col("c_custkey").alias("idx")).withColumn("file_id", pick_index(n, "wav:file", "idx"))
     rows = draws.join(files, "file_id").withColumn("st", pick_index(F.col("n"), "wav:st", "idx"))
+    # draws are narrow and reading them is the work; those of a file lie in four parts
+    rows = spread(rows, "file_id", F.col("idx") % 4)
     return rows.withColumn("ed", F.col("st") + 100)
 
 
@@ -116,12 +119,13 @@ def wav_ranges(spark, sf):
     wav.write_wav(rec, root, F.col("file_id"), F.col("xs"), F.lit(16000))
     ask = wanted(spark, sf, rec.select("file_id", "n")).withColumn("path", F.format_string(f"{root}/%d.wav", "file_id"))
     rows = wav.read_ranges(ask.select("idx", "path", "st", "ed"), channels=[0, 1], piece=30)
-    long = rows.select("idx", "st", "t0", F.posexplode("xs").alias("ch", "x")).select(
-        "idx", "ch", "st", (F.col("t0") - F.col("st")).alias("_at"), F.posexplode("x").alias("_i", "_v"))
-    v = F.col("_v").cast("double")
-    return long.groupBy("idx", "ch").agg(
-        F.min(F.col("st") + F.col("_at") + F.col("_i")).alias("st"), F.count("*").alias("n"), rnd(F.sum(v)).alias("total"),
-        rnd(F.sum(v * (F.col("_at") + F.col("_i"))), 4).alias("moment"))
+    # sums of a piece stay in its row; only they meet
+    parts = rows.select("idx", "t0", (F.col("t0") - F.col("st")).alias("_at"), F.posexplode("xs").alias("ch", "x")).where(F.size("x") > 0).select(
+        "idx", "ch", "t0", "_at", F.size("x").alias("_n"), F.col("x").cast("array<double>").alias("x"))
+    sums = parts.select("idx", "ch", "t0", "_n", total(F.col("x")).alias("_s"),
+                        total(F.transform("x", lambda v, i: v * (F.col("_at") + i))).alias("_m"))
+    return sums.groupBy("idx", "ch").agg(F.min("t0").alias("st"), F.sum("_n").alias("n"), rnd(F.sum("_s")).alias("total"),
+                                         rnd(F.sum("_m"), 4).alias("moment"))
 
 
 @query("wav_channel_files", f"""WITH {TRACK}, {WANTED},
@@ -139,9 +143,8 @@ def wav_channel_files(spark, sf):
     ask = wanted(spark, sf, rec.select("file_id", "n")).withColumn("path", F.format_string(f"{root}/s%d.CH0.wav", "file_id"))
     rows = wav.read_channel_files(ask, ["idx"], [0, 1, 2], piece=30)
     part = lambda c: F.coalesce(F.get("xs", F.lit(c)).cast("array<double>"), F.array().cast("array<double>"))
-    total = lambda c: rnd(F.aggregate(part(c), F.lit(0.0), lambda a, v: a + v))
     return rows.where(F.get("xs", F.lit(2)).isNull()).select(
-        "idx", "t0", *[F.size(part(c)).cast("long").alias(f"n{c}") for c in (0, 1)], *[total(c).alias(f"total{c}") for c in (0, 1)])
+        "idx", "t0", *[F.size(part(c)).cast("long").alias(f"n{c}") for c in (0, 1)], *[rnd(total(part(c))).alias(f"total{c}") for c in (0, 1)])
 
 
 @query("wav_chunks", f"""WITH {TRACK} SELECT file_id, (n // 500)::INTEGER AS chunk_no, ch::INTEGER AS ch, count(*) AS n, {r('sum(x)')} AS total
@@ -151,9 +154,8 @@ def wav_chunks(spark, sf):
     root = folder(spark)
     wav.write_wav(tracks(spark, sf), root, F.col("file_id"), F.col("xs"), F.lit(16000))
     rows = wav.read_chunks(spark, root, 500, 2048).where("ch = 1 AND t0 >= 500 AND error IS NULL")
-    total = F.aggregate(F.col("samples").cast("array<double>"), F.lit(0.0), lambda a, v: a + v)
     return rows.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("file_id"), "chunk_no", "ch",
-                       F.size("samples").cast("long").alias("n"), rnd(total).alias("total"))
+                       F.size("samples").cast("long").alias("n"), rnd(total(F.col("samples").cast("array<double>"))).alias("total"))
 
 
 @query("wav_catalogue", f"""WITH {TRACK} SELECT file_id, 2::BIGINT AS channels, 16000::BIGINT AS fs, n AS n_samples, {r('n / 16000.0::DOUBLE')} AS duration_s FROM len""")

@@ -176,3 +176,32 @@ def test_wav_of_nothing(spark, tmp_path):
     assert wav.read_chunks(spark, str(tmp_path / "in")).count() == 0 and files.wav_metadata(spark, str(tmp_path / "in")).count() == 0
     ask = spark.createDataFrame([(None, 0, 5), (str(tmp_path / "no.wav"), 0, 5)], "path string, st long, ed long")
     assert all(r.error and r.xs is None for r in wav.read_ranges(ask).collect())
+
+
+def counting(path, real):
+    """_opened that leaves a byte in a file each time."""
+    def opened(p):
+        with open(path, "ab") as f:
+            f.write(b".")
+        return real(p)
+    return opened
+
+
+def test_files_open_once_for_ranges_in_any_order(spark, tmp_path, monkeypatch):
+    x = {k: RNG.normal(size=(2, 90)).astype(np.float32) for k in range(3)}
+    df = spark.createDataFrame([(k, [list(map(float, c)) for c in v]) for k, v in x.items()], "n long, xs array<array<double>>")
+    wav.write_wav(df, str(tmp_path), F.col("n"), F.col("xs"), F.lit(8000))
+    monkeypatch.setattr(wav, "_opened", counting(tmp_path / "opened", wav._opened))
+    monkeypatch.setattr(wav, "HELD", 500, raising=False)  # several batches
+    ask = spark.range(300, numPartitions=1).select(
+        "id", F.concat(F.lit(f"{tmp_path}/"), F.col("id") % 4, F.lit(".wav")).alias("path"), (F.col("id") % 89).alias("st"), (F.col("id") % 89 + 25).alias("ed"))
+    rows = wav.read_ranges(ask, channels=[1, 7, 0], piece=20).collect()
+    assert (tmp_path / "opened").stat().st_size == 4  # three files and one that is missing
+    assert sorted((r.id, r.t0) for r in rows) == sorted((k, k % 89 + d) for k in range(300) for d in (0, 20))
+    for r in rows:
+        if r.id % 4 == 3:
+            assert r.error and r.xs is None and r.fs is None and r.read_bytes == 0
+            continue
+        want = x[r.id % 4][:, r.t0:min(r.t0 + 20, r.ed)]
+        assert r.error is None and r.fs == 8000 and r.read_bytes == want.nbytes and r.xs[1] is None
+        assert np.array_equal(np.array([r.xs[2], r.xs[0]], np.float32), want)
