@@ -31,6 +31,16 @@ def _rows(lists: pa.Array) -> list[np.ndarray]:
     return [np.asarray(flat[a:b], dtype=np.float64) for a, b in zip(off[:-1], off[1:])]
 
 
+class _flat:
+    """List array whose rows are float64 views, made when asked for; null rows are empty."""
+
+    def __init__(self, lists: pa.Array):
+        self.off, self.values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return np.asarray(self.values[self.off[k]:self.off[k + 1]], dtype=np.float64)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     off = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.zeros(0)
@@ -90,9 +100,14 @@ def convolve_channels():
     """(x, hs) -> channels: source with the response of every channel, cut to source length."""
     @F.arrow_udf(CHANNELS)
     def kernel(x: pa.Array, hs: pa.Array) -> pa.Array:
-        src, taps = _rows(x), _rows(_children(hs))
+        # results go straight to their places: of a batch only its input and its output are held
+        src, taps = _flat(x), _flat(_children(hs))
         owner = np.repeat(np.arange(len(hs)), np.diff(hs.offsets.to_numpy()))
-        return _regroup(hs, _lists([_fftconv(src[r], h) for r, h in zip(owner, taps)]))
+        off = np.concatenate(([0], np.cumsum(np.diff(src.off)[owner])))
+        out = np.empty(off[-1])
+        for k, r in enumerate(owner):
+            out[off[k]:off[k + 1]] = _fftconv(src[r], taps[k])
+        return _regroup(hs, pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(out)))
     return once(kernel)
 
 

@@ -1,8 +1,10 @@
 """Kernels and signal operators against numpy on small fixtures."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,19 @@ def test_patches_go_back(spark, f_first):
     assert cut.groupBy("patch").count().filter("count = 8").count() == 6
     back = {(r.bin, r.frame): r.v for r in X.patch_recover(cut, 8, 6, 4, 2, f_first).collect()}
     assert back == {(i % 8, i // 8): i for i in range(48)}
+
+
+def test_convolution_holds_input_and_output_only():
+    rng = np.random.default_rng(8)
+    x = [rng.normal(size=n) for n in ([64] * 1500 + [0, 7])]
+    hs = [[rng.normal(size=m) for m in (64, 20, 0, 64)] for _ in x]
+    args = pa.array([v.tolist() for v in x], pa.list_(pa.float64())), pa.array([[h.tolist() for h in row] for row in hs], pa.list_(pa.list_(pa.float64())))
+    kernel = K.convolve_channels().func
+    kernel(*[a.slice(1495) for a in args])
+    tracemalloc.start()
+    got = kernel(*args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * 8 * 4 * sum(map(len, x))
+    for row, v, r in zip(got.to_pylist(), x, hs):
+        assert all(np.allclose(y, np.convolve(v, h)[:len(v)] if len(v) and len(h) else np.zeros(len(v))) for y, h in zip(row, r))
